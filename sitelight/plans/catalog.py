@@ -15,21 +15,12 @@ from pyspark.sql import functions as F
 from sitelight import schema as S
 from sitelight.functions import columns as C
 from sitelight.operators import cleaning, dashboard, risk, rules, segments
+from sitelight.plans.common import joined, rounded
 from sitelight.sources import marts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
-    return df.withColumns(
-        {c: F.round(c, special.get(c, digits)) for c, t in df.dtypes if t == "double"}
-    )
-
-
-def joined(column: str):
-    return F.array_join(column, ",").alias(column)
-
-
 def _raw(spark, sf):
     return marts.raw_projects(spark, sf)
 

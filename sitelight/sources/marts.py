@@ -95,51 +95,74 @@ def raw_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One proposed bid per customer, shaped by their latest order."""
+    """One proposed bid per customer, shaped by their latest order; customers
+    in debt bid into a portfolio without history."""
     latest = (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_custkey").alias("c_custkey"))
         .agg(
             F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("project_type"),
-            F.count(F.lit(1)).alias("subcontractor_count"),
+            F.count(F.lit(1)).cast("int").alias("subcontractor_count"),
         )
     )
     return customers(spark, sf_dir).join(latest, "c_custkey", "left").select(
         F.col("c_custkey").alias("bid_id"),
-        F.col("c_mktsegment").alias("portfolio_id"),
+        F.when(F.col("c_acctbal") < 0, "UNASSIGNED").otherwise(F.col("c_mktsegment")).alias("portfolio_id"),
         "project_type",
         F.col("r_name").alias("region"),
         (F.col("c_acctbal") * 10000).alias("contract_value_usd"),
         "subcontractor_count",
+        F.greatest(F.lit(1), F.least(F.lit(20), F.coalesce("subcontractor_count", F.lit(5)))).alias("k"),
     )
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as uploads: language is the portfolio, source the folder."""
+    """Documents as uploads: language is the portfolio; the file name's
+    extension differs by language, so that some are not readable."""
+    lang = F.col("lang")
+    suffix = F.when(lang == "de", ".TXT").when(lang == "fr", ".csv").when(lang == "es", "").otherwise(".txt")
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("document_id"),
-        F.col("lang").alias("portfolio_id"),
-        F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
+        lang.alias("portfolio_id"),
+        F.concat(F.lit("note"), F.col("doc_id").cast("string"), suffix).alias("filename"),
         "text",
     )
 
 
+def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents, all with a readable name."""
+    return documents(spark, sf_dir).withColumn("filename", F.concat("filename", F.lit(".txt")))
+
+
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
+    """Given vectors as chunks; the text is the document of the same number."""
+    texts = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("chunk_text")
+    )
+    vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), F.col("label").alias("portfolio_id"), "embedding"
     )
+    return vectors.join(texts, "chunk_id", "left").fillna("", ["chunk_text"])
 
 
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector asks once: even ones in their own portfolio (and find
+    themselves), odd ones in the next. The numbers asked for differ."""
+    own = F.col("vec_id") % 2 == 0
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("question_id"), F.col("label").alias("portfolio_id"), "embedding"
+        F.col("vec_id").alias("question_id"),
+        F.when(own, F.col("label")).otherwise((F.col("label") + 1) % 10).cast("int").alias("portfolio_id"),
+        F.concat(F.lit("What about item "), F.col("vec_id").cast("string"), F.lit("?")).alias("question"),
+        "embedding",
+        (F.col("vec_id") % 5 + 1).cast("int").alias("top_k"),
+        F.when(own, 0.3).otherwise(0.25).alias("threshold"),
     )
 
 
-def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mutations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Event log as project changes: ``error`` deletes, ``purchase`` addresses
     a row by id, the rest by external id inside the customer's portfolio."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events") if events is None else events
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     by_id = F.col("event_type").isin("purchase", "error")
     return events.join(customer, F.col("user_id") == F.col("c_custkey")).select(

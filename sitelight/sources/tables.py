@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from sitelight import schema as S
 from sitelight.functions.columns import null_nan, to_whole
+from sitelight.functions.joins import measured
 
 STORED_TYPES = {
     "portfolio_id": T.StringType(),
@@ -59,9 +60,8 @@ def replace_portfolios(df: DataFrame, path: str, touched: DataFrame) -> None:
     touched portfolios without rows are dropped (an overwrite cannot write an
     empty partition), all others stay as they are.
     """
-    spark = df.sparkSession
-    rows = df.join(F.broadcast(touched.select("portfolio_id").distinct()), "portfolio_id", "left_semi") \
-        if _is_small(touched) else df.join(touched.select("portfolio_id").distinct(), "portfolio_id", "left_semi")
+    touched = measured(touched.select("portfolio_id").distinct())
+    rows = df.join(touched, "portfolio_id", "left_semi")
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -69,12 +69,8 @@ def replace_portfolios(df: DataFrame, path: str, touched: DataFrame) -> None:
         .parquet(path)
     )
     written = rows.select("portfolio_id").distinct()
-    emptied = touched.select("portfolio_id").distinct().join(written, "portfolio_id", "left_anti")
-    _drop_partitions(spark, path, emptied)
-
-
-def _is_small(keys: DataFrame, limit: int = 100_000) -> bool:
-    return keys.select("portfolio_id").distinct().limit(limit + 1).count() <= limit
+    _drop_partitions(df.sparkSession, path, touched.join(written, "portfolio_id", "left_anti"))
+    touched.unpersist()
 
 
 def _drop_partitions(spark: SparkSession, path: str, emptied: DataFrame) -> None:
