@@ -26,7 +26,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key: ``<name>`` = array of quantiles (linear interpolation,
     in the order of ``probabilities``; null without values) and ``<name>_n`` =
-    non-null count. The result is cached and its size known to the optimizer.
+    non-null count. The result derives from a cached table of known size, so
+    joining it does not shuffle the facts while it is small.
     """
     base = df.select(*keys, *[e.cast("double").alias(n) for n, e in values.items()])
     margin = 4.0 / accuracy
@@ -85,7 +86,7 @@ def exact_quantiles(
         F.coalesce(F.max(F.when(F.col("name") == n, F.col("n"))), F.lit(0)).alias(f"{n}_n")
         for n in values
     ]
-    return measured(found.groupBy(*keys).agg(*per_name, *counts))
+    return found.groupBy(*keys).agg(*per_name, *counts)
 
 
 def _resolve(base: DataFrame, keys: list[str], names: list[str], brackets: DataFrame) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitelight import schema as S
-from sitelight.functions.columns import completed, holds, kept, null_nan, to_iso_date, to_number
+from sitelight.functions.columns import completed, kept, null_nan, to_iso_date, to_number
 from sitelight.functions.joins import measured
 from sitelight.functions.quantiles import exact_quantiles
+from sitelight.session import materialize
 
 
 def reject_null_keys(raw: DataFrame, key: str = "project_id") -> DataFrame:
@@ -40,16 +41,28 @@ def coerce_types(raw: DataFrame) -> DataFrame:
     return typed.withColumn("actual_duration_days", F.datediff("end_date", "start_date"))
 
 
-def coercion_report(raw: DataFrame) -> DataFrame:
-    """Per portfolio and column: target type and how many values were given
-    but could not be read. The derived duration is always listed."""
-    targets = {**dict.fromkeys(S.NUMERIC_COLUMNS, "double"), **dict.fromkeys(S.DATE_COLUMNS, "date")}
+def coercion_targets() -> dict[str, str]:
+    return {**dict.fromkeys(S.NUMERIC_COLUMNS, "double"), **dict.fromkeys(S.DATE_COLUMNS, "date")}
+
+
+def unread_columns():
+    """Names of the columns of a raw row whose value is given but not readable."""
+    def unread(name: str, kind: str):
+        parsed = to_number(F.col(name)) if kind == "double" else to_iso_date(F.col(name))
+        return F.col(name).isNotNull() & parsed.isNull()
 
-    def lost(name: str):
-        parsed = to_number(F.col(name)) if targets[name] == "double" else to_iso_date(F.col(name))
-        return F.count_if(F.col(name).isNotNull() & parsed.isNull())
+    return kept(*[(unread(c, t), c) for c, t in coercion_targets().items()])
 
-    counted = raw.groupBy("portfolio_id").agg(*[lost(c).alias(c) for c in targets])
+
+def coercion_report(raw: DataFrame) -> DataFrame:
+    """Per portfolio and column: target type and how many values were given
+    but could not be read. The derived duration is always listed. Takes raw
+    rows, or typed rows that kept ``_unread``."""
+    rows = raw if "_unread" in raw.columns else raw.withColumn("_unread", unread_columns())
+    targets = coercion_targets()
+    counted = rows.groupBy("portfolio_id").agg(
+        *[F.count_if(F.array_contains("_unread", c)).alias(c) for c in targets]
+    )
     lines = [
         F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit("string").alias("from"),
@@ -139,11 +152,13 @@ def clean(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw rows to cleaned projects and one summary row per portfolio.
 
     Order matters: duplicates leave before the medians are taken, flags are
-    set after imputation. One shuffle (duplicates); medians come back as a
-    small table.
+    set after imputation. The rows shuffle once, for the duplicates; what
+    remains is written out, so that medians, report and result read columns
+    instead of repeating that shuffle. Medians come back as a small table.
     """
-    typed = coerce_types(keep_first(reject_null_keys(raw)))
-    medians = completed_medians(typed)
+    unique = keep_first(reject_null_keys(raw))
+    typed = materialize(coerce_types(unique.withColumn("_unread", unread_columns())), "typed-projects")
+    medians = measured(completed_medians(typed))
     projects = project_columns(flag_anomalies(impute_medians(typed, medians)))
     return projects, summarize(raw, typed, projects, medians)
 
@@ -156,8 +171,7 @@ def summarize(raw: DataFrame, typed: DataFrame, projects: DataFrame, medians: Da
         F.count_if(F.size("anomaly_flags") > 0).alias("anomaly_count"),
     )
     fills = _listed(imputation_report(typed, medians), "imputations", ["column", "n_filled", "value"])
-    types = _listed(coercion_report(keep_first(reject_null_keys(raw))), "coercions",
-                    ["column", "from", "to", "n_invalid"])
+    types = _listed(coercion_report(typed), "coercions", ["column", "from", "to", "n_invalid"])
     zero = F.lit(0).cast("bigint")
     return (
         before.join(after, "portfolio_id", "left")

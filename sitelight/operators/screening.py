@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from sitelight import schema as S
 from sitelight.functions.columns import confidence_label, null_nan, wilson_interval
 from sitelight.functions.joins import measured
-from sitelight.operators.segments import cluster_features
+from sitelight.operators.segments import cluster_features, feature_medians
+from sitelight.session import materialize
 
 DEFAULT_K = 5
 # Distances are compared to this many digits: equal vectors are equal then, and
@@ -27,32 +28,32 @@ TIE_DIGITS = 12
 OUTCOME_RANGES = ["delay_days", "cost_overrun_pct", "safety_incidents"]
 CELL = ["portfolio_id", "type_key", "region_key", "subs"]
 BLOCK = [*CELL, "bin"]
-# A cell of n rows is cut into about sqrt(n) value bins, so that the number of
-# blocks and the rows per block grow together.
-MAX_BINS_PER_CELL = 512
+# Blocks of a cell hold about equally many rows: twice the largest k, or more
+# where a cell would be cut into more than this many blocks.
+MAX_BLOCKS_PER_CELL = 256
+# Resolution of the value grid the blocks are assembled from.
+GRID = 4096
 
 
-def encode_history(history: DataFrame, order_by: str = "project_id") -> DataFrame:
+def encode_history(
+    history: DataFrame, order_by: str = "project_id", medians: DataFrame | None = None
+) -> DataFrame:
     """Past projects in feature space, with the outcomes a cohort reports."""
-    return cluster_features(history).select(
+    return cluster_features(history, medians).select(
         "portfolio_id", "project_id", F.col(order_by).alias("ord"),
         "log_value", "subs", "type_key", "region_key",
         *[null_nan(F.col(c).cast("double")).alias(c) for c in [*OUTCOME_RANGES, "payment_disputes"]],
     )
 
 
-def encode_bids(bids: DataFrame, history: DataFrame, cells: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+def encode_bids(bids: DataFrame, medians: DataFrame, categories: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Bids in the same space. A NaN value takes the portfolio median, an absent
-    one counts as 0; a category the portfolio never had contributes nothing."""
-    from sitelight.functions.quantiles import exact_quantiles
-
-    medians = exact_quantiles(
-        history, ["portfolio_id"], {"_median": null_nan(F.col("contract_value_usd").cast("double"))}, [0.5]
-    ).select("portfolio_id", F.col("_median")[0].alias("_median"))
-    types = cells.select("portfolio_id", F.col("type_key").alias("project_type")).distinct()
-    regions = cells.select("portfolio_id", F.col("region_key").alias("region")).distinct()
+    one counts as 0; a category the portfolio never had contributes nothing.
+    ``categories`` holds the (portfolio, type, region) combinations that occur."""
+    types = categories.select("portfolio_id", F.col("type_key").alias("project_type")).distinct()
+    regions = categories.select("portfolio_id", F.col("region_key").alias("region")).distinct()
     value = F.col("contract_value_usd").cast("double")
-    filled = F.when(F.isnan(value), F.coalesce("_median", F.lit(0.0))).otherwise(F.coalesce(value, F.lit(0.0)))
+    filled = F.when(F.isnan(value), F.coalesce("median_value", F.lit(0.0))).otherwise(F.coalesce(value, F.lit(0.0)))
     wanted = F.coalesce(F.col("k"), F.lit(k)) if "k" in bids.columns else F.lit(k)
     log_value, subs = F.col("bid_log_value"), F.col("bid_subs")
     return (
@@ -111,57 +112,63 @@ def block_bounds(pairs: DataFrame) -> DataFrame:
     )
 
 
-def blocked_history(encoded: DataFrame, k_max: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with their block, one summary row per block).
+def blocked(encoded: DataFrame, k_max: int) -> DataFrame:
+    """History rows with their block.
 
+    A cell's value range is laid out as a grid, and consecutive grid steps are
+    joined until a block has its rows: this needs only counts per grid step.
     Identical points are equally far from every bid, so only the first
-    ``k_max`` of each in input order can ever be chosen; the others leave
-    before the blocks are built.
+    ``k_max`` of each in input order can ever be chosen; the others leave, each
+    task dropping its own before the shuffle.
     """
-    same = W.partitionBy(*CELL, "log_value").orderBy("ord")
-    points = encoded.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k_max).drop("_copy")
     ranges = measured(
-        encoded.groupBy(*CELL).agg(
-            F.min("log_value").alias("_low"), F.max("log_value").alias("_high"),
-            F.least(F.lit(MAX_BINS_PER_CELL), F.ceil(F.sqrt(F.count(F.lit(1)) / 2.0))).alias("_bins"),
-        )
+        encoded.groupBy(*CELL).agg(F.min("log_value").alias("_low"), F.max("log_value").alias("_high"))
     )
     share = (F.col("log_value") - F.col("_low")) / (F.col("_high") - F.col("_low"))
-    bin_no = F.when(F.col("_high") > F.col("_low"), F.least(F.floor(share * F.col("_bins")), F.col("_bins") - 1)).otherwise(F.lit(0))
-    rows = points.join(ranges, CELL).withColumn("bin", bin_no.cast("int")).drop("_low", "_high", "_bins")
-    blocks = measured(
-        rows.groupBy(*BLOCK).agg(
-            F.min("log_value").alias("low"), F.max("log_value").alias("high"), F.count(F.lit(1)).alias("n")
-        )
+    step = F.when(F.col("_high") > F.col("_low"), F.floor(share * (GRID - 1)).cast("int")).otherwise(F.lit(0))
+    placed = encoded.join(ranges, CELL).withColumn("_step", step).drop("_low", "_high")
+    in_cell = W.partitionBy(*CELL)
+    before = F.sum("_n").over(in_cell.orderBy("_step").rowsBetween(W.unboundedPreceding, -1))
+    target = F.greatest(F.lit(2.0 * k_max), F.sum("_n").over(in_cell) / MAX_BLOCKS_PER_CELL)
+    layout = measured(
+        placed.groupBy(*CELL, "_step").agg(F.count(F.lit(1)).alias("_n"))
+        .select(*CELL, "_step", F.floor(F.coalesce(before, F.lit(0)) / target).cast("int").alias("bin"))
     )
-    return rows, blocks
+    rows = placed.join(layout, [*CELL, "_step"]).drop("_step")
+    same = W.partitionBy(*BLOCK, "log_value").orderBy("ord")
+    return rows.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k_max).drop("_copy")
 
 
 def nearest(bids: DataFrame, history: DataFrame, k: int = DEFAULT_K, order_by: str = "project_id") -> DataFrame:
     """The k nearest history rows of every bid: bid_id, k, position, project_id,
     distance and the row's outcomes. Fewer than k rows give all of them."""
-    encoded = encode_history(history, order_by)
-    cells = measured(encoded.select("portfolio_id", "type_key", "region_key").distinct())
-    asked = measured(encode_bids(bids, history, cells, k))
+    medians = measured(feature_medians(history))
+    encoded = materialize(encode_history(history, order_by, medians), "history")
+    categories = measured(encoded.select("portfolio_id", "type_key", "region_key").distinct())
+    # Partitioned by bid from here on: bounds, reach and ranks need no new shuffle
+    # of the bids while the blocks are small enough to be sent to them.
+    tasks = int(bids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = measured(encode_bids(bids, medians, categories, k).repartition(tasks, "bid_id"))
     k_max = asked.agg(F.coalesce(F.max("k"), F.lit(k)).alias("k")).first().k
-    rows, blocks = blocked_history(encoded, k_max)
+    rows = materialize(blocked(encoded, k_max), "blocked-history")
+    blocks = measured(
+        rows.groupBy(*BLOCK).agg(
+            F.min("log_value").alias("low"), F.max("log_value").alias("high"), F.count(F.lit(1)).alias("n")
+        )
+    )
 
     proper = asked.where("bid_norm >= 1e-12")
-    # Reading one: how far a bid has to look at most. Any block with at least k
-    # rows guarantees k rows within its worst distance.
+    # How far a bid has to look at most: a block with at least k rows guarantees
+    # k rows within its worst distance.
     reach = (
         block_bounds(proper.join(blocks, "portfolio_id").withColumn("shared", matches()))
         .groupBy("bid_id")
-        .agg(
-            F.coalesce(F.min(F.when(F.col("n") >= F.col("k"), F.col("worst"))), F.max("worst")).alias("reach")
-        )
+        .agg(F.coalesce(F.min(F.when(F.col("n") >= F.col("k"), F.col("worst"))), F.max("worst")).alias("reach"))
     )
-    # Reading two: the blocks that begin within that reach.
+    # The blocks that begin within that reach.
     opened = (
         block_bounds(
-            proper.join(measured(reach), "bid_id")
-            .join(blocks, "portfolio_id")
-            .withColumn("shared", matches())
+            proper.join(reach, "bid_id").join(blocks, "portfolio_id").withColumn("shared", matches())
         )
         .where("best <= reach")
         .drop("low", "high", "n", "best", "worst")
@@ -171,7 +178,10 @@ def nearest(bids: DataFrame, history: DataFrame, k: int = DEFAULT_K, order_by: s
     # A bid without any direction has no nearest row: it takes the first k.
     head = W.partitionBy("portfolio_id").orderBy("ord")
     first_rows = rows.withColumn("_head", F.row_number().over(head)).where(F.col("_head") <= k_max)
-    undirected = asked.where("bid_norm < 1e-12").join(first_rows, "portfolio_id").withColumn("distance", F.lit(None).cast("double"))
+    undirected = (
+        asked.where("bid_norm < 1e-12").join(first_rows, "portfolio_id")
+        .withColumn("distance", F.lit(None).cast("double"))
+    )
 
     kept = ["bid_id", "portfolio_id", "k", "project_id", "ord", "distance", *OUTCOME_RANGES, "payment_disputes"]
     order = W.partitionBy("bid_id").orderBy(F.round("distance", TIE_DIGITS), "ord")

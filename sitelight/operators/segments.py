@@ -24,19 +24,26 @@ def normalized_delay(delay: Column, duration: Column) -> Column:
     return F.when(days >= 0, null_nan(delay.cast("double")) / (days + 1))
 
 
-def cluster_features(projects: DataFrame) -> DataFrame:
-    """Adds ``log_value``, ``subs``, ``type_key`` and ``region_key``: gaps take
-    the portfolio median (0 without any value), missing categories the level
-    "unknown". Categories stay as levels; their one-hot columns are implied."""
-    medians = exact_quantiles(
+def feature_medians(projects: DataFrame) -> DataFrame:
+    """Median value and subcontractors per portfolio, over all rows."""
+    return exact_quantiles(
         projects,
         ["portfolio_id"],
         {"_value": null_nan(F.col("contract_value_usd").cast("double")),
          "_subs": null_nan(F.col("subcontractor_count").cast("double"))},
         [0.5],
-    ).select("portfolio_id", F.col("_value")[0].alias("_value"), F.col("_subs")[0].alias("_subs"))
-    value = F.coalesce(null_nan(F.col("contract_value_usd").cast("double")), "_value", F.lit(0.0))
-    subs = F.coalesce(null_nan(F.col("subcontractor_count").cast("double")), "_subs", F.lit(0.0))
+    ).select(
+        "portfolio_id", F.col("_value")[0].alias("median_value"), F.col("_subs")[0].alias("median_subs")
+    )
+
+
+def cluster_features(projects: DataFrame, medians: DataFrame | None = None) -> DataFrame:
+    """Adds ``log_value``, ``subs``, ``type_key`` and ``region_key``: gaps take
+    the portfolio median (0 without any value), missing categories the level
+    "unknown". Categories stay as levels; their one-hot columns are implied."""
+    medians = feature_medians(projects) if medians is None else medians
+    value = F.coalesce(null_nan(F.col("contract_value_usd").cast("double")), "median_value", F.lit(0.0))
+    subs = F.coalesce(null_nan(F.col("subcontractor_count").cast("double")), "median_subs", F.lit(0.0))
     return (
         projects.join(medians, "portfolio_id", "left")
         .withColumns(
@@ -47,7 +54,7 @@ def cluster_features(projects: DataFrame) -> DataFrame:
                 "region_key": F.coalesce("region", F.lit("unknown")),
             }
         )
-        .drop("_value", "_subs")
+        .drop("median_value", "median_subs")
     )
 
 

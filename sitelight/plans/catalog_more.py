@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelight import schema as S
 from sitelight.functions.text import chunk_words
 from sitelight.operators import clustering, models, mutations, retrieval, screening
+from sitelight.operators.segments import feature_medians
 from sitelight.plans import analyze
 from sitelight.plans.common import joined, rounded
 from sitelight.session import materialize, scratch_table
@@ -28,8 +29,9 @@ def n1_encode_history(spark, sf):
 
 def n2_encode_bids(spark, sf):
     history = marts.projects(spark, sf)
-    cells = screening.encode_history(history).select("portfolio_id", "type_key", "region_key").distinct()
-    asked = screening.encode_bids(marts.bids(spark, sf), history, cells)
+    medians = feature_medians(history)
+    categories = screening.encode_history(history, medians=medians).select("portfolio_id", "type_key", "region_key").distinct()
+    asked = screening.encode_bids(marts.bids(spark, sf), medians, categories)
     return rounded(asked.select("bid_id", "portfolio_id", "k", "bid_log_value", "bid_subs", "bid_norm"))
 
 
@@ -40,9 +42,10 @@ def _cohort(spark, sf):
 def n3_distance(spark, sf):
     """Distance of each bid to the past projects of the same customer."""
     history = marts.projects(spark, sf)
-    encoded = screening.encode_history(history)
-    cells = encoded.select("portfolio_id", "type_key", "region_key").distinct()
-    asked = screening.encode_bids(marts.bids(spark, sf), history, cells)
+    medians = feature_medians(history)
+    encoded = screening.encode_history(history, medians=medians)
+    categories = encoded.select("portfolio_id", "type_key", "region_key").distinct()
+    asked = screening.encode_bids(marts.bids(spark, sf), medians, categories)
     own = marts.table(spark, sf, "orders").select(F.col("o_orderkey").alias("project_id"), F.col("o_custkey").alias("bid_id"))
     pairs = encoded.join(own, "project_id").join(asked, ["bid_id", "portfolio_id"]).withColumn("shared", screening.matches())
     return rounded(pairs.select("bid_id", "project_id", screening.distance(F.col("log_value")).alias("distance")))
