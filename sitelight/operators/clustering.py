@@ -1,14 +1,19 @@
 """K-means cluster ids for many portfolios in one loop.
 
-All portfolios and restarts move together: each round assigns rows to the
-nearest centroid inside the row (no row is multiplied by centroids across a
-shuffle) and averages by a grouped sum with map-side combine. One-hot columns
-are never built: a centroid's one-hot coordinates are the category shares of
-its cluster.
+All portfolios and restarts move together. One-hot columns are never built: a
+centroid's one-hot coordinates are the category shares of its cluster, so for
+rows of one (type, region) they add a constant to the squared distance. Each
+round sends a small table of centres and constants to the rows, picks the
+nearest in generated code, and sums by cluster, type and region with map-side
+combine; only those sums meet per portfolio to form the next centres.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,9 +23,9 @@ from sitelight.operators.segments import cluster_features
 from sitelight.session import cut_lineage, materialize
 
 MIN_ROWS = 4
-# Movement (squared, relative to the spread of the numbers) below which a
-# restart counts as settled.
-TOLERANCE = 1e-6
+# Squared movement, relative to the mean variance of the numbers, below which a
+# centroid counts as settled.
+TOLERANCE = 1e-4
 
 
 def effective_k(n: Column, k: int) -> Column:
@@ -31,153 +36,150 @@ def effective_k(n: Column, k: int) -> Column:
 def assign_clusters(projects: DataFrame, k: int = 3, restarts: int = 10, max_rounds: int = 300) -> DataFrame:
     """portfolio_id, project_id, cluster_id. Ids are numbered by ascending
     centroid (log value, then subcontractors), so they are reproducible."""
+    rows, sizes = feature_rows(projects)
+    state = settle(rows, sizes, k, restarts, max_rounds)
+    costs = inertia(rows, state, k)
+    best = costs.groupBy("portfolio_id").agg(
+        F.min_by("restart", F.struct(F.round("inertia", 6), "restart")).alias("restart")
+    )
+    chosen = measured(state.join(best, ["portfolio_id", "restart"]).withColumns(_order(k)))
+    labels = nearest_centres(rows, chosen, k).select(
+        "portfolio_id", "project_id",
+        F.coalesce(*[F.when(F.col("cluster") == j, F.col(f"order_{j}")) for j in range(k)]).alias("cluster_id"),
+    )
+    small = rows.join(sizes.where(F.col("n") < MIN_ROWS).select("portfolio_id"), "portfolio_id", "left_semi")
+    return labels.unionByName(small.select("portfolio_id", "project_id", F.lit(0).alias("cluster_id")))
+
+
+def feature_rows(projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Feature columns written once, and size and spread per portfolio."""
+    source = materialize(
+        projects.select("portfolio_id", "project_id", "contract_value_usd", "subcontractor_count", "project_type", "region"),
+        "cluster-source",
+    )
     rows = materialize(
-        cluster_features(projects).select(
+        cluster_features(source).select(
             "portfolio_id", "project_id", "log_value", "subs", "type_key", "region_key"
         ),
         "cluster-features",
     )
-    sizes = measured(
-        rows.groupBy("portfolio_id").agg(
-            F.count(F.lit(1)).alias("n"),
-            (F.var_pop("log_value") + F.var_pop("subs")).alias("spread"),
-        )
+    sizes = rows.groupBy("portfolio_id").agg(
+        F.count(F.lit(1)).alias("n"), ((F.var_pop("log_value") + F.var_pop("subs")) / 2).alias("spread")
     )
-    active_portfolios = sizes.where(F.col("n") >= MIN_ROWS).withColumn("k", effective_k(F.col("n"), k))
-    centroids = cut_lineage(_starts(rows, active_portfolios, k, restarts))
-    settled = None
+    return rows, measured(sizes)
+
+
+def settle(rows: DataFrame, sizes: DataFrame, k: int, restarts: int, max_rounds: int) -> DataFrame:
+    """Centres after the last move: one row per portfolio, restart, type and
+    region with ``value_j``, ``count_j`` and ``constant_j`` of every cluster j."""
+    portfolios = measured(sizes.where(F.col("n") >= MIN_ROWS).withColumn("k", effective_k(F.col("n"), k)))
+    blank = rows.select("portfolio_id", "type_key", "region_key").distinct().join(portfolios, "portfolio_id").select(
+        "portfolio_id", "type_key", "region_key", "spread",
+        F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"),
+        *[F.lit(None).cast("double").alias(c) for c in _centre_columns(k)],
+        F.lit(True).alias("moving"),
+    )
+    state = cut_lineage(_advance(_starts(rows, portfolios, k, restarts), blank, k))
     for _ in range(max_rounds):
-        if centroids.isEmpty():
+        moving = state.where("moving")
+        if moving.isEmpty():
             break
-        packed = measured(_packed(centroids))
-        moved = cut_lineage(_move(rows, packed, centroids, active_portfolios))
-        packed.unpersist()
-        still = moved.groupBy("portfolio_id", "restart").agg(F.max("moving").alias("_moving"))
-        marked = moved.join(still, ["portfolio_id", "restart"]).drop("moving")
-        done = marked.where("not _moving").drop("_moving")
-        settled = done if settled is None else settled.unionByName(done)
-        settled = cut_lineage(settled)
-        centroids = cut_lineage(marked.where("_moving").drop("_moving"))
-    final = centroids if settled is None else settled.unionByName(centroids)
-    best = measured(_packed(_best_restart(rows, final)))
-    labels = (
-        _assigned(rows, best)
-        .select("portfolio_id", "project_id", F.inline("nearest"))
-        .select("portfolio_id", "project_id", F.col("cluster").alias("cluster_id"))
-    )
-    small = rows.join(sizes.where(F.col("n") < MIN_ROWS).select("portfolio_id"), "portfolio_id", "left_semi")
-    return labels.unionByName(small.select("portfolio_id", "project_id", F.lit(0).alias("cluster_id")))
+        sent = measured(moving)
+        sums = nearest_centres(rows, sent, k).groupBy(
+            "portfolio_id", "restart", "cluster", "type_key", "region_key"
+        ).agg(F.count(F.lit(1)).alias("n"), F.sum("log_value").alias("v"), F.sum("subs").alias("s"))
+        state = cut_lineage(_advance(sums, sent, k).unionByName(state.where("not moving")))
+        sent.unpersist()
+    return state
+
+
+def _centre_columns(k: int) -> list[str]:
+    return [f"{name}_{j}" for j in range(k) for name in ("value", "count", "constant")]
 
 
 def _starts(rows: DataFrame, portfolios: DataFrame, k: int, restarts: int) -> DataFrame:
-    """``restarts`` sets of k rows, drawn by hash order (a bounded sample per
-    portfolio, limited in each task before the shuffle)."""
+    """``restarts`` sets of k rows as clusters of one row each, drawn by hash
+    order (a bounded sample per portfolio, limited in each task before the
+    shuffle)."""
     order = W.partitionBy("portfolio_id").orderBy(F.xxhash64("project_id", F.lit(42)), "project_id")
     wanted = k * restarts
     sample = (
         rows.withColumn("slot", F.row_number().over(order) - 1).where(F.col("slot") < wanted)
-        .select("portfolio_id", "slot", "log_value", "subs", "type_key", "region_key")
+        .select("portfolio_id", "slot", "type_key", "region_key", F.lit(1).cast("bigint").alias("n"),
+                F.col("log_value").alias("v"), F.col("subs").alias("s"))
     )
     picks = portfolios.select(
         "portfolio_id", "k", F.least(F.col("n"), F.lit(wanted)).alias("m"),
         F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"),
     ).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("cluster"))
     picks = picks.withColumn("slot", ((F.col("restart") * F.col("k") + F.col("cluster")) % F.col("m")).cast("int"))
-    return picks.join(sample, ["portfolio_id", "slot"]).select(
-        "portfolio_id", "restart", "cluster", "log_value", "subs",
-        F.create_map("type_key", F.lit(1.0)).alias("types"),
-        F.create_map("region_key", F.lit(1.0)).alias("regions"),
-        F.lit(2.0).alias("own"),
-    )
-
-
-def _packed(centroids: DataFrame) -> DataFrame:
-    """One row per portfolio with its centroids (k per restart)."""
-    member = F.struct("cluster", "log_value", "subs", "types", "regions", "own")
-    sets = centroids.groupBy("portfolio_id", "restart").agg(F.collect_list(member).alias("members"))
-    return sets.groupBy("portfolio_id").agg(F.collect_list(F.struct("restart", "members")).alias("sets"))
-
-
-def _assigned(rows: DataFrame, packed: DataFrame) -> DataFrame:
-    """Adds ``nearest``: per restart the closest cluster and its distance."""
-
-    def squared(c: Column) -> Column:
-        value, subs = F.col("log_value") - c["log_value"], F.col("subs") - c["subs"]
-        shares = F.coalesce(F.element_at(c["types"], F.col("type_key")), F.lit(0.0)) + F.coalesce(
-            F.element_at(c["regions"], F.col("region_key")), F.lit(0.0)
-        )
-        return value * value + subs * subs + 2 + c["own"] - shares * 2
-
-    def closest(s: Column) -> Column:
-        ranked = F.array_min(
-            F.transform(s["members"], lambda c: F.struct(squared(c).alias("distance"), c["cluster"].alias("cluster")))
-        )
-        return F.struct(s["restart"].alias("restart"), ranked["cluster"].alias("cluster"), ranked["distance"].alias("distance"))
-
-    return rows.join(packed, "portfolio_id").withColumn("nearest", F.transform("sets", closest)).drop("sets")
-
-
-def _move(rows: DataFrame, packed: DataFrame, centroids: DataFrame, portfolios: DataFrame) -> DataFrame:
-    """Centroids after one round, with a flag for those that moved."""
-    cells = (
-        _assigned(rows, packed)
-        .select("portfolio_id", "log_value", "subs", "type_key", "region_key", F.inline("nearest"))
-        .groupBy("portfolio_id", "restart", "cluster", "type_key", "region_key")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("log_value").alias("v"), F.sum("subs").alias("s"))
-    )
-    keys = ["portfolio_id", "restart", "cluster"]
-    means = cells.groupBy(*keys).agg(
-        (F.sum("v") / F.sum("n")).alias("_value"), (F.sum("s") / F.sum("n")).alias("_subs"), F.sum("n").alias("_n")
-    )
-
-    def shares(level: str, name: str) -> DataFrame:
-        counted = cells.groupBy(*keys, level).agg(F.sum("n").alias("n"))
-        return counted.groupBy(*keys).agg(
-            F.map_from_entries(F.collect_list(F.struct(F.col(level), F.col("n").cast("double")))).alias(name)
-        )
-
-    fresh = means.join(shares("type_key", "_types"), keys).join(shares("region_key", "_regions"), keys)
-    part = lambda counts: F.transform_values(counts, lambda _, n: n / F.col("_n"))
-    total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda a, p: a + p * p)
-    joined = (
-        centroids.join(fresh, keys, "left")
-        .withColumns({"_types": part("_types"), "_regions": part("_regions")})
-        .join(portfolios.select("portfolio_id", "spread"), "portfolio_id")
-    )
-    lost = F.col("_n").isNull()  # a cluster without rows stays where it is
-    value_step = F.col("_value") - F.col("log_value")
-    subs_step = F.col("_subs") - F.col("subs")
-    own = F.when(lost, F.col("own")).otherwise(total("_types") + total("_regions"))
-    step = value_step * value_step + subs_step * subs_step + F.abs(own - F.col("own"))
-    moving = ~lost & (step > F.greatest(F.col("spread"), F.lit(1e-12)) * TOLERANCE)
-    keep = lambda new, old: F.when(lost, F.col(old)).otherwise(F.col(new))
-    return joined.select(
-        *keys,
-        keep("_value", "log_value").alias("log_value"),
-        keep("_subs", "subs").alias("subs"),
-        keep("_types", "types").alias("types"),
-        keep("_regions", "regions").alias("regions"),
-        own.alias("own"),
-        moving.alias("moving"),
-    )
-
-
-def inertia(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+    return picks.join(sample, ["portfolio_id", "slot"]).drop("slot", "k", "m")
+
+
+def nearest_centres(rows: DataFrame, centres: DataFrame, k: int) -> DataFrame:
+    """Rows once per restart with the closest cluster and its squared distance."""
+    def squared(j: int) -> Column:
+        value, subs = F.col("log_value") - F.col(f"value_{j}"), F.col("subs") - F.col(f"count_{j}")
+        return F.coalesce(value * value + subs * subs + F.col(f"constant_{j}"), F.lit(float("inf")))
+
+    near = rows.join(centres, ["portfolio_id", "type_key", "region_key"])
+    near = near.withColumns({f"_d{j}": squared(j) for j in range(k)})
+    near = near.withColumn("distance", F.least(*[F.col(f"_d{j}") for j in range(k)]) if k > 1 else F.col("_d0"))
+    cluster = F.coalesce(*[F.when(F.col(f"_d{j}") == F.col("distance"), F.lit(j)) for j in range(k)])
+    kept = [c for c in centres.columns if c.startswith("order_")]
+    return near.select(*rows.columns, "restart", cluster.alias("cluster"), "distance", *kept)
+
+
+def _advance(sums: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """Next centres from the sums of the last assignment."""
+    keyed = sums.toDF(*["_key" if c == "portfolio_id" else c for c in sums.columns])
+    both = keyed.groupBy("_key").cogroup(state.groupBy("portfolio_id"))
+    return both.applyInPandas(_next_centres(k), state.schema)
+
+
+def _next_centres(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Per portfolio: means and category shares of each cluster. The input has
+    one row per restart, cluster, type and region. An empty cluster stays."""
+
+    def advance(sums: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        state = state.reset_index(drop=True)
+        moved = pd.Series(0.0, index=state.index)
+        for (restart, cluster), part in sums.groupby(["restart", "cluster"]):
+            rows = state.index[state["restart"] == restart]
+            n = part["n"].sum()
+            types, regions = part.groupby("type_key")["n"].sum() / n, part.groupby("region_key")["n"].sum() / n
+            own = float((types**2).sum() + (regions**2).sum())
+            shares = (
+                state.loc[rows, "type_key"].map(types).fillna(0.0) + state.loc[rows, "region_key"].map(regions).fillna(0.0)
+            ).astype(float)
+            fresh = {"value": part["v"].sum() / n, "count": part["s"].sum() / n, "constant": 2 + own - 2 * shares}
+            for name, value in fresh.items():
+                column = f"{name}_{cluster}"
+                # The first centres have nothing to move from: they always move.
+                step = ((value - state.loc[rows, column]) ** 2).fillna(np.inf)
+                moved[rows] += step * (0.25 if name == "constant" else 1.0)
+                state.loc[rows, column] = value
+        state["moving"] = moved > np.maximum(state["spread"], 1e-12) * TOLERANCE
+        state["moving"] = state.groupby("restart")["moving"].transform("any")
+        return state
+
+    return advance
+
+
+def inertia(rows: DataFrame, centres: DataFrame, k: int) -> DataFrame:
     """Sum of squared distances per portfolio and restart."""
-    return (
-        _assigned(rows, measured(_packed(centroids)))
-        .select("portfolio_id", F.inline("nearest"))
-        .groupBy("portfolio_id", "restart")
-        .agg(F.sum("distance").alias("inertia"))
+    return nearest_centres(rows, measured(centres), k).groupBy("portfolio_id", "restart").agg(
+        F.sum("distance").alias("inertia")
     )
 
 
-def _best_restart(rows: DataFrame, centroids: DataFrame) -> DataFrame:
-    costs = inertia(rows, centroids)
-    best = costs.groupBy("portfolio_id").agg(
-        F.min_by("restart", F.struct(F.round("inertia", 6), "restart")).alias("restart")
-    )
-    order = W.partitionBy("portfolio_id").orderBy("log_value", "subs", "cluster")
-    return centroids.join(best, ["portfolio_id", "restart"]).withColumn(
-        "cluster", F.row_number().over(order) - 1
-    )
+def _order(k: int) -> dict[str, Column]:
+    """Number of each cluster by ascending centre; equal centres keep their order."""
+    def before(i: int, j: int) -> Column:
+        a, b = F.struct(f"value_{i}", f"count_{i}"), F.struct(f"value_{j}", f"count_{j}")
+        earlier = (a < b) | ((a == b) & F.lit(i < j))
+        return (F.col(f"value_{i}").isNotNull() & earlier).cast("int")
+
+    return {
+        f"order_{j}": sum((before(i, j) for i in range(k) if i != j), F.lit(0)) for j in range(k)
+    }

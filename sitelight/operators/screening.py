@@ -142,8 +142,12 @@ def blocked(encoded: DataFrame, k_max: int) -> DataFrame:
 def nearest(bids: DataFrame, history: DataFrame, k: int = DEFAULT_K, order_by: str = "project_id") -> DataFrame:
     """The k nearest history rows of every bid: bid_id, k, position, project_id,
     distance and the row's outcomes. Fewer than k rows give all of them."""
+    # Only the columns that matter, written once: everything below reads these.
+    columns = {"portfolio_id", "project_id", order_by, "project_type", "region", "contract_value_usd",
+               "subcontractor_count", "payment_disputes", *OUTCOME_RANGES}
+    history = materialize(history.select(*sorted(columns)), "history")
     medians = measured(feature_medians(history))
-    encoded = materialize(encode_history(history, order_by, medians), "history")
+    encoded = encode_history(history, order_by, medians)
     categories = measured(encoded.select("portfolio_id", "type_key", "region_key").distinct())
     # Partitioned by bid from here on: bounds, reach and ranks need no new shuffle
     # of the bids while the blocks are small enough to be sent to them.
