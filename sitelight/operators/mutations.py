@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitelight import schema as S
+from sitelight.functions.joins import measured
 from sitelight.operators.cleaning import derive_duration
 
 
@@ -46,19 +47,28 @@ def apply_mutations(projects: DataFrame, mutations: DataFrame, portfolios: DataF
         F.col("portfolio_id").alias("_portfolio"), F.col("project_id").alias("_id"),
         F.col("project_id_external").alias("_external"), F.col("source").alias("_source"),
     )
-    rows = mutations
+    rows = measured(mutations)
     if portfolios is not None:
         listed = portfolios.select("portfolio_id").distinct().withColumn("_listed", F.lit(True))
         rows = rows.join(listed, "portfolio_id", "left")
     else:
         rows = rows.withColumn("_listed", F.lit(True))
-    with_id = rows.where("project_id is not null").join(known, F.col("project_id") == F.col("_id"), "left")
+    # A batch names few rows of a large table: reduce the table to those first,
+    # which needs no shuffle of it while the named keys are small.
+    ids = measured(rows.select(F.col("project_id").alias("_id")).where("_id is not null").distinct())
+    names = measured(
+        rows.where("project_id is null")
+        .select(F.col("portfolio_id").alias("_portfolio"), F.col("project_id_external").alias("_external")).distinct()
+    )
+    with_id = rows.where("project_id is not null").join(
+        known.join(ids, "_id", "left_semi"), F.col("project_id") == F.col("_id"), "left"
+    )
     without_id = rows.where("project_id is null").join(
-        known,
+        known.join(names, ["_portfolio", "_external"], "left_semi"),
         (F.col("portfolio_id") == F.col("_portfolio")) & (F.col("project_id_external") == F.col("_external")),
         "left",
     )
-    resolved = with_id.unionByName(without_id)
+    resolved = measured(with_id.unionByName(without_id))
 
     # First delete per existing row, counted where it may take effect.
     deletes = resolved.where("op = 'delete' and project_id is not null and _portfolio = portfolio_id and _listed")
@@ -97,7 +107,7 @@ def apply_mutations(projects: DataFrame, mutations: DataFrame, portfolios: DataF
         F.when(F.col("_target") == F.col("_id"), F.coalesce("_source", F.lit(S.SOURCE_CSV)))
         .otherwise(S.SOURCE_MANUAL).alias("source"),
     )
-    changed = written.select("project_id").unionByName(deleted.select("project_id"))
+    changed = measured(written.select("project_id").unionByName(deleted.select("project_id")))
     untouched = projects.select(*written.columns).join(changed, "project_id", "left_anti")
     merged = untouched.unionByName(written.select(*[F.col(f.name).cast(f.dataType) for f in untouched.select(*written.columns).schema]))
     touched = written.select("portfolio_id").unionByName(deleted.select("portfolio_id")).distinct()

@@ -251,11 +251,12 @@ def confidence(questions: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def source_rows(matches: DataFrame, chunks: DataFrame, documents: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Matches with file name and a preview of the passage."""
+    """Matches with file name and a preview of the passage. Matches are few next
+    to chunks; with their size known the texts are looked up without a shuffle."""
     texts = chunks.select(key, "document_id", "chunk_text")
     names = documents.select("document_id", F.col("filename").alias("document_filename"))
     return (
-        matches.join(texts, key)
+        measured(matches).join(texts, key)
         .join(names, "document_id", "left")
         .select(
             "question_id", "position", key, "similarity",
@@ -268,7 +269,7 @@ def source_rows(matches: DataFrame, chunks: DataFrame, documents: DataFrame, key
 def context_text(questions: DataFrame, matches: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Numbered excerpts in rank order followed by the question (at most 20
     passages per question)."""
-    texts = matches.join(chunks.select(key, "chunk_text"), key)
+    texts = measured(matches).join(chunks.select(key, "chunk_text"), key)
     ordered = F.array_sort(F.collect_list(F.struct("position", "chunk_text")))
     excerpts = F.array_join(
         F.transform(ordered, lambda m: F.concat(F.lit("[C"), m["position"].cast("string"), F.lit("] "), m["chunk_text"])), "\n\n"

@@ -263,6 +263,6 @@ def screen(
 def similar_details(cohort: DataFrame, projects: DataFrame) -> DataFrame:
     """Name and outcomes of each similar project, in rank order per bid."""
     names = projects.select("portfolio_id", "project_id", "project_id_external", "project_name")
-    return cohort.select(
+    return measured(cohort.select(
         "bid_id", "portfolio_id", "position", "project_id", "delay_days", "cost_overrun_pct"
-    ).join(names, ["portfolio_id", "project_id"])
+    )).join(names, ["portfolio_id", "project_id"])

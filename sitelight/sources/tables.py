@@ -62,8 +62,10 @@ def replace_portfolios(df: DataFrame, path: str, touched: DataFrame) -> None:
     """
     touched = measured(touched.select("portfolio_id").distinct())
     rows = df.join(touched, "portfolio_id", "left_semi")
+    # Few files per portfolio, and more than one writer for a large one.
     (
-        rows.write.mode("overwrite")
+        rows.hint("rebalance", F.col("portfolio_id"))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("portfolio_id")
         .parquet(path)
