@@ -19,7 +19,11 @@ def trim_all(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACES), "")
+
+
+def is_blank(text: Column) -> Column:
+    return ~text.rlike(SPACE.replace("[", "[^", 1))
 
 
 def chunk_words(

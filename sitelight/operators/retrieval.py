@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from sitelight import schema as S
 from sitelight.functions.joins import measured
-from sitelight.functions.text import chunk_words, trim_all, words
+from sitelight.functions.text import chunk_words, is_blank, trim_all, words
 
 # Question vectors handed to every task at a time; larger batches are answered
 # in several readings of the chunks.
@@ -36,14 +36,14 @@ def chunked(documents: DataFrame) -> DataFrame:
     kind = extension(F.col("filename"))
     reason = F.concat(F.lit("unsupported_extension:"), F.coalesce(F.nullif(kind, F.lit("")), F.lit("none")))
     readable = kind.isin(TEXT_EXTENSIONS)
-    text = trim_all(F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
     found = F.size("chunks")
     return (
         documents.withColumn("chunks", F.when(readable, chunk_words(text)).otherwise(F.array().cast("array<string>")))
         .withColumn(
             "embedding_status",
             F.when(~readable, F.concat(F.lit("failed:"), F.left(reason, F.lit(S.MAX_REASON_CHARS))))
-            .when(F.length(text) == 0, "failed:empty_text")
+            .when(is_blank(text), "failed:empty_text")
             .when(found == 0, "failed:no_usable_chunks")
             .otherwise("complete"),
         )

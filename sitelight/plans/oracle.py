@@ -220,8 +220,9 @@ def _core() -> dict[str, str]:
               FROM fills WHERE n_filled > 0 AND value IS NOT NULL GROUP BY 1) USING (portfolio_id)""", "cleaned", "fills")
     out["c10_project_columns"] = sql("""
         SELECT portfolio_id, project_id AS project_id_external, project_name, project_type, contract_value_usd,
-          start_date, end_date, region, subcontractor_count, delay_days, cost_overrun_pct, safety_incidents,
-          payment_disputes, final_status, actual_duration_days, CAST(NULL AS VARCHAR) AS anomaly_flags FROM firsts""", "firsts")
+          start_date, end_date, region, CAST(subcontractor_count AS DOUBLE) AS subcontractor_count, delay_days, cost_overrun_pct,
+          CAST(safety_incidents AS DOUBLE) AS safety_incidents, CAST(payment_disputes AS DOUBLE) AS payment_disputes,
+          final_status, actual_duration_days, CAST(NULL AS VARCHAR) AS anomaly_flags FROM firsts""", "firsts")
     out["c11_validate_valid"] = sql("""
         SELECT user_id, event_id, contract_value_usd, actual_duration_days FROM (
           SELECT user_id, event_id, CASE WHEN event_type = 'view' THEN NULL ELSE value - 20 END AS contract_value_usd,

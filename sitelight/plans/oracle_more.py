@@ -152,7 +152,7 @@ def statements() -> dict[str, str]:
         FROM (SELECT p.portfolio_id, count(u.project_id) AS n_completed, count(*) FILTER (WHERE bid_ok AND late_ok) AS n_usable,
             count(*) FILTER (WHERE bid_ok AND late_ok AND label) AS n_positive
           FROM proj p LEFT JOIN usable u USING (project_id) GROUP BY p.portfolio_id)""", "usable")
-    out["m2_label"] = sql("SELECT project_id, CASE WHEN payment_disputes >= 1 THEN 1 ELSE 0 END AS label FROM proj", "proj")
+    out["m2_label"] = sql("SELECT project_id, CAST(CASE WHEN payment_disputes >= 1 THEN 1 ELSE 0 END AS DOUBLE) AS label FROM proj", "proj")
     entries = {"'contract_value_usd'": "contract_value_usd", "'subcontractor_count'": "subcontractor_count",
                "'project_type_' || project_type": "1", "'region_' || region": "1"}
     out["m3_encoded"] = sql(" UNION ALL ".join(
@@ -176,7 +176,7 @@ def statements() -> dict[str, str]:
     out["r6_checked_questions"] = sql(f"""
         SELECT conv_id, turn, {UUID} AS portfolio_id,
           CASE WHEN turn IN (0, 2) THEN 3 ELSE greatest(1, least(20, conv_id - 5)) END AS top_k,
-          CASE WHEN turn = 0 THEN 0.5 WHEN turn = 2 THEN 0.25 ELSE 1.0 END AS threshold
+          CAST(CASE WHEN turn = 0 THEN 0.5 WHEN turn = 2 THEN 0.25 ELSE 1.0 END AS DOUBLE) AS threshold
         FROM conversations WHERE role NOT IN ('system', 'assistant') AND regexp_replace(coalesce(text, ''), '{SPACES}', '', 'g') <> ''""")
     out["r6_rejected_questions"] = sql(f"""
         SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'portfolio_id must be a UUID' ELSE 'question must be a non-empty string' END AS error
