@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sitelight import schema as S
 from sitelight.functions.columns import confidence_label, null_nan, wilson_interval
 from sitelight.functions.joins import measured
 from sitelight.operators.segments import cluster_features, feature_medians

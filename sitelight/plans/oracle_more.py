@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitelight.plans.oracle import CTES, DRIVER, FLAGS, TOTAL, confidence, cte, sql, wilson
+from sitelight.plans.oracle import CTES, confidence, cte, sql, wilson
 
 # --- screening -------------------------------------------------------------------
 cte("bid", """
@@ -90,7 +90,7 @@ cte("kept", """
             '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') ELSE found END AS target
         FROM judged WHERE error IS NULL AND op = 'upsert' AND (found IS NULL OR gone_at IS NULL OR after_delete)))
     WHERE newest = 1""", "judged")
-cte("merged", f"""
+cte("merged", """
     SELECT portfolio_id, CAST(project_id AS VARCHAR) AS project_id, project_id_external, project_name, project_type, region,
       contract_value_usd, subcontractor_count, delay_days, cost_overrun_pct, safety_incidents, payment_disputes, final_status,
       actual_duration_days, 'csv' AS source
