@@ -51,7 +51,7 @@ def quantized(vectors: DataFrame, id_column: str, vector_column: str, scale: int
     )
 
 
-def _blocks(vectors: DataFrame, n: int, key: str, ids: str, flat: str) -> DataFrame:
+def blocks_of(vectors: DataFrame, n: int, key: str, ids: str, flat: str) -> DataFrame:
     rows = vectors.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(key), "vec_id", "vector")
     return (
         rows.groupBy("dim", key).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("rows"))
@@ -130,7 +130,7 @@ def exact_top_k(
     asked = quantized(queries, id_column, vector_column, scale)
     n_shards = max(1, math.ceil(candidates.count() / shard_rows))
     n_blocks = max(1, math.ceil(asked.count() / query_rows))
-    shards = _blocks(candidates, n_shards, "shard", "ids", "flat")
-    blocks = _blocks(asked, n_blocks, "block", "query_ids", "query_flat")
+    shards = blocks_of(candidates, n_shards, "shard", "ids", "flat")
+    blocks = blocks_of(asked, n_blocks, "block", "query_ids", "query_flat")
     lists = met(blocks, shards, n_shards).mapInArrow(_select(k), TOP)
     return merged(lists, k, n_shards, fan).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
