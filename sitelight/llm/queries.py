@@ -8,12 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelight.llm import ann, topk, urlfilter
+from sitelight.llm import ann, packing, tokens, topk, urlfilter
 from sitelight.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+SEQUENCE_LENGTH = 2048
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = tokens.pieces(table(spark, sf_dir, "documents"), tokens.tokenizer_path(), SEQUENCE_LENGTH)
+    digests = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests, SEQUENCE_LENGTH)
+
+
 def op2_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
@@ -39,6 +48,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op2_graph_neighbours": op2_graph_neighbours,
         "op9_url_filter": op9_url_filter,
         "op10_exact_top_k": op10_exact_top_k,
