@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelight.llm import ann, packing, tokens, topk, urlfilter
-from sitelight.llm.common import table
+from sitelight.llm import ann, langid, packing, tokens, topk, urlfilter
+from sitelight.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,12 @@ def op2_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold_of("doc_id", 4) == 2)
+    model = langid.fit(docs.where(~F.col("held_out")), langid.vocabulary_path())
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 #: Host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -50,6 +56,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_graph_neighbours": op2_graph_neighbours,
+        "op5_language_id": op5_language_id,
         "op9_url_filter": op9_url_filter,
         "op10_exact_top_k": op10_exact_top_k,
     }
