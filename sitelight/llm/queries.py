@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelight.llm import ann, langid, packing, tokens, topk, urlfilter
+from sitelight.llm import ann, langid, ngram_join, packing, tokens, topk, urlfilter
 from sitelight.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 #: Host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -57,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_graph_neighbours": op2_graph_neighbours,
         "op5_language_id": op5_language_id,
+        "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op9_url_filter": op9_url_filter,
         "op10_exact_top_k": op10_exact_top_k,
     }
