@@ -233,7 +233,7 @@ def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html"
         F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"), F.struct(*own).alias("page"),
     )
     layout = T.StructType([
-        *(rows.schema[c] for c in ("uid", "host", "path", "page")), *
+        *(rows.schema[c] for c in ("uid", "host", "path", "page")),
         T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("inside", T.ArrayType(T.BooleanType())), T.StructField("declared", T.ArrayType(T.BooleanType())),
     ])
     stored = scratch.write(rows.mapInArrow(_parse, layout), "pages-lines")
