@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelight.llm import ann, html, langid, ngram_join, packing, tokens, topk, urlfilter
+from sitelight.llm import ann, html, langid, lm, ngram_join, packing, tokens, topk, urlfilter
 from sitelight.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op2_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (fold_of("doc_id", 5) == 1).alias("held_out"), "text")
+    return lm.score(docs, docs.where(~F.col("held_out")))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_graph_neighbours": op2_graph_neighbours,
+        "op3_bloom_lm": op3_bloom_lm,
         "op4_html_extraction": op4_html_extraction,
         "op5_language_id": op5_language_id,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
