@@ -57,3 +57,20 @@ def list_values(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def member_bits(keys: DataFrame, column: str, most: int = 2**27) -> np.ndarray:
+    """A filter of bounded size with one bit per 64-bit key: 16 bits a key, up
+    to ``most``. It only spares work; whoever reads through it joins as well."""
+    words = max(1, min(most, 16 * keys.count()) // 64)
+    at = F.pmod(F.col(column), F.lit(64 * words))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {64 * words}) % 64 as int))")
+    rows = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("mask")).toPandas()
+    out = np.zeros(words, dtype=np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def may_hold(bits: np.ndarray, key: int) -> bool:
+    at = key % (64 * len(bits))
+    return bool((int(bits[at >> 6]) >> (at & 63)) & 1)

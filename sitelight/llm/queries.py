@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelight.llm import ann, html, langid, lm, ngram_join, packing, tokens, topk, urlfilter
+from sitelight.llm import ann, html, langid, line_dedup, lm, ngram_join, packing, tokens, topk, urlfilter
 from sitelight.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op3_bloom_lm": op3_bloom_lm,
         "op4_html_extraction": op4_html_extraction,
         "op5_language_id": op5_language_id,
+        "op6_line_chunk_dedup": op6_line_chunk_dedup,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op9_url_filter": op9_url_filter,
         "op10_exact_top_k": op10_exact_top_k,
