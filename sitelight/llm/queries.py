@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelight.llm import ann, html, langid, line_dedup, lm, ngram_join, packing, tokens, topk, urlfilter
+from sitelight.llm import ann, html, langid, line_dedup, lm, mixing, ngram_join, packing, tokens, topk, urlfilter
 from sitelight.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,22 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+#: Shares of tokens that the mixture should have by domain.
+MIXTURE = {"good": 0.94, "junk": 0.04, "toxic": 0.02}
+
+
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labelled documents."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "good")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated, names, _ = mixing.mix(table(spark, sf_dir, "documents"), domains(spark, sf_dir), MIXTURE)
+    shares = [F.get("posterior", F.lit(i)).alias(f"p_{name}") for i, name in enumerate(names)]
+    return rated.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
 #: Host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -78,6 +94,7 @@ def queries() -> dict[str, Query]:
         "op5_language_id": op5_language_id,
         "op6_line_chunk_dedup": op6_line_chunk_dedup,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op8_soft_mixing": op8_soft_mixing,
         "op9_url_filter": op9_url_filter,
         "op10_exact_top_k": op10_exact_top_k,
     }
