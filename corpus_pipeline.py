@@ -1,21 +1,77 @@
-"""The corpus pipeline: each stage takes all that the one before it kept."""
+"""The corpus pipeline: each stage takes all that the one before it kept.
+
+Stages take (spark, docs, sf_dir) and return the columns of ``docs``, but for
+the last, which returns the pieces packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sitelight.llm import langid, line_dedup, mixing, ngram_join, packing, tokens
 from sitelight.llm.common import Scratch, table
+from sitelight.llm.queries import MIXTURE, SEQUENCE_LENGTH, domains
+
+#: A text stays if its best language has at least this posterior.
+SURE = 0.5
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, or without a language that is likelier than all others, go."""
+    model = langid.fit(docs, langid.vocabulary_path())
+    scored = langid.identify(docs, model)
+    return scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated line chunks; those that lose every visible
+    character go, since all they had is kept elsewhere."""
+    result = line_dedup.dedup(docs).where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
+    return result.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the
+    document with the smallest id stays, and once if its row is repeated."""
+    scratch = Scratch(spark)
+    found = scratch.write(ngram_join.groups(docs, width=5, percent=80), "pipeline-groups")
+    others = found.where("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    kept = docs.join(others, "doc_id", "left_anti")
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its rate says."""
+    rated, _, _ = mixing.mix(docs, domains(spark, sf_dir), MIXTURE, keep_text=True)
+    return rated.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their place in sequences of at most SEQUENCE_LENGTH tokens."""
+    cut = tokens.pieces(docs, tokens.tokenizer_path(), SEQUENCE_LENGTH)
+    return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), SEQUENCE_LENGTH)
+
 
-STAGES: list = []
+STAGES = [
+    ("language identification", identify_languages),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("mixing to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
-#: Packing and the earlier iterative stages have no SQL form; tests compare them with brute force.
+#: Models, chunking by rolling hashes and the genetic search have no SQL form;
+#: tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark)
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.write(docs, f"stage-{i}")

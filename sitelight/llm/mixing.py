@@ -70,15 +70,21 @@ def features(found: Column, places: list[int]) -> Column:
     return F.array_distinct(F.filter(numbered, lambda place: place >= 0))
 
 
-def _softmax(kept: str, weights: list[list[float]]) -> Column:
-    def logit(row: list[float]) -> Column:
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed once per row: a generator keeps the optimizer
+    from copying the expression into every place, and every lambda, that uses it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_posterior(df: DataFrame, kept: str, weights: list[list[float]], name: str) -> DataFrame:
+    """Softmax of the linear scores of the features."""
+    def part(row: list[float]) -> Column:
         table = numbers([round(w, 6) for w in row[:-1]], "double")
-        return F.aggregate(kept, F.lit(float(row[-1])), lambda total, place: total + F.get(table, place))
+        return F.exp(F.least(F.aggregate(kept, F.lit(float(row[-1])), lambda total, place: total + F.get(table, place)), F.lit(300.0)))
 
-    parts = F.array(*[logit(row) for row in weights])
-    parts = F.transform(parts, lambda x: F.exp(F.least(x, F.lit(300.0))))
-    whole = F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
-    return F.transform(parts, lambda x: x / whole)
+    parts = once(df, "__parts", F.array(*[part(row) for row in weights]))
+    each = [F.col("__parts")[i] for i in range(len(weights))]
+    return once(parts, name, F.array(*[x / sum(each[1:], each[0]) for x in each])).drop("__parts")
 
 
 def draw(*columns: str) -> Column:
@@ -126,7 +132,7 @@ def fit_classifier(
     drift, spread = [[0.0] * (most + 1) for _ in domains], [[0.0] * (most + 1) for _ in domains]
     total = max(1, sum(sizes.values()))
     for epoch in range(1, epochs + 1):
-        p = rows.select(F.concat("kept", F.array(F.lit(most))).alias("at"), _softmax("kept", weights).alias("p"), *[f"y{i}" for i in range(len(domains))])
+        p = with_posterior(rows, "kept", weights, "p").withColumn("at", F.concat("kept", F.array(F.lit(most))))
         wrong = p.select(F.explode("at").alias("at"), *[(F.col("p")[i] - F.col(f"y{i}")).alias(f"g{i}") for i in range(len(domains))])
         for row in wrong.groupBy("at").agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in range(len(domains))]).collect():
             for i in range(len(domains)):
@@ -142,22 +148,22 @@ def fit_classifier(
 
 def posteriors(docs: DataFrame, model: Classifier, text_column: str = "text") -> DataFrame:
     """``docs`` with tokens and posterior (an array in the order of the domains)."""
-    found = docs.drop("tokens", "posterior").withColumn("__tokens", tokens(F.col(text_column)))
+    found = once(docs.drop("tokens", "posterior"), "__tokens", tokens(F.col(text_column))).withColumn("tokens", F.size("__tokens").cast("long"))
     if not model.domains:
-        return found.withColumns({"tokens": F.size("__tokens").cast("long"), "posterior": F.array().cast("array<double>")}).drop("__tokens")
-    kept = found.withColumns({"tokens": F.size("__tokens").cast("long"), "__kept": features(F.col("__tokens"), model.places)}).drop("__tokens")
-    return kept.withColumn("posterior", _softmax("__kept", model.weights)).drop("__kept")
+        return found.withColumn("posterior", F.array().cast("array<double>")).drop("__tokens")
+    kept = once(found, "__kept", features(F.col("__tokens"), model.places)).drop("__tokens")
+    return with_posterior(kept, "__kept", model.weights, "posterior").drop("__kept")
 
 
 def _moved(rate: Column, steps: list[list[float]]) -> Column:
     """The rate after the given gradient steps."""
     if not steps:
         return rate
-    history = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
+    history = numbers(steps, "array<double>")
 
     def step(now: Column, gradient: Column) -> Column:
-        slope = F.aggregate(F.zip_with("posterior", gradient, lambda p, g: p * g), F.lit(0.0), lambda total, x: total + x)
-        return F.greatest(F.lit(0.0), now - slope)
+        slopes = [F.col("posterior")[i] * gradient[i] for i in range(len(steps[0]))]
+        return F.greatest(F.lit(0.0), now - sum(slopes[1:], slopes[0]))
 
     return F.aggregate(history, rate, step)
 
@@ -174,20 +180,22 @@ def fit_rates(
 
     def totals(steps: list[list[float]]) -> tuple[list[float], list[float]]:
         """Expected tokens by domain, and what documents with a rate above 0 hold."""
-        row = stored.select("tokens", "posterior", _moved(F.col("rate"), steps).alias("now")).agg(*sums).first()
+        row = once(stored.select("tokens", "posterior", "rate"), "now", _moved(F.col("rate"), steps)).agg(*sums).first()
         return [row[f"e{i}"] or 0.0 for i in range(n)], [max(row[f"a{i}"] or 0.0, 1e-9) for i in range(n)]
 
     now, scale = totals([]) if n else ([], [])
     want = [max(0.0, weights.get(d, 0.0)) * (now[i] > 0) for i, d in enumerate(domains)]
     if not sum(want):
-        return stored, {"converged": not n or not sum(weights.values()), "rounds": 0, "targets": {}, "totals": dict(zip(domains, now, strict=True))}
+        return stored, {"converged": not n or not sum(weights.values()), "rounds": 0, "targets": {}, "totals": dict(zip(domains, now, strict=True)), "path": []}
     want = [w / sum(want) for w in want]
     whole = total_tokens if total_tokens is not None else min(now[i] / w for i, w in enumerate(want) if w > 0)
     target = [w * whole for w in want]
     steps: list[list[float]] = []
+    path: list[list[float]] = []
     done = turn = 0
     while max(abs(a - b) for a, b in zip(now, target, strict=True)) > tolerance * max(whole, 1e-9) and done < rounds:
         steps.append([(a - b) / s for a, b, s in zip(now, target, scale, strict=True)])
+        path.append(steps[-1])
         done += 1
         if len(steps) == rewrite:
             turn += 1
@@ -197,9 +205,9 @@ def fit_rates(
         now, scale = totals(steps)
     report = {
         "converged": max(abs(a - b) for a, b in zip(now, target, strict=True)) <= tolerance * max(whole, 1e-9), "rounds": done,
-        "targets": dict(zip(domains, target, strict=True)), "totals": dict(zip(domains, now, strict=True)),
+        "targets": dict(zip(domains, target, strict=True)), "totals": dict(zip(domains, now, strict=True)), "path": path,
     }
-    return stored.withColumn("rate", _moved(F.col("rate"), steps)), report
+    return once(stored.withColumnRenamed("rate", "__rate"), "rate", _moved(F.col("__rate"), steps)).drop("__rate"), report
 
 
 def copies(rate: Column, chance: Column, sure: float = 0.1) -> Column:
@@ -210,12 +218,15 @@ def copies(rate: Column, chance: Column, sure: float = 0.1) -> Column:
     return (F.floor(rate) + extra).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_column: str = "doc_id", text_column: str = "text", total_tokens: float | None = None) -> tuple[DataFrame, list[str], dict]:
-    """(``docs`` without their text, with tokens, posterior, rate and copies;
-    the domains; the report)."""
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_column: str = "doc_id", text_column: str = "text", total_tokens: float | None = None, keep_text: bool = False) -> tuple[DataFrame, list[str], dict]:
+    """(``docs`` with tokens, posterior, rate and copies, and with their text
+    if it is to be kept; the domains; the report)."""
     scratch = Scratch(docs.sparkSession)
     model = fit_classifier(docs, labels, scratch, id_column, text_column)
-    scored = posteriors(docs, model, text_column).drop(text_column)
-    rated, report = fit_rates(scored, model.domains, weights, scratch, total_tokens)
-    chance = draw(id_column, "tokens", "rate")
-    return rated.withColumn("copies", copies(F.col("rate"), chance)), model.domains, report
+    scored = posteriors(docs, model, text_column)
+    if keep_text:  # a text is read again rather than written beside its rate
+        _, report = fit_rates(scored.select("tokens", "posterior"), model.domains, weights, scratch, total_tokens)
+        rated = once(scored, "rate", _moved(F.lit(1.0), report["path"]))
+    else:
+        rated, report = fit_rates(scored.drop(text_column), model.domains, weights, scratch, total_tokens)
+    return rated.withColumn("copies", copies(F.col("rate"), draw(id_column, "tokens", "rate"))), model.domains, report
