@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words whose ids a task remembers before it starts afresh.
-REMEMBERED = 300_000
+from sitelight.llm.words import slices, told_apart
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -19,30 +21,67 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Distinct words whose ids a worker remembers before it starts afresh.
+REMEMBERED = 1_000_000
+#: Marks at a word's end that the tokenizer splits off; they are no letters, digits or spaces.
+TAIL = ".,;:!?%#$&*|"
+
+
 class WordIds:
     """Ids of whole texts, put together from the ids of their space-separated
-    parts. The tokenizer splits at white space first, so both are the same;
-    each distinct part is encoded once."""
+    parts. The tokenizer splits at white space, and letters from marks, before
+    it looks for tokens, so both are the same; each distinct word is encoded
+    once while it is remembered."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def _encode(self, words: set[str]) -> None:
+        missing = [w for w in words if w not in self.known]
+        for word, code in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(code.ids, dtype="<u4").tobytes()
+
+    def codes(self, words: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
-        missing = list(set().union(*parts).difference(known))
-        for word, code in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[word] = np.array(code.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in parts]
+            known[""] = b""
+        out = list(map(known.get, words))
+        split = {}
+        for i, code in enumerate(out):
+            if code is None:
+                body = words[i].rstrip(TAIL)
+                plain = body.isalpha() and "\u03a3" not in body and "\u0130" not in body
+                split[i] = (body.lower(), words[i][len(body) :]) if plain else (words[i], "")
+        self._encode({part for pair in split.values() for part in pair if part})
+        for i, (body, tail) in split.items():
+            out[i] = known[words[i]] = known[body] + known[tail] if tail else known[body]
+        return out
+
+    def encode(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by ``end``; offsets per text)."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        number, offsets, distinct = told_apart(parts)
+        words = distinct.to_pylist()
+        codes = [*self.codes(words), end]
+        number = np.insert(number, offsets[1:], len(words))
+        size = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
+        flat, first = np.frombuffer(b"".join(codes), dtype="<u4"), np.cumsum(size) - size
+        length = size[number]
+        before = np.cumsum(length) - length
+        ids = flat[np.repeat(first[number] - before, length) + np.arange(length.sum())]
+        ends = offsets[1:] + np.arange(len(texts))
+        return ids, np.r_[0, (before + length)[ends]]
+
+
+@functools.cache
+def remembering(path: str) -> WordIds:
+    """One per worker process, so that its tasks share what it remembers."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -55,23 +94,19 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_column
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                row, piece, start, length, ids = [], [], [], [], []
-                for i, code in enumerate(words.encode(batch.column(1).to_pylist())):
-                    code += end
-                    total = len(code) // 4
-                    for p, s in enumerate(range(0, total, capacity)):
-                        row.append(i)
-                        piece.append(p)
-                        start.append(s)
-                        ids.append(code[4 * s : 4 * (s + capacity)])
-                        length.append(len(ids[-1]) // 4)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "piece", "start", "length", "ids"],
-                )
+        for batch in slices(batches, "text"):
+            ids, offsets = remembering(path).encode(batch.column(1), end)
+            count = -(-np.diff(offsets) // capacity)
+            row = np.repeat(np.arange(len(count)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            first = offsets[row] + start
+            stop = np.minimum(first + capacity, offsets[row + 1])
+            raw = pa.py_buffer(ids.astype("<u4").tobytes())
+            cuts = pa.array(np.append(first, len(ids)) * 4, pa.int32()).buffers()[1]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(stop - first, pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, cuts, raw])],
+                names=["doc_id", "piece", "start", "length", "ids"],
+            )
 
     return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids binary")

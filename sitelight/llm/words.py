@@ -1,18 +1,55 @@
-"""Words and shingles of texts as 64-bit hashes, inside tasks."""
+"""Words and shingles of texts as 64-bit hashes, inside tasks.
+
+Words are split and told apart by Arrow, a slice of texts at a time; each
+distinct word of a slice is hashed once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-#: Distinct words whose hashes a task remembers before it starts afresh.
-REMEMBERED = 1_000_000
+from sitelight.llm.common import list_values
+
+#: Bytes of text that are worked on at a time; a longer text is a slice by itself.
+TOGETHER = 4_000_000
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """The runs outside space and U+0009 to U+000D, with A-Z lower-cased."""
-    return text.lower().split()  # on bytes both know the ASCII characters only
+def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about TOGETHER bytes of text, never split texts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0).to_numpy().astype(np.int64)
+        part = (np.cumsum(size) - size) // TOGETHER
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        for at, end in zip(first, np.r_[first[1:], len(part)], strict=True):
+            yield batch.slice(at, end - at)
+
+
+def told_apart(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of the distinct string per string, offsets per text, distinct strings)."""
+    offsets, flat = list_values(parts)
+    encoded = flat.dictionary_encode()
+    return encoded.indices.to_numpy(zero_copy_only=False), offsets.astype(np.int64), encoded.dictionary
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, offsets per text). Words are the runs outside space
+    and U+0009 to U+000D, with A-Z lower-cased."""
+    number, offsets, distinct = told_apart(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
+    names = distinct.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), dtype=np.uint64, count=len(names))
+    there = np.fromiter(map(bool, names), dtype=bool, count=len(names))
+    if there.all():
+        return hashes[number], offsets
+    keep = there[number]
+    return hashes[number[keep]], np.r_[0, np.cumsum(keep)][offsets]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -21,25 +58,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > REMEMBERED:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``width`` words; with fewer words
-    the whole sequence is one; without words there are none."""
-    if not len(hashes):
-        return hashes
-    n = min(width, len(hashes))
-    rows = len(hashes) - n + 1
-    total = np.full(rows, np.uint64(n), dtype=np.uint64)
-    for i in range(n):
-        total = mixed(total * ODD[0] + hashes[i : i + rows])
-    return np.unique(total)
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of its runs of ``width`` words;
+    with fewer words the whole sequence is one; without words there are none."""
+    words, offsets = word_hashes(texts)
+    total = np.full(max(0, len(words) - width + 1), np.uint64(width), dtype=np.uint64)
+    for i in range(width):
+        total = mixed(total * ODD[0] + words[i : i + len(total)])
+    for at, end in zip(offsets[:-1], offsets[1:], strict=True):
+        n = end - at
+        if n >= width:
+            yield np.unique(total[at : end - width + 1])
+        else:
+            value = np.full(min(n, 1), np.uint64(n), dtype=np.uint64)
+            for i in range(n):
+                value = mixed(value * ODD[0] + words[at + i])
+            yield value
