@@ -35,17 +35,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelight.llm.common import Scratch
-from sitelight.llm.words import ODD, WordHashes, mixed, words_of
+from sitelight.llm.words import ODD, mixed, slices, word_hashes
 
 #: The end of a text: its hash stands for a word that no text can hold.
-END = b" "
+END = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 PROBES, BLOCK_BITS, BITS_PER_ENTRY = 8, 2**16, 8 / math.log(2)
 DISCOUNT = 0.75
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 WORD_SALT, PAIR_SALT = np.uint64(0x51ED270B35AE4F8D), np.uint64(0xA24BAED4963EE407)
 
 
@@ -133,10 +134,10 @@ def build_filter(ngrams: DataFrame, least: int, entries: int) -> LogFrequencyFil
 
 
 # --- counting ------------------------------------------------------------------------
-def sequence(hashes: WordHashes, text: bytes) -> np.ndarray:
-    words = words_of(text)
-    words.append(END)
-    return hashes.of(words)
+def sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words with an end after each text, start of each text)."""
+    words, offsets = word_hashes(texts)
+    return np.insert(words, offsets[1:], END), offsets[:-1] + np.arange(len(texts))
 
 
 def pairs_of(words: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -147,33 +148,30 @@ def preceding(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The word before each; the end, where a text starts."""
     before = np.empty_like(words)
     before[1:] = words[:-1]
-    before[starts] = WordHashes().of([END])[0]
+    before[starts] = END
     return before
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, held, size = WordHashes(), [], 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def counts(texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        words = np.concatenate(texts)
-        starts = np.cumsum([0, *map(len, texts[:-1])])
-        for kind, items in ((1, words), (2, pairs_of(words, preceding(words, starts)))):
-            item, n = np.unique(items, return_counts=True)
+    def counts() -> Iterator[pa.RecordBatch]:
+        for kind in (1, 2):
+            item, n = np.unique(np.concatenate([x[kind - 1] for x in held]), return_counts=True)
             for at in range(0, len(item), 500_000):
                 some = slice(at, at + 500_000)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(item[some]), kind, np.int32)), pa.array(item[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["kind", "item", "n"]
                 )
 
-    for batch in batches:
-        for text in batch.column(0):
-            held.append(sequence(hashes, text.as_py()))
-            size += len(held[-1])
-            if size > COUNTED:
-                yield from counts(held)
-                held, size = [], 0
+    for batch in slices(batches, "text"):
+        words, starts = sequences(batch.column(0))
+        held.append((words, pairs_of(words, preceding(words, starts))))
+        if sum(len(x[0]) for x in held) > COUNTED:
+            yield from counts()
+            held.clear()
     if held:
-        yield from counts(held)
+        yield from counts()
 
 
 @dataclass
@@ -193,7 +191,7 @@ class Model:
 
 def fit(train: DataFrame, scratch: Scratch, text_column: str = "text", frequent: int = 2**19, entries: int = 2**25) -> tuple[Model, DataFrame]:
     """The model, and the exact counts (word, n) of all words."""
-    texts = train.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("text"))
+    texts = train.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     counted = texts.mapInArrow(_count, "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
     # pairs that occur once are kept while all of them are sure to fit
     words_only = counted.withColumn("level", level_of("n"))
@@ -236,7 +234,7 @@ def fit(train: DataFrame, scratch: Scratch, text_column: str = "text", frequent:
 
 def _tokens(texts: DataFrame) -> int:
     """An upper bound of the number of words: every second byte, and the ends."""
-    return texts.agg(F.sum(F.floor((F.length("text") + 1) / 2) + 1).alias("n")).first().n or 0
+    return texts.agg(F.sum(F.floor((F.octet_length("text") + 1) / 2) + 1).alias("n")).first().n or 0
 
 
 # --- scoring ----------------------------------------------------------------------------
@@ -256,8 +254,7 @@ def looked_up(model: Model, words: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def log_probabilities(model: Model, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: model's log10 probability, whether its word is listed, its looked-up count."""
-    end = WordHashes().of([END])
-    distinct, back = np.unique(np.concatenate([words, end]), return_inverse=True)
+    distinct, back = np.unique(np.append(words, END), return_inverse=True)
     listed, count, left = looked_up(model, distinct)
     before = np.empty(len(words), dtype=np.int64)
     before[1:] = back[: len(words) - 1]
@@ -275,26 +272,22 @@ def _score(shared):
     names = ["row", "n_tokens", "n_known", "base", "score", "word", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hashes = shared.value, WordHashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = [sequence(hashes, t.as_py()) for t in batch.column(1)]
-                sizes = np.array(list(map(len, texts)))
-                starts = np.cumsum(sizes) - sizes
-                words = np.concatenate(texts)
-                logs, listed, count = log_probabilities(model, words, starts)
-                base = np.where(listed, np.log10((count + 0.5) / model.scale), 0)
-                sums = [np.add.reduceat(x, starts) for x in (listed.astype(np.int64), base, logs)]
-                none = pa.nulls(len(texts), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, sums), none, none], names=names)
-                row = np.repeat(np.arange(len(texts)), sizes)[~listed]
-                order = np.lexsort((words[~listed], row))
-                row, rare = row[order], words[~listed][order]
-                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (rare[1:] != rare[:-1])]) if len(row) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[new, len(row)])
-                n, f = pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), n, n, f, f, pa.array(rare[new].view(np.int64)), pa.array(times.astype(np.int64))], names=names)
+        model = shared.value
+        for batch in slices(batches, "text"):
+            words, starts = sequences(batch.column(1))
+            sizes = np.diff(np.append(starts, len(words)))
+            logs, listed, count = log_probabilities(model, words, starts)
+            base = np.where(listed, np.log10((count + 0.5) / model.scale), 0)
+            sums = [np.add.reduceat(x, starts) for x in (listed.astype(np.int64), base, logs)]
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, sums), none, none], names=names)
+            row = np.repeat(np.arange(len(sizes)), sizes)[~listed]
+            order = np.lexsort((words[~listed], row))
+            row, rare = row[order], words[~listed][order]
+            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (rare[1:] != rare[:-1])]) if len(row) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[new, len(row)])
+            n, f = pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), n, n, f, f, pa.array(rare[new].view(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
     return run
 
@@ -307,7 +300,7 @@ def score(docs: DataFrame, train: DataFrame, text_column: str = "text", frequent
     model, rarer = fit(train, scratch, text_column, frequent, entries)
     shared = spark.sparkContext.broadcast(model)
     own = [c for c in docs.columns if c not in (text_column, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("text")
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.struct(F.monotonically_increasing_id().alias("uid"), *own).alias("row"), text)
     layout = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, base double, score double, word long, times long"
     scored = scratch.write(rows.mapInArrow(_score(shared), layout), "lm-scored")
