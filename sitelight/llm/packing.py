@@ -16,7 +16,8 @@ is at most a part of a bin per shard of the last level.
 Defined results: a piece of exactly the capacity is a sequence of its own;
 pieces with a null length or one outside 1..capacity are refused with an
 error; an empty table gives an empty result; equal lengths are told apart by
-row, so repeated rows are each placed. All columns of the input are kept.
+row, so repeated rows are each placed. All columns of the input are kept, a
+``sequence_id`` or ``offset`` among them is replaced.
 """
 
 from __future__ import annotations
@@ -185,6 +186,7 @@ def pack(
     """The pieces with ``sequence_id`` and ``offset``; every sequence is gapless
     from 0 and holds at most ``capacity``."""
     scratch = Scratch(pieces.sparkSession)
+    pieces = pieces.drop("sequence_id", "offset")
     size = F.col(length_column)
     fits = F.when(size.between(1, capacity), size.cast("long")).otherwise(F.raise_error(F.concat(F.lit("length outside 1..capacity: "), F.coalesce(size.cast("string"), F.lit("null")))))
     stored = scratch.write(pieces.withColumns({"__length": fits, "__uid": F.monotonically_increasing_id()}), "pack-pieces")

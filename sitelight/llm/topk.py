@@ -83,7 +83,7 @@ def _select(k: int):
                 own = qid[:, None] == cid[None, :]
                 # ids ascend within a shard, so a stable order by score breaks ties by id
                 kept = min(k + 1, len(cid))
-                edge = -np.partition(-scores, kept - 1, axis=1)[:, kept - 1]
+                edge = ~np.partition(~scores, kept - 1, axis=1)[:, kept - 1]  # ~ turns the order of all longs
                 row, col = np.nonzero(scores >= edge[:, None])
                 fine = ~own[row, col]
                 row, col = row[fine], col[fine]
