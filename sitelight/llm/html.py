@@ -10,7 +10,9 @@ notices, adverts, forms or comments are deleted as well, and a page with an
 article keeps lines of the article only.
 
 A host's order is split over any number of tasks: neighbours across a border
-come from a table of the tasks' first and last pages. Alignment needs memory in
+come from a table of the tasks' first and last pages. Pages are read twice:
+once for hashes of their lines, which decide what goes, and once to write the
+text; html is dealt out once, to meet its deletions. Alignment needs memory in
 proportion to the lines, not to their product.
 
 Defined results: null html counts as empty and gives an empty text; a page
@@ -29,6 +31,8 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +40,7 @@ from pyspark.sql.window import Window
 
 from sitelight.llm.common import Scratch
 from sitelight.llm.urlfilter import host_of, path_of
+from sitelight.llm.words import slices
 
 ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 TOKEN = re.compile(
@@ -174,42 +179,56 @@ def shared_lines(own: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 # --- the operator -------------------------------------------------------------------
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            pages = [lines_of(html) for html in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), batch.column(4),
-                 *(pa.array([[line[k] for line in page] for page in pages], pa.list_(kind)) for k, kind in ((0, pa.string()), (1, pa.bool_()), (2, pa.bool_())))],
-                names=["uid", "host", "path", "page", "lines", "inside", "declared"],
-            )
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page the hash of every line, and whether it lies in an article."""
+    for batch in slices(batches, "html"):
+        pages = [lines_of(html) for html in batch.column(2).to_pylist()]
+        lines = pa.array([[xxhash.xxh3_64_intdigest(line[0].encode()) - 2**63 for line in page] for page in pages], pa.list_(pa.int64()))
+        inside = pa.array([[line[1] for line in page] for page in pages], pa.list_(pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lines, inside], names=["key", "url", "lines", "inside"])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of the lines that a page shares with its nearest, outside articles."""
     for batch in batches:
-        uid, lines, inside, declared, own, other = (batch.column(batch.schema.names.index(c)) for c in ("uid", "lines", "inside", "declared", "own", "other"))
-        texts = []
+        key, lines, inside, other = (batch.column(batch.schema.names.index(c)) for c in ("key", "lines", "inside", "other"))
+        gone = []
         for i in range(batch.num_rows):
-            within = np.array(inside[i].as_py(), dtype=bool)
-            drop = np.array(declared[i].as_py(), dtype=bool)
-            if other[i].is_valid and len(within):
-                drop |= shared_lines(own[i].values.to_numpy(), other[i].values.to_numpy()) & ~within
-            if within.any():
-                drop |= ~within
-            texts.append("\n\n".join(text for text, out in zip(lines[i].as_py(), drop, strict=True) if not out))
-        yield pa.RecordBatch.from_arrays([uid, pa.array(texts, pa.string())], names=["uid", "text"])
+            shared = shared_lines(lines[i].values.to_numpy(), other[i].values.to_numpy()) & ~np.array(inside[i].as_py(), dtype=bool)
+            gone.append(np.flatnonzero(shared).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([key, pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """html compressed, to be dealt out."""
+    pack = zstandard.ZstdCompressor()
+    for batch in slices(batches, "html"):
+        html = pa.array([pack.compress(x.encode()) for x in batch.column(1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), html, batch.column(2)], names=["page", "html", "key"])
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            texts = []
+            for packed, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                lines, gone = lines_of(unpack.decompress(packed).decode()), set(gone or ())
+                article = any(inside for _, inside, _ in lines)
+                texts.append("\n\n".join(text for i, (text, inside, declared) in enumerate(lines) if i not in gone and not declared and (inside or not article)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["page", "text"])
 
 
 def nearest(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """(uid, nearest) of (uid, host, path), for pages that have a neighbour on their host."""
-    dealt = keys.where("host <> ''").repartitionByRange("host", "path", "uid").sortWithinPartitions("host", "path", "uid")
+    """(key, nearest) of (key, host, path), for pages that have a neighbour on their host."""
+    dealt = keys.where("host <> ''").repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
     dealt = scratch.write(dealt.withColumn("part", F.spark_partition_id()), "pages-ordered")
-    row = F.struct("host", "path", "uid")
+    row = F.struct("host", "path", "key")
     borders = dealt.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last"))
     around = Window.orderBy("part")  # one row per task
     borders = borders.select("part", F.lag("last").over(around).alias("before_part"), F.lead("first").over(around).alias("after_part"))
-    order = Window.partitionBy("part").orderBy("host", "path", "uid")
+    order = Window.partitionBy("part").orderBy("host", "path", "key")
     sides = dealt.withColumns({"before": F.lag(row).over(order), "after": F.lead(row).over(order)}).join(borders, "part")
     sides = sides.withColumns({"before": F.coalesce("before", "before_part"), "after": F.coalesce("after", "after_part")})
 
@@ -219,27 +238,26 @@ def nearest(keys: DataFrame, scratch: Scratch) -> DataFrame:
         first = F.array_position(same, False)
         return F.when(F.col(f"{side}.host") == F.col("host"), F.when(first > 0, first).otherwise(F.size(same) + 1))
 
-    scored = sides.select("uid", like("before").alias("b"), like("after").alias("a"), F.col("before.uid").alias("before"), F.col("after.uid").alias("after"))
+    scored = sides.select("key", like("before").alias("b"), like("after").alias("a"), F.col("before.key").alias("before"), F.col("after.key").alias("after"))
     pick = F.when(F.col("a").isNull() | (F.col("b") >= F.col("a")), F.when(F.col("b").isNotNull(), F.col("before"))).otherwise(F.col("after"))
-    return scored.select("uid", pick.alias("nearest")).where("nearest IS NOT NULL")
+    return scored.select("key", pick.alias("nearest")).where("nearest IS NOT NULL")
 
 
 def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
     """The pages, without their html, with ``text`` and ``n_chars``."""
     scratch = Scratch(pages.sparkSession)
-    url, own = F.col(url_column), [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("uid"), host_of(url).alias("host"), path_of(url).alias("path"),
-        F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"), F.struct(*own).alias("page"),
-    )
-    layout = T.StructType([
-        *(rows.schema[c] for c in ("uid", "host", "path", "page")),
-        T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("inside", T.ArrayType(T.BooleanType())), T.StructField("declared", T.ArrayType(T.BooleanType())),
-    ])
-    stored = scratch.write(rows.mapInArrow(_parse, layout), "pages-lines")
-    hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    pairs = nearest(stored.select("uid", "host", "path"), scratch)
-    others = pairs.join(stored.select(F.col("uid").alias("nearest"), hashes.alias("other")), "nearest").select("uid", "other")
-    beside = stored.select("uid", "lines", "inside", "declared", hashes.alias("own")).join(others, "uid", "left")
-    texts = beside.mapInArrow(_extract, "uid long, text string").withColumn("n_chars", F.length("text").cast("long"))
-    return stored.select("uid", "page").join(texts, "uid").select("page.*", "text", "n_chars")
+    own = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
+    url, html = F.col(url_column), F.coalesce(F.col(html_column).cast("string"), F.lit(""))
+    # equal pages have one key, and are one page to their neighbours
+    key = F.struct(F.xxhash64(url, html).alias("a"), F.xxhash64(F.lit(1), html, url).alias("b"))
+    read = pages.select(key.alias("key"), url.alias("url"), html.alias("html")).mapInArrow(_hashes, "key struct<a:long,b:long>, url string, lines array<long>, inside array<boolean>")
+    lines = scratch.write(read.dropDuplicates(["key"]), "pages-lines")
+    pairs = nearest(lines.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), scratch)
+    others = pairs.join(lines.select(F.col("key").alias("nearest"), F.col("lines").alias("other")), "nearest").select("key", "other")
+    gone = lines.join(others, "key").mapInArrow(_deleted, "key struct<a:long,b:long>, gone array<int>").where(F.size("gone") > 0)
+    gone = scratch.write(gone, "pages-gone")
+    whole = pages.select(F.struct(*own).alias("page"), html.alias("html"), key.alias("key"))
+    layout = T.StructType([whole.schema["page"], T.StructField("html", T.BinaryType()), whole.schema["key"]])
+    beside = whole.mapInArrow(_packed, layout).join(gone, "key", "left").select("page", "html", "gone")
+    layout = T.StructType([whole.schema["page"], T.StructField("text", T.StringType())])
+    return beside.mapInArrow(_extract, layout).select("page.*", "text").withColumn("n_chars", F.length("text").cast("long"))
