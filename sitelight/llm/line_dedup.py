@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelight.llm.common import Scratch, may_hold, member_bits
 
@@ -144,6 +145,6 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     scratch.drop("lines-chunks", "lines-repeated")
 
     marked = rows.join(gone, "uid", "left").select("row", "text", "gone")
-    layout = f"row {rows.schema['row'].dataType.simpleString()}, text string, n_removed long"
+    layout = T.StructType([rows.schema["row"], *T.StructType().add("text", "string").add("n_removed", "long")])
     result = marked.mapInArrow(_without(*rule), layout)
     return result.select(*[F.col("text").alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns if c != "n_removed"], "n_removed")

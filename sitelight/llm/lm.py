@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelight.llm.common import Scratch
 from sitelight.llm.words import ODD, mixed, slices, word_hashes
@@ -126,11 +127,11 @@ def build_filter(ngrams: DataFrame, least: int, entries: int) -> LogFrequencyFil
         bits[places(keys[row], level).ravel()] = True
         return pa.table({"block": group["block"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    rows = ngrams.mapInArrow(keyed, "block int, item long, level int").groupBy("block").applyInArrow(fill, "block int, bits binary").toPandas()
-    words = np.zeros(blocks * (BLOCK_BITS // 64), dtype=np.uint64)
-    for block, bits in zip(rows["block"], rows["bits"], strict=True):
-        words[block * (BLOCK_BITS // 64) : (block + 1) * (BLOCK_BITS // 64)] = np.frombuffer(bits, dtype="<u8")
-    return LogFrequencyFilter(blocks, least, words)
+    rows = ngrams.mapInArrow(keyed, "block int, item long, level int").groupBy("block").applyInArrow(fill, "block int, bits binary").toArrow()
+    words = np.zeros((blocks, BLOCK_BITS // 64), dtype=np.uint64)
+    for block, bits in zip(rows["block"].to_pylist(), rows["bits"], strict=True):
+        words[block] = np.frombuffer(bits.as_buffer(), dtype="<u8")
+    return LogFrequencyFilter(blocks, least, words.ravel())
 
 
 # --- counting ------------------------------------------------------------------------
@@ -189,7 +190,7 @@ class Model:
         return self.tokens + 0.5 * (self.distinct + 1)
 
 
-def fit(train: DataFrame, scratch: Scratch, text_column: str = "text", frequent: int = 2**19, entries: int = 2**25) -> tuple[Model, DataFrame]:
+def fit(train: DataFrame, scratch: Scratch, text_column: str = "text", frequent: int = 2**19, entries: int = 2**24) -> tuple[Model, DataFrame]:
     """The model, and the exact counts (word, n) of all words."""
     texts = train.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     counted = texts.mapInArrow(_count, "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
@@ -269,30 +270,30 @@ def log_probabilities(model: Model, words: np.ndarray, starts: np.ndarray) -> tu
 
 
 def _score(shared):
-    names = ["row", "n_tokens", "n_known", "base", "score", "word", "times"]
+    names = ["uid", "row", "n_tokens", "n_known", "base", "score", "word", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in slices(batches, "text"):
-            words, starts = sequences(batch.column(1))
+            words, starts = sequences(batch.column(2))
             sizes = np.diff(np.append(starts, len(words)))
             logs, listed, count = log_probabilities(model, words, starts)
             base = np.where(listed, np.log10((count + 0.5) / model.scale), 0)
             sums = [np.add.reduceat(x, starts) for x in (listed.astype(np.int64), base, logs)]
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, sums), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), *map(pa.array, sums), none, none], names=names)
             row = np.repeat(np.arange(len(sizes)), sizes)[~listed]
             order = np.lexsort((words[~listed], row))
             row, rare = row[order], words[~listed][order]
             new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (rare[1:] != rare[:-1])]) if len(row) else np.zeros(0, np.int64)
             times = np.diff(np.r_[new, len(row)])
             n, f = pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), n, n, f, f, pa.array(rare[new].view(np.int64)), pa.array(times.astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), pa.nulls(len(new), batch.column(1).type), n, n, f, f, pa.array(rare[new].view(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
     return run
 
 
-def score(docs: DataFrame, train: DataFrame, text_column: str = "text", frequent: int = 2**19, entries: int = 2**25) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, text_column: str = "text", frequent: int = 2**19, entries: int = 2**24) -> DataFrame:
     """``docs`` without their text, with n_tokens, n_known, train_tokens,
     base_score and score."""
     spark = docs.sparkSession
@@ -301,13 +302,14 @@ def score(docs: DataFrame, train: DataFrame, text_column: str = "text", frequent
     shared = spark.sparkContext.broadcast(model)
     own = [c for c in docs.columns if c not in (text_column, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
-    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("uid"), *own).alias("row"), text)
-    layout = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, base double, score double, word long, times long"
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*own).alias("row"), text)
+    numbers = T.StructType().add("n_tokens", "long").add("n_known", "long").add("base", "double").add("score", "double").add("word", "long").add("times", "long")
+    layout = T.StructType([rows.schema["uid"], rows.schema["row"], *numbers])
     scored = scratch.write(rows.mapInArrow(_score(shared), layout), "lm-scored")
-    rare = scored.where("word IS NOT NULL").select(F.col("row.uid").alias("uid"), "word", "times").join(rarer, "word", "left")
+    rare = scored.where("word IS NOT NULL").select("uid", "word", "times").join(rarer, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.scale))
     rest = rare.groupBy("uid").agg(F.sum(F.col("times") * log).alias("rest"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
-    whole = scored.where("word IS NULL").withColumn("uid", F.col("row.uid")).join(rest, "uid", "left")
+    whole = scored.where("word IS NULL").join(rest, "uid", "left")
     return whole.select(
         *[F.col(f"row.{c}") for c in own], "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",
