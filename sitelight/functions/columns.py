@@ -75,3 +75,8 @@ def literal_lookup(key: Column, mapping: dict) -> Column:
 def kept(*tests: tuple[Column, str]) -> Column:
     """Array of the labels whose test holds, in the order given."""
     return F.array_compact(F.array(*[F.when(holds(test), F.lit(label)) for test, label in tests]))
+
+
+def finite(value: Column) -> Column:
+    """Null for NaN and the infinities."""
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)

@@ -67,9 +67,9 @@ def exact_quantiles(
         found = found.join(missed.select(*keys, "name", "slot"), [*keys, "name", "slot"], "left_anti")
         found = measured(found.unionByName(again))
 
-    quantile = F.col("low_value") + (F.col("high_value") - F.col("low_value")) * (
-        F.col("rank") - F.floor("rank")
-    )
+    # Equal ends need no interpolation, which would turn an infinity into NaN.
+    between = F.col("low_value") + (F.col("high_value") - F.col("low_value")) * (F.col("rank") - F.floor("rank"))
+    quantile = F.when(F.col("low_value") == F.col("high_value"), F.col("low_value")).otherwise(between)
     per_name = [
         F.when(
             F.max(F.when(F.col("name") == n, 1)) == 1,

@@ -207,12 +207,10 @@ def validate_projects(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
             if c in inputs.columns and c != "anomaly_flags"}
     rows = inputs.withColumns(text)
     numbers = S.NUMERIC_COLUMNS + ["actual_duration_days"]
-    non_negative = ["contract_value_usd", "subcontractor_count", "safety_incidents",
-                    "payment_disputes", "actual_duration_days"]
     tests = [(F.col("project_id_external").isNull(), "missing:project_id_external")]
     for c in numbers:
         tests.append((F.col(c).isNotNull() & to_number(F.col(c)).isNull(), f"not_a_number:{c}"))
-        if c in non_negative:
+        if c in S.NON_NEGATIVE_COLUMNS:
             tests.append((to_number(F.col(c)) < 0, f"negative:{c}"))
     for c in S.DATE_COLUMNS:
         tests.append((F.col(c).isNotNull() & to_iso_date(F.col(c)).isNull(), f"bad_date:{c}"))

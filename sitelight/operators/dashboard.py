@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitelight import schema as S
-from sitelight.functions.columns import literal_lookup, null_nan
+from sitelight.functions.columns import finite, literal_lookup, null_nan
 from sitelight.functions.quantiles import exact_quantiles
 
 # Limits above which a table cell is highlighted.
@@ -166,11 +166,18 @@ def search(rows: DataFrame, query: str, columns: list[str] | None = None) -> Dat
     return rows.where(F.lower(F.concat_ws(" ", *texts)).contains(needle))
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """Sort key that orders digit runs by value: runs are left-padded with 0."""
+def natural_key(text: Column) -> Column:
+    """Sort key that orders digit runs by value, however long they are: a run
+    without its leading zeros follows its length, and that the length's own."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), width, "0")).otherwise(p))
-    return F.when(text.isNotNull(), F.array_join(padded, ""))
+
+
+    def ranked(part: Column) -> Column:
+        digits = F.regexp_replace(part, "^0+(?=.)", "")
+        size = F.length(digits).cast("string")
+        return F.when(part.rlike(r"^\d+$"), F.concat(F.length(size).cast("string"), size, digits)).otherwise(part)
+
+    return F.when(text.isNotNull(), F.array_join(F.transform(parts, ranked), ""))
 
 
 def sort_column(rows: DataFrame, column: str, descending: bool = False, tie: str = "project_id") -> DataFrame:
@@ -183,9 +190,9 @@ def sort_column(rows: DataFrame, column: str, descending: bool = False, tie: str
 
 def distribution(projects: DataFrame, measures: list[str]) -> DataFrame:
     """P10 / P50 / P90 per portfolio and measure with the relative position of
-    the median; no percentiles below three values."""
+    the median; no percentiles below three values. Infinite values are left out."""
     quantiles = exact_quantiles(
-        projects, ["portfolio_id"], {m: null_nan(F.col(m).cast("double")) for m in measures}, [0.1, 0.5, 0.9]
+        projects, ["portfolio_id"], {m: finite(F.col(m).cast("double")) for m in measures}, [0.1, 0.5, 0.9]
     )
     lines = [
         F.struct(

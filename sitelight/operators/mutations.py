@@ -33,9 +33,18 @@ def new_project_id(portfolio_id: Column, external_id: Column) -> Column:
     return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
+def bad_input() -> Column:
+    """The first reason, if any, why a typed row may not be stored."""
+    checks = [F.when(F.col(c) < 0, f"negative:{c}") for c in S.NON_NEGATIVE_COLUMNS]
+    known = F.col("final_status").isNull() | F.col("final_status").isin(S.COMPLETED, S.IN_PROGRESS)
+    return F.coalesce(*checks, F.when(~known, "bad_status"))
+
+
 def apply_mutations(projects: DataFrame, mutations: DataFrame, portfolios: DataFrame | None = None) -> Applied:
     """Resolve, validate and merge one batch.
 
+    A row with a negative count, value or duration or an unknown status is
+    rejected, whatever it addresses.
     By id: the row must exist, in the named portfolio. Without id: the row
     with the external id is updated, else a row is inserted. An update replaces
     every editable column and keeps the row's source, an insert is manual.
@@ -78,7 +87,8 @@ def apply_mutations(projects: DataFrame, mutations: DataFrame, portfolios: DataF
     by_id = F.col("project_id").isNotNull()
     after = F.coalesce(F.col("seq") > F.col("_gone_at"), F.lit(False))
     error = (
-        F.when(F.col("_listed").isNull(), "portfolio not found")
+        F.when((F.col("op") == "upsert") & bad_input().isNotNull(), bad_input())
+        .when(F.col("_listed").isNull(), "portfolio not found")
         .when(F.col("project_id_external").isNull() & (F.col("op") == "upsert"), "missing external id")
         .when((by_id & F.col("_id").isNull()) | (~by_id & (F.col("op") == "delete")), "project not found")
         .when(by_id & (F.col("_portfolio") != F.col("portfolio_id")), "project belongs to a different portfolio")

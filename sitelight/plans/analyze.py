@@ -17,9 +17,10 @@ class Analysis(NamedTuple):
     rules: DataFrame
 
 
-def analyze(projects: DataFrame, with_clusters: bool = True) -> Analysis:
-    """Segments, scores and rules of every portfolio in ``projects``."""
-    clusters = clustering.assign_clusters(projects) if with_clusters else None
+def analyze(projects: DataFrame, clusters: DataFrame | None = None) -> Analysis:
+    """Segments, scores and rules of every portfolio in ``projects``. Clusters
+    are computed unless given."""
+    clusters = clustering.assign_clusters(projects) if clusters is None else clusters
     return Analysis(segments.segments(projects, clusters), risk.scores(projects), rules.rules(projects))
 
 
@@ -32,12 +33,13 @@ def analysis_counts(analysis: Analysis, portfolios: DataFrame) -> DataFrame:
     return out
 
 
-def refresh(spark: SparkSession, store: str, touched: DataFrame, with_clusters: bool = True) -> None:
-    """Recompute and replace the derived tables of the touched portfolios."""
+def refresh(spark: SparkSession, store: str, touched: DataFrame) -> None:
+    """Recompute and replace the derived tables of the touched portfolios, the
+    clusters included."""
     projects = read_projects(spark, f"{store}/projects").join(
         touched.select("portfolio_id").distinct(), "portfolio_id", "left_semi"
     )
-    for name, table in analyze(projects, with_clusters)._asdict().items():
+    for name, table in analyze(projects)._asdict().items():
         replace_portfolios(table, f"{store}/{name}", touched)
 
 

@@ -157,7 +157,7 @@ def r1_chunk_text(spark, sf):
 
 
 def r2_chunk_table(spark, sf):
-    return _digest(retrieval.chunk_table(marts.documents(spark, sf)))
+    return _digest(retrieval.chunk_table(marts.text_documents(spark, sf)))
 
 
 def r3_encode(spark, sf):
@@ -372,11 +372,11 @@ def u3_refresh(spark, sf):
     store = scratch_table(spark, "store")
     before = _table_before(spark, sf)
     analyze.store_projects(before, store)
-    analyze.refresh(spark, store, before.select("portfolio_id").distinct(), with_clusters=False)
+    analyze.refresh(spark, store, before.select("portfolio_id").distinct())
     applied = mutations.apply_mutations(before, marts.mutations(spark, sf))
     touched = materialize(applied.touched, "touched")
     analyze.store_projects(applied.projects.join(touched, "portfolio_id", "left_semi"), store, touched)
-    analyze.refresh(spark, store, touched, with_clusters=False)
+    analyze.refresh(spark, store, touched)
     scores = spark.read.parquet(f"{store}/scores")
     return scores.select("portfolio_id", "project_id", "score", "breakdown.top_driver")
 
@@ -385,7 +385,7 @@ def u4_analyze(spark, sf):
     projects = marts.projects(spark, sf)
     empty = marts.table(spark, sf, "nation").select(F.col("n_name").alias("portfolio_id"))
     portfolios = projects.select("portfolio_id").distinct().unionByName(empty)
-    return analyze.analysis_counts(analyze.analyze(projects, with_clusters=False), portfolios)
+    return analyze.analysis_counts(analyze.analyze(projects), portfolios)
 
 
 def u5_cascade(spark, sf):

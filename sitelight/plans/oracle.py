@@ -37,7 +37,7 @@ cte("cust", """
     LEFT JOIN region ON n_regionkey = r_regionkey""")
 cte("proj", """
     SELECT c_mktsegment AS portfolio_id, o_orderkey AS project_id,
-      'PRJ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS project_id_external,
+      'PRJ' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(9, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0') AS project_id_external,
       c_name AS project_name, o_orderpriority AS project_type,
       o_totalprice * 200 AS contract_value_usd, CAST(o_orderdate AS DATE) AS start_date,
       CASE WHEN o_orderstatus = 'F' THEN CAST(last_ship AS DATE) END AS end_date,
@@ -62,9 +62,9 @@ cte("stored", f"SELECT *, {FLAGS} AS anomaly_flags FROM proj", "proj")
 
 # --- cleaning ------------------------------------------------------------------
 cte("raw", """
-    SELECT p.* EXCLUDE (project_id, project_id_external, actual_duration_days), o_orderkey AS ord,
-      CASE WHEN project_type <> '5-LOW' THEN 'PRJ' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') END AS project_id
-    FROM proj p JOIN orders ON o_orderkey = p.project_id""", "proj")
+    SELECT * EXCLUDE (project_id, project_id_external, actual_duration_days, number), project_id AS ord,
+      CASE WHEN ord % 97 <> 0 THEN 'PRJ' || lpad(number, CAST(greatest(9, length(number)) AS INTEGER), '0') END AS project_id
+    FROM (SELECT *, CAST(CASE WHEN project_id % 10 = 3 THEN project_id - 10 ELSE project_id END AS VARCHAR) AS number FROM proj)""", "proj")
 cte("firsts", """
     SELECT * EXCLUDE (copy), date_diff('day', start_date, end_date) AS actual_duration_days FROM (
       SELECT *, row_number() OVER (PARTITION BY portfolio_id, project_id ORDER BY ord) AS copy
@@ -312,7 +312,9 @@ def _core() -> dict[str, str]:
     out["q9_flagged_share"] = sql("SELECT portfolio_id, count(*) FILTER (WHERE len(anomaly_flags) > 0) AS n_flagged, count(*) AS n_projects FROM stored GROUP BY portfolio_id", "stored")
     out["q10_search"] = sql("SELECT project_id, project_name FROM proj WHERE contains(lower(project_name || ' ' || project_id_external), 'r#00000012')", "proj")
     out["q11_sort_asc"] = sql("SELECT project_id, end_date FROM proj", "proj")
-    out["q11_sort_desc"] = sql("SELECT c_custkey, n_name, 'nation_' || lpad(replace(n_name, 'NATION_', ''), 20, '0') AS sort_key FROM cust", "cust")
+    out["q11_sort_desc"] = sql("""
+        SELECT c_custkey, n_name, 'nation_' || length(CAST(length(digits) AS VARCHAR)) || length(digits) || digits AS sort_key
+        FROM (SELECT *, CAST(CAST(replace(n_name, 'NATION_', '') AS BIGINT) AS VARCHAR) AS digits FROM cust)""", "cust")
     dist = []
     for m in ["delay_days", "cost_overrun_pct", "contract_value_usd"]:
         q = [f"quantile_cont({m}, {p})" for p in ("0.1", "0.5", "0.9")]

@@ -66,8 +66,9 @@ cte("change", """
     SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, event_id,
       CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, c_mktsegment AS portfolio_id,
       CASE WHEN event_type IN ('purchase', 'error') THEN CAST(user_id AS VARCHAR) END AS project_id,
-      'PRJ' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS project_id_external, event_type AS project_name,
-      value * 1e6 AS contract_value_usd, value AS delay_days, floor(value) AS subcontractor_count, CAST(ts AS DATE) AS start_date,
+      'PRJ' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(9, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0') AS project_id_external, event_type AS project_name,
+      value * CASE WHEN event_id % 89 = 0 THEN -1e6 ELSE 1e6 END AS contract_value_usd,
+      CASE WHEN event_id % 97 = 0 THEN 'Paused' ELSE 'In Progress' END AS final_status, value AS delay_days, floor(value) AS subcontractor_count, CAST(ts AS DATE) AS start_date,
       CASE WHEN event_type = 'view' THEN 30 ELSE 7 END AS actual_duration_days
     FROM events JOIN customer ON user_id = c_custkey""")
 cte("resolved", """
@@ -78,7 +79,9 @@ cte("resolved", """
     "change", "proj")
 cte("judged", """
     SELECT r.*, gone_at, seq > gone_at IS TRUE AS after_delete,
-      CASE WHEN (project_id IS NOT NULL AND r.found IS NULL) OR (project_id IS NULL AND op = 'delete') THEN 'project not found'
+      CASE WHEN op = 'upsert' AND contract_value_usd < 0 THEN 'negative:contract_value_usd'
+        WHEN op = 'upsert' AND final_status = 'Paused' THEN 'bad_status'
+        WHEN (project_id IS NOT NULL AND r.found IS NULL) OR (project_id IS NULL AND op = 'delete') THEN 'project not found'
         WHEN project_id IS NOT NULL AND home <> portfolio_id THEN 'project belongs to a different portfolio'
         WHEN project_id IS NOT NULL AND seq > gone_at THEN 'project not found' END AS error
     FROM resolved r LEFT JOIN (SELECT found, min(seq) AS gone_at FROM resolved
@@ -168,7 +171,7 @@ def statements() -> dict[str, str]:
     # documents and retrieval
     digest = "document_id, portfolio_id, chunk_index, length(chunk_text) AS n_chars, md5(chunk_text) AS digest"
     out["r1_chunk_text"] = sql("SELECT document_id, chunk_index, length(chunk_text) AS n_chars, md5(chunk_text) AS digest FROM chunk", "chunk")
-    out["r2_chunk_table"] = sql(f"SELECT {digest} FROM chunk WHERE portfolio_id IN ('en', 'de')", "chunk")
+    out["r2_chunk_table"] = sql(f"SELECT {digest} FROM chunk", "chunk")
     out["r5_reindex"] = sql(f"SELECT {digest} FROM chunk", "chunk")
     out["s5_document_intake"] = out["r5_reindex"]
     out["u5_cascade"] = sql(f"SELECT {digest} FROM chunk WHERE document_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", "chunk")

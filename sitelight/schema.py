@@ -38,6 +38,13 @@ INTEGER_COLUMNS = [
     "payment_disputes",
     "actual_duration_days",
 ]
+NON_NEGATIVE_COLUMNS = [
+    "contract_value_usd",
+    "subcontractor_count",
+    "safety_incidents",
+    "payment_disputes",
+    "actual_duration_days",
+]
 OUTPUT_COLUMNS = [
     "project_id_external",
     "project_name",

@@ -19,7 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def external_id(key: Column) -> Column:
-    return F.concat(F.lit("PRJ"), F.lpad(key.cast("string"), 9, "0"))
+    """At least nine digits; longer keys stay whole, so that no two are alike."""
+    text = key.cast("string")
+    return F.concat(F.lit("PRJ"), F.when(F.length(text) >= 9, text).otherwise(F.lpad(text, 9, "0")))
 
 
 def measured_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,15 +83,15 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows as they would stand in an uploaded file: all text, blanks
-    as null, keyed by customer so that a key repeats (first order wins)."""
+    as null. A few keys are blank, and a few repeat the key of the order ten
+    before, in the same portfolio or in another (the first of a portfolio wins)."""
     typed = measured_projects(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("project_id"), F.col("o_custkey")
-    )
-    return typed.join(orders, "project_id").select(
+    order = F.col("project_id")
+    key = F.when(order % 97 == 0, None).when(order % 10 == 3, external_id(order - 10)).otherwise(external_id(order))
+    return typed.select(
         "portfolio_id",
-        F.struct(F.col("project_id").alias("row")).alias("_ord"),
-        F.when(F.col("project_type") != "5-LOW", external_id(F.col("o_custkey"))).alias("project_id"),
+        F.struct(order.alias("row")).alias("_ord"),
+        key.alias("project_id"),
         *[F.col(c).cast("string").alias(c) for c in S.REQUIRED_COLUMNS if c != "project_id"],
     )
 
@@ -161,7 +163,8 @@ def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mutations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Event log as project changes: ``error`` deletes, ``purchase`` addresses
-    a row by id, the rest by external id inside the customer's portfolio."""
+    a row by id, the rest by external id inside the customer's portfolio. Some
+    have a negative value or an unknown status."""
     events = table(spark, sf_dir, "events") if events is None else events
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     by_id = F.col("event_type").isin("purchase", "error")
@@ -173,7 +176,7 @@ def mutations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
         external_id(F.col("user_id")).alias("project_id_external"),
         F.col("event_type").alias("project_name"),
         F.lit(None).cast("string").alias("project_type"),
-        (F.col("value") * 1e6).alias("contract_value_usd"),
+        (F.col("value") * F.when(F.col("event_id") % 89 == 0, -1e6).otherwise(1e6)).alias("contract_value_usd"),
         F.to_date("ts").alias("start_date"),
         F.when(F.col("event_type") == "view", F.date_add(F.to_date("ts"), 30)).alias("end_date"),
         F.lit(None).cast("string").alias("region"),
@@ -182,7 +185,7 @@ def mutations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
         F.lit(None).cast("double").alias("cost_overrun_pct"),
         F.lit(None).cast("int").alias("safety_incidents"),
         F.lit(None).cast("int").alias("payment_disputes"),
-        F.lit(S.IN_PROGRESS).alias("final_status"),
+        F.when(F.col("event_id") % 97 == 0, "Paused").otherwise(S.IN_PROGRESS).alias("final_status"),
         F.lit(7).alias("actual_duration_days"),
         F.array().cast("array<string>").alias("anomaly_flags"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from sitelight import schema as S
 from sitelight.functions.columns import null_nan, to_whole
 from sitelight.functions.joins import measured
+from sitelight.session import materialize, path_exists
 
 STORED_TYPES = {
     "portfolio_id": T.StringType(),
@@ -20,8 +21,13 @@ STORED_TYPES = {
 
 def read_projects(spark: SparkSession, path: str, portfolio_ids: list[str] | None = None) -> DataFrame:
     """Stored projects with the full column list; a portfolio filter prunes
-    partitions, absent columns arrive as null."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+    partitions, absent columns arrive as null.
+
+    The schema is given, so no footers are merged and portfolio ids, which are
+    folder names, stay text whatever they look like ('007' is not 7)."""
+    found = {f.name: f.dataType for f in spark.read.parquet(path).schema}
+    kinds = {name: found.get(name, kind) for name, kind in STORED_TYPES.items()} | {"portfolio_id": T.StringType()}
+    df = spark.read.schema(T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])).parquet(path)
     if portfolio_ids is not None:
         df = df.where(F.col("portfolio_id").isin(portfolio_ids))
     return conform(df)
@@ -61,6 +67,8 @@ def replace_portfolios(df: DataFrame, path: str, touched: DataFrame) -> None:
     empty partition), all others stay as they are.
     """
     touched = measured(touched.select("portfolio_id").distinct())
+    # Written out: a cached table would be refreshed together with the path.
+    old = materialize(_files(df.sparkSession, path, touched), "files-before")
     rows = df.join(touched, "portfolio_id", "left_semi")
     # Few files per portfolio, and more than one writer for a large one.
     (
@@ -70,11 +78,24 @@ def replace_portfolios(df: DataFrame, path: str, touched: DataFrame) -> None:
         .partitionBy("portfolio_id")
         .parquet(path)
     )
-    written = rows.select("portfolio_id").distinct()
-    _drop_partitions(df.sparkSession, path, touched.join(written, "portfolio_id", "left_anti"))
+    # An overwritten partition has lost all its old files; whoever still has
+    # them got no rows. Listing them costs no second run of the plan behind df.
+    df.sparkSession.catalog.refreshByPath(path)
+    emptied = _files(df.sparkSession, path, touched).join(old, ["portfolio_id", "file"], "left_semi").select("portfolio_id").distinct()
+    _drop_partitions(df.sparkSession, path, emptied)
+    df.sparkSession.catalog.refreshByPath(path)
     touched.unpersist()
 
 
+def _files(spark: SparkSession, path: str, touched: DataFrame) -> DataFrame:
+    """(portfolio_id, file) of the stored files of some portfolios."""
+    layout = "portfolio_id string, file string"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], layout)
+    stored = spark.read.schema("portfolio_id string").option("basePath", path).parquet(path)
+    return stored.select("portfolio_id", F.col("_metadata.file_name").alias("file")).distinct().join(touched, "portfolio_id", "left_semi")
+
+
 def _drop_partitions(spark: SparkSession, path: str, emptied: DataFrame) -> None:
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)

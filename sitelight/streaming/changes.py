@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sitelight.functions.joins import measured
 from sitelight.operators.mutations import apply_mutations
 from sitelight.plans.analyze import refresh
 from sitelight.session import written_once
@@ -13,7 +14,7 @@ from sitelight.sources.tables import integer_safe, read_projects, replace_portfo
 
 
 def start_changes(
-    mutations: DataFrame, store: str, checkpoint: str, once: bool = True, with_clusters: bool = False
+    mutations: DataFrame, store: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
     """Apply a stream of mutations to ``store/projects`` and keep the derived
     tables of the touched portfolios current.
@@ -34,7 +35,9 @@ def start_changes(
         addressed = changes.where("project_id is not null").select("project_id").distinct()
         stored = read_projects(spark, f"{store}/projects")
         home = stored.join(named, "portfolio_id", "left_semi")
-        foreign = stored.join(named, "portfolio_id", "left_anti").join(addressed, "project_id", "left_semi")
+        places = stored.select("portfolio_id", "project_id").join(addressed, "project_id", "left_semi")
+        places = measured(places.join(named, "portfolio_id", "left_anti").distinct())
+        foreign = stored.join(places, ["portfolio_id", "project_id"], "left_semi")
         applied = apply_mutations(home.unionByName(foreign), changes)
         touched = written_once(applied.touched, f"{staged}/touched")
         rejected = written_once(applied.rejected, f"{staged}/rejected")
@@ -46,7 +49,8 @@ def start_changes(
             rejected.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store}/rejected")
         )
-        refresh(spark, store, touched, with_clusters)
+        refresh(spark, store, touched)
+        places.unpersist()
 
     writer = mutations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
