@@ -222,6 +222,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_column
     """(``docs`` with tokens, posterior, rate and copies, and with their text
     if it is to be kept; the domains; the report)."""
     scratch = Scratch(docs.sparkSession)
+    docs = docs.drop("tokens", "posterior", "rate", "copies")
     model = fit_classifier(docs, labels, scratch, id_column, text_column)
     scored = posteriors(docs, model, text_column)
     if keep_text:  # a text is read again rather than written beside its rate
