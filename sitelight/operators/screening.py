@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sitelight import schema as S
 from sitelight.functions.columns import confidence_label, null_nan, wilson_interval
 from sitelight.functions.joins import measured
 from sitelight.operators.segments import cluster_features, feature_medians
@@ -138,9 +139,26 @@ def blocked(encoded: DataFrame, k_max: int) -> DataFrame:
     return rows.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k_max).drop("_copy")
 
 
+def _requested(bids: DataFrame, k: int) -> Column:
+    return (F.coalesce(F.col("k"), F.lit(k)) if "k" in bids.columns else F.lit(k)).cast("int")
+
+
+def rejected_bids(bids: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    """bid_id, portfolio_id, k and the reason, of bids that ask for too few or too many."""
+    asked = bids.select("bid_id", "portfolio_id", _requested(bids, k).alias("k"))
+    reason = f"k must be between {S.MIN_K} and {S.MAX_K}"
+    return asked.where(~F.col("k").between(S.MIN_K, S.MAX_K)).withColumn("error", F.lit(reason))
+
+
+def accepted_bids(bids: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    return bids.where(_requested(bids, k).between(S.MIN_K, S.MAX_K))
+
+
 def nearest(bids: DataFrame, history: DataFrame, k: int = DEFAULT_K, order_by: str = "project_id") -> DataFrame:
-    """The k nearest history rows of every bid: bid_id, k, position, project_id,
-    distance and the row's outcomes. Fewer than k rows give all of them."""
+    """The k nearest history rows of every accepted bid: bid_id, k, position,
+    project_id, distance and the row's outcomes. Fewer than k rows give all of
+    them."""
+    bids = accepted_bids(bids, k)
     # Only the columns that matter, written once: everything below reads these.
     columns = {"portfolio_id", "project_id", order_by, "project_type", "region", "contract_value_usd",
                "subcontractor_count", "payment_disputes", *OUTCOME_RANGES}
@@ -229,7 +247,8 @@ def screen(
     bids: DataFrame, history: DataFrame, k: int = DEFAULT_K, order_by: str = "project_id",
     cohort: DataFrame | None = None,
 ) -> DataFrame:
-    """One result row per bid, also for bids into empty portfolios."""
+    """One result row per accepted bid, also for bids into empty portfolios."""
+    bids = accepted_bids(bids, k)
     cohort = nearest(bids, history, k, order_by) if cohort is None else cohort
     ranked = F.array_sort(F.collect_list(F.struct("position", F.col("project_id").cast("string").alias("id"))))
     summary = cohort.groupBy("bid_id").agg(

@@ -55,6 +55,11 @@ def n4_nearest(spark, sf):
     return rounded(_cohort(spark, sf).select("bid_id", "position", "project_id", "distance"))
 
 
+def n4_rejected_bids(spark, sf):
+    bids = marts.bids(spark, sf).withColumn("k", F.coalesce("subcontractor_count", F.lit(5)) - 6)
+    return screening.rejected_bids(bids)
+
+
 def _screened(spark, sf):
     return screening.screen(marts.bids(spark, sf), marts.projects(spark, sf))
 
@@ -408,7 +413,7 @@ def queries():
         f.__name__: f
         for f in [
             g4_cluster_ids,
-            n1_encode_history, n2_encode_bids, n3_distance, n4_nearest, n5_outcome_ranges, n6_dispute_rate,
+            n1_encode_history, n2_encode_bids, n3_distance, n4_nearest, n4_rejected_bids, n5_outcome_ranges, n6_dispute_rate,
             n7_caveats, n8_screening, n9_similar_details,
             m1_training_status, m2_label, m3_encoded, m3_feature_names, m7_model_runs, m8_importance_share,
             m9_leakage_gap, m10_trainable,

@@ -128,6 +128,11 @@ def statements() -> dict[str, str]:
         SELECT bid_id, f.project_id, round({DISTANCE}, 6) AS distance FROM asked a
         JOIN orders ON o_custkey = bid_id JOIN feat f ON f.project_id = o_orderkey AND f.portfolio_id = a.portfolio_id""", "asked", "feat")
     out["n4_nearest"] = sql("SELECT bid_id, position, project_id, round(distance, 6) AS distance FROM near", "near")
+    out["n4_rejected_bids"] = sql("""
+        SELECT c_custkey AS bid_id, CASE WHEN c_acctbal < 0 THEN 'UNASSIGNED' ELSE c_mktsegment END AS portfolio_id,
+          CAST(coalesce(n, 5) - 6 AS INTEGER) AS k, 'k must be between 1 and 20' AS error
+        FROM cust LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey
+        WHERE coalesce(n, 5) - 6 NOT BETWEEN 1 AND 20""", "cust")
     ranges = []
     for o in ["delay_days", "cost_overrun_pct", "safety_incidents"]:
         quartiles = ", ".join(f"round(quantile_cont({o}, {p}), 6) AS {a}" for p, a in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")))

@@ -117,6 +117,10 @@ OUTCOME_PHRASES = {
 FALLBACK_TYPES = ["Commercial", "Energy", "Industrial", "Infrastructure", "Residential"]
 FALLBACK_REGIONS = ["Midwest", "Mountain", "Northeast", "Southeast", "Southwest"]
 
+# Screening: how many similar projects a bid may ask for.
+MIN_K = 1
+MAX_K = 20
+
 # Dispute models.
 BID_TIME_FEATURES = ["project_type", "region", "contract_value_usd", "subcontractor_count"]
 LEAKY_FEATURES = ["delay_days", "cost_overrun_pct", "safety_incidents", "actual_duration_days"]

@@ -72,13 +72,13 @@ def test_replace_and_refresh(spark, tmp_path):
     everyone = table.select("portfolio_id").distinct()
     for _ in range(2):
         analyze.store_projects(table, store)
-        analyze.refresh(spark, store, everyone, with_clusters=True)
+        analyze.refresh(spark, store, everyone)
     count = lambda name: {r.portfolio_id: r["count"] for r in spark.read.parquet(f"{store}/{name}").groupBy("portfolio_id").count().collect()}
     assert count("projects") == count("scores") == count("segments") == {"a": 4, "b": 4, "c d": 4}
     before = count("rules")
     gone = spark.createDataFrame([("c d",), ("b",)], "portfolio_id string")
     analyze.store_projects(table.where("project_id = 'b1'"), store, gone)
-    analyze.refresh(spark, store, gone, with_clusters=True)
+    analyze.refresh(spark, store, gone)
     assert count("projects") == count("scores") == count("segments") == {"a": 4, "b": 1}
     assert count("rules")["a"] == before["a"] and "c d" not in count("rules")
 

@@ -31,30 +31,29 @@ def test_quotes_newlines_and_null_tokens(spark, tmp_path):
 
 def test_first_copy_wins_and_null_keys_leave(spark):
     rows, summary = cleaned(spark, [
-        {"project_id": "DUP", "project_name": "first"}, {"project_id": "DUP", "project_name": "second"},
-        {"project_id": "UNIQUE"}, {"project_id": None},
+        {"project_id": None, "project_name": "keyless"}, {"project_id": "B-7", "project_name": "early"}, {"project_id": "A-1"},
+        {"project_id": "B-7", "project_name": "late"}, {"project_id": "B-7", "project_name": "latest"}, {"project_id": "B-7", "portfolio_id": "q"},
     ])
-    assert set(rows) == {"DUP", "UNIQUE"} and rows["DUP"].project_name == "first"
-    assert summary["p"].rows_rejected == 2 and summary["p"].row_count == 2
+    assert set(rows) == {"A-1", "B-7"} and rows["A-1"].project_name == "Depot"
+    assert summary["p"].rows_rejected == 3 and summary["p"].row_count == 2 and summary["q"].rows_rejected == 0
 
 
 def test_median_of_completed_only(spark):
-    rows, summary = cleaned(spark, [
-        {"delay_days": "10"}, {"delay_days": "20"}, {"delay_days": "30"}, {"delay_days": None},
-        {"delay_days": "1000", "final_status": "In Progress"}, {"delay_days": "2000", "final_status": "In Progress"},
-    ])
-    assert rows["PRJ003"].delay_days == 20.0 and rows["PRJ005"].delay_days == 2000.0
-    assert [(i.column, i.n_filled, i.value) for i in summary["p"].imputations] == [("delay_days", 1, 20.0)]
+    done = [{"cost_overrun_pct": v} for v in ("1.5", "9", "6.5", "3", None)]
+    running = [{"cost_overrun_pct": v, "final_status": "In Progress"} for v in ("400", None)]
+    rows, summary = cleaned(spark, done + running)
+    assert rows["PRJ004"].cost_overrun_pct == 4.75 and rows["PRJ005"].cost_overrun_pct == 400.0 and rows["PRJ006"].cost_overrun_pct == 4.75
+    assert [(i.column, i.n_filled, i.value) for i in summary["p"].imputations] == [("cost_overrun_pct", 2, 4.75)]
 
 
 def test_running_outcomes_stay_empty(spark):
     rows, _ = cleaned(spark, [
-        {"safety_incidents": "4"}, {"safety_incidents": None},
-        {"safety_incidents": None, "payment_disputes": None, "final_status": "In Progress", "delay_days": None},
+        {"payment_disputes": "7"}, {"payment_disputes": None}, {"payment_disputes": "2"},
+        {"payment_disputes": None, "safety_incidents": None, "subcontractor_count": None, "final_status": "In Progress"},
     ])
-    assert rows["PRJ001"].safety_incidents == 4
-    assert rows["PRJ002"].safety_incidents is None and rows["PRJ002"].payment_disputes is None
-    assert rows["PRJ002"].delay_days == 10.0
+    assert rows["PRJ001"].payment_disputes == 4.5
+    assert rows["PRJ003"].payment_disputes is None and rows["PRJ003"].safety_incidents is None
+    assert rows["PRJ003"].subcontractor_count == 13
 
 
 def test_no_reference_rows_means_no_fill(spark):

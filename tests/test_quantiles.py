@@ -27,3 +27,10 @@ def test_columns_with_their_own_gaps(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("a", 2.0, None), ("a", None, None)], "g string, x double, y double")
     row = exact_quantiles(df, ["g"], {"x": F.col("x"), "y": F.col("y")}, [0.5]).first()
     assert row.x == [1.5] and row.x_n == 2 and row.y is None and row.y_n == 0
+
+
+def test_infinite_values_have_their_place(spark):
+    rows = [("a", float("inf"))] * 3 + [("a", 1.0)] + [("b", 2.0), ("b", float("-inf")), ("b", float("-inf"))]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.v[0] for r in exact_quantiles(frame, ["g"], {"v": frame.v}, [0.5]).collect()}
+    assert got == {"a": float("inf"), "b": float("-inf")}

@@ -96,7 +96,14 @@ def test_demo_cohort(spark, demo):
     empty = rows["c"]
     assert empty.cohort_size == 0 and empty.similar_project_ids == [] and empty.caveats[0].startswith("No similar projects")
     assert empty.outcomes.any_dispute.rate is None and empty.outcomes.delay_days.confidence == "low"
-    assert rows["d"].cohort_size == 15 and rows["d"].k_requested == 50
+    assert "d" not in rows
+
+
+def test_k_out_of_bounds_is_rejected_with_a_reason(spark, demo):
+    projects, _ = demo
+    bids = spark.createDataFrame([(f"k{k}", "demo", "Energy", "Mountain", 3e7, 9, k) for k in (-3, 0, 1, 20, 21, None)], BID)
+    assert {(r.bid_id, r.k, r.error) for r in screening.rejected_bids(bids).collect()} == {(f"k{k}", k, "k must be between 1 and 20") for k in (-3, 0, 21)}
+    assert {r.bid_id: r.cohort_size for r in screening.screen(bids, projects).collect()} == {"k1": 1, "k20": 15, "kNone": 5}
 
 
 def test_small_cohort_caveat(spark):
