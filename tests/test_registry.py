@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from sitelight.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 WITHOUT_SQL = {
@@ -14,7 +15,7 @@ WITHOUT_SQL = {
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(catalog.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
