@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -18,9 +17,9 @@ from sitelight import schema as S
 from sitelight.functions.joins import measured
 from sitelight.functions.text import chunk_words, is_blank, trim_all, words
 
-# Question vectors handed to every task at a time; larger batches are answered
-# in several readings of the chunks.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# Rows of a block of questions and of chunks: one meeting of two blocks is one
+# matrix product.
+QUESTION_ROWS, CHUNK_ROWS = 256, 1024
 # Fixed value: the text formats that are read.
 TEXT_EXTENSIONS = ["txt"]
 
@@ -118,19 +117,19 @@ def threshold_of(text: Column) -> Column:
 def top_matches(
     questions: DataFrame, chunks: DataFrame, key: str = "chunk_id",
     top_k: int = S.DEFAULT_TOP_K, threshold: float = S.DEFAULT_THRESHOLD,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    question_rows: int = QUESTION_ROWS, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """question_id, portfolio_id, <key>, similarity, position: for every
     question the ``top_k`` most similar chunks of its portfolio at or above the
     threshold (applied before the limit). ``top_k`` and ``threshold`` columns of
     the questions override the arguments. Exact.
 
-    Each task scores its chunks against the question matrix and passes on only
-    the best ``top_k`` per question, so the shuffle carries k rows per question
-    and task however large a portfolio is. The matrix is sent to the tasks in
-    batches of at most ``limit_bytes``; more batches mean more readings.
+    Questions and chunks are packed into blocks within their portfolio, and
+    every question block meets every chunk block of its portfolio once, as one
+    matrix product. A meeting passes on the best ``top_k`` of each question, so
+    k rows per question and block are shuffled; neither side goes through the
+    driver or is broadcast, and a large portfolio is many meetings.
     """
-    spark = questions.sparkSession
     asked = questions.select(
         F.col("question_id"),
         F.col("portfolio_id"),
@@ -138,106 +137,61 @@ def top_matches(
         (F.col("top_k") if "top_k" in questions.columns else F.lit(top_k)).cast("int").alias("top_k"),
         (F.col("threshold") if "threshold" in questions.columns else F.lit(threshold)).cast("double").alias("threshold"),
     ).where("embedding is not null")
-    asked = measured(asked)
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dims"), F.max("top_k").alias("k")).first()
-    key_type = chunks.schema[key].dataType
-    question_type = asked.schema["question_id"].dataType
-    portfolio_type = asked.schema["portfolio_id"].dataType
-    partial = T.StructType(
-        [
-            T.StructField("question_id", question_type),
-            T.StructField("portfolio_id", portfolio_type),
-            T.StructField(key, key_type),
-            T.StructField("similarity", T.DoubleType()),
-        ]
+    pool = chunks.select(F.col(key).alias("key"), "portfolio_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+    met = _blocks(pool, "key", ["embedding"], chunk_rows, "chunks").join(
+        _blocks(asked, "question_id", ["embedding", "top_k", "threshold"], question_rows, "questions"), "portfolio_id"
     )
-    if not size.n:
-        return spark.createDataFrame([], partial).withColumn("position", F.lit(1))
-
-    pool = chunks.select(F.col(key), "portfolio_id", "embedding").where("embedding is not null")
-    batches = math.ceil(size.n * (size.dims * 8 + 64) / limit_bytes)
-    found = None
-    for batch in range(batches):
-        part = asked if batches == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(batches)) == batch)
-        sent = spark.sparkContext.broadcast(_question_matrix(part))
-        best = pool.mapInPandas(_best_per_question(sent, key), partial)
-        found = best if found is None else found.unionByName(best)
-    order = W.partitionBy("question_id").orderBy(F.round("similarity", 12).desc(), key)
-    return (
-        found.withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= size.k)
-        .join(asked.select("question_id", "top_k"), "question_id")
-        .where(F.col("position") <= F.col("top_k"))
-        .drop("top_k")
-    )
-
-
-def _question_matrix(part: DataFrame) -> dict:
-    frame = part.toPandas()
-    grouped = {}
-    for portfolio, rows in frame.groupby("portfolio_id"):
-        matrix = np.vstack(rows["embedding"].to_numpy()) if len(rows) else np.zeros((0, 0))
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        unit = np.divide(matrix, norms, out=np.full_like(matrix, np.nan), where=norms > 0)
-        grouped[portfolio] = {
-            "ids": rows["question_id"].to_numpy(),
-            "unit": unit,
-            "k": rows["top_k"].to_numpy(),
-            "threshold": rows["threshold"].to_numpy(),
-        }
-    return grouped
-
-
-def _best_per_question(sent, key: str):
-    """Task side: running best k per question over the batches of a partition."""
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups = sent.value
-        best: dict = {}
-        for frame in frames:
-            for portfolio, rows in frame.groupby("portfolio_id"):
-                if portfolio not in groups:
-                    continue
-                group = groups[portfolio]
-                for start in range(0, len(rows), 1024):
-                    block = rows.iloc[start:start + 1024]
-                    best[portfolio] = _merge(group, best.get(portfolio), block, key)
-        for portfolio, (question, keys, similarity) in best.items():
-            yield pd.DataFrame(
-                {
-                    "question_id": groups[portfolio]["ids"][question],
-                    "portfolio_id": portfolio,
-                    key: keys,
-                    "similarity": similarity,
-                }
-            )
+    partial = T.StructType([
+        T.StructField("question_id", asked.schema["question_id"].dataType), met.schema["portfolio_id"], T.StructField(key, chunks.schema[key].dataType),
+        T.StructField("similarity", T.DoubleType()), T.StructField("graded", T.DoubleType()), T.StructField("top_k", T.IntegerType()),
+    ])
+    found = met.select("portfolio_id", "questions", "chunks").mapInArrow(_best_per_question(key), partial)
+    order = W.partitionBy("question_id").orderBy(F.col("graded").desc(), key)
+    return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= F.col("top_k")).drop("top_k", "graded")
+
+
+def _blocks(rows: DataFrame, by: str, columns: list[str], size: int, name: str) -> DataFrame:
+    """(portfolio_id, <name>): rows of a portfolio in blocks of about ``size``,
+    sorted by their key."""
+    counts = measured(rows.groupBy("portfolio_id").agg(F.ceil(F.count(F.lit(1)) / size).alias("_n")))
+    block = F.pmod(F.xxhash64(by), F.col("_n")).alias("_block")
+    packed = rows.join(counts, "portfolio_id").groupBy("portfolio_id", block)
+    return packed.agg(F.sort_array(F.collect_list(F.struct(by, *columns))).alias(name)).drop("_block")
+
+
+def _unit(vectors: pa.Array) -> np.ndarray:
+    matrix = np.array(vectors.to_pylist(), dtype=np.float64).reshape(len(vectors), -1)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, norms, out=np.full_like(matrix, np.nan), where=norms > 0)
+
+
+def _best_per_question(key: str):
+    """Task side: the best k per question of one question block in one chunk block."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, pool = batch.column(1)[i].values, batch.column(2)[i].values
+                scores = _unit(asked.field("embedding")) @ _unit(pool.field("embedding")).T
+                limit, wanted = asked.field("threshold").to_numpy(zero_copy_only=False), asked.field("top_k").to_numpy(zero_copy_only=False)
+                with np.errstate(invalid="ignore"):
+                    question, column = np.nonzero(scores >= limit[:, None])
+                similarity = scores[question, column]
+                graded = np.round(similarity, 12)
+                # columns follow the key, so a stable order breaks ties by key
+                order = np.lexsort((column, -graded, question))
+                question, column, similarity, graded = question[order], column[order], similarity[order], graded[order]
+                stay = np.arange(len(question)) - np.searchsorted(question, question) < wanted[question]
+                question, column = pa.array(question[stay]), pa.array(column[stay])
+                yield pa.RecordBatch.from_arrays(
+                    [asked.field("question_id").take(question), batch.column(0).take(pa.array(np.full(len(question), i))), pool.field("key").take(column),
+                     pa.array(similarity[stay]), pa.array(graded[stay]), asked.field("top_k").take(question)],
+                    names=["question_id", "portfolio_id", key, "similarity", "graded", "top_k"],
+                )
 
     return score
 
 
-def _merge(group: dict, kept, block: pd.DataFrame, key: str):
-    matrix = np.vstack(block["embedding"].to_numpy()).astype(np.float64)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    unit = np.divide(matrix, norms, out=np.full_like(matrix, np.nan), where=norms > 0)
-    scores = group["unit"] @ unit.T
-    with np.errstate(invalid="ignore"):
-        question, column = np.nonzero(scores >= group["threshold"][:, None])
-    similarity = scores[question, column]
-    keys = block[key].to_numpy()[column]
-    if kept is not None:
-        question = np.concatenate([kept[0], question])
-        keys = np.concatenate([kept[1], keys])
-        similarity = np.concatenate([kept[2], similarity])
-    if len(question) == 0:
-        return question, keys, similarity
-    order = np.lexsort((keys, -np.round(similarity, 12), question))
-    question, keys, similarity = question[order], keys[order], similarity[order]
-    first = np.r_[0, np.nonzero(np.diff(question))[0] + 1]
-    rank = np.arange(len(question)) - np.repeat(first, np.diff(np.r_[first, len(question)]))
-    stay = rank < group["k"][question]
-    return question[stay], keys[stay], similarity[stay]
-
-
 # --- answers ----------------------------------------------------------------------------
 def confidence(questions: DataFrame, matches: DataFrame) -> DataFrame:
     """low without a match, high from 0.7 on, medium between."""

@@ -40,7 +40,7 @@ def test_status(spark):
     assert ready.ready
 
 
-@pytest.mark.parametrize("limit", [64 * 2**20, 6000])
+@pytest.mark.parametrize("limit", [1000, 16])
 def test_matches_equal_brute_force(spark, limit):
     random = np.random.default_rng(2)
     chunks = random.normal(size=(700, 8))
@@ -53,7 +53,7 @@ def test_matches_equal_brute_force(spark, limit):
     c = spark.createDataFrame([(i, int(home[i]), [float(x) for x in v]) for i, v in enumerate(chunks)],
                               "chunk_id int, portfolio_id int, embedding array<double>").repartition(5)
     got = {}
-    for r in retrieval.top_matches(q, c, limit_bytes=limit).collect():
+    for r in retrieval.top_matches(q, c, question_rows=limit, chunk_rows=2 * limit).collect():
         got.setdefault(r.question_id, []).append((r.position, r.chunk_id))
     for i, v in enumerate(asked):
         if not v.any():
