@@ -23,12 +23,25 @@ def test_quotes_newlines_and_null_tokens(spark, tmp_path):
     target.mkdir(parents=True)
     values = ["A1", '"two\nlines, ""quoted"""', "N/A", "1e3", "2020-01-01", "null", "None", "3", "", "nan", "1", "0", "Completed"]
     (target / "raw.csv").write_text(",".join(S.REQUIRED_COLUMNS) + "\n" + ",".join(values) + "\n")
-    row = read_project_files(spark, str(target / "raw.csv")).first()
+    row = read_project_files(spark, str(target / "raw.csv"), multiline=True).first()
     assert row.portfolio_id == "p1"
     assert row.project_name == 'two\nlines, "quoted"'
     assert [row.project_type, row.end_date, row.region, row.delay_days, row.cost_overrun_pct] == [None] * 5
 
 
+def test_files_with_their_own_header_order(spark, tmp_path):
+    from sitelight import schema as S
+
+    values = dict(zip(S.REQUIRED_COLUMNS, "K1,Mill,Energy,5,2020-01-02,2020-02-03,West,2,3,4,0,1,Completed".split(","), strict=True))
+    orders = {"a": [*S.REQUIRED_COLUMNS], "b": ["note", *reversed(S.REQUIRED_COLUMNS), "note"], "c": [*S.REQUIRED_COLUMNS]}
+    for name, columns in orders.items():
+        (tmp_path / "portfolios" / name).mkdir(parents=True)
+        (tmp_path / "portfolios" / name / "raw.csv").write_text(",".join(columns) + "\n" + ",".join(values.get(c, "extra") for c in columns) + "\n")
+    rows = read_project_files(spark, str(tmp_path / "portfolios/*/*.csv")).collect()
+    assert sorted(r.portfolio_id for r in rows) == ["a", "b", "c"]
+    assert all(r[c] == v for r in rows for c, v in values.items())
+
+
 def test_first_copy_wins_and_null_keys_leave(spark):
     rows, summary = cleaned(spark, [
         {"project_id": None, "project_name": "keyless"}, {"project_id": "B-7", "project_name": "early"}, {"project_id": "A-1"},
