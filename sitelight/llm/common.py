@@ -60,9 +60,9 @@ def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 def member_bits(keys: DataFrame, column: str, most: int = 2**27) -> np.ndarray:
-    """A filter of bounded size with one bit per 64-bit key: 16 bits a key, up
+    """A filter of bounded size with one bit per 64-bit key: 64 bits a key, up
     to ``most``. It only spares work; whoever reads through it joins as well."""
-    words = max(1, min(most, 16 * keys.count()) // 64)
+    words = max(1, min(most, 64 * keys.count()) // 64)
     at = F.pmod(F.col(column), F.lit(64 * words))
     bit = F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {64 * words}) % 64 as int))")
     rows = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("mask")).toPandas()
@@ -74,3 +74,8 @@ def member_bits(keys: DataFrame, column: str, most: int = 2**27) -> np.ndarray:
 def may_hold(bits: np.ndarray, key: int) -> bool:
     at = key % (64 * len(bits))
     return bool((int(bits[at >> 6]) >> (at & 63)) & 1)
+
+
+def may_hold_all(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.mod(keys, 64 * len(bits)).astype(np.uint64)
+    return ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)

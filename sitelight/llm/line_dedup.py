@@ -8,9 +8,9 @@ itself. Chunks that occur more than once in all texts are removed but for their
 first occurrence (by id, then row, then place), after their bytes have been
 compared with the first one's.
 
-Only hashes are counted over all chunks. Texts of chunks travel for repeated
-hashes only; the join with the first occurrences may have hot keys, which
-adaptive execution splits. A chunk has at most ``most_lines`` lines.
+Only hashes are counted over all chunks. Bytes of chunks travel for repeated
+hashes only, whole texts only for rows that lose something; the join with the
+first occurrences may have hot keys, which adaptive execution splits. A chunk has at most ``most_lines`` lines.
 
 Defined results: null texts stay null, empty ones empty; chunks without any
 visible character are never removed; a chunk whose hash equals a first one's
@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelight.llm.common import Scratch, may_hold, member_bits
+from sitelight.llm.common import Scratch, may_hold, may_hold_all, member_bits
 
 OCCURRENCE = "uid long, place int, hash long, size long"
 
@@ -66,8 +66,18 @@ def _key(text: bytes) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(text), "little", signed=True)
 
 
-def _occurrences(divisor: int, long_words: int, most_lines: int, bits=None):
-    """Occurrences of chunks; through ``bits`` only those that may repeat, with their bytes."""
+def _spot(uid: int, place: int) -> int:
+    """A key of an occurrence; the same bits as in _spot_column."""
+    return uid ^ (place << 40)
+
+
+def _spot_column() -> Column:
+    return F.expr("uid ^ shiftleft(cast(place as bigint), 40)")
+
+
+def _occurrences(divisor: int, long_words: int, most_lines: int, bits=None, by_spot: bool = False):
+    """Occurrences of chunks; through ``bits`` only those whose hash (or spot)
+    may be wanted, with their bytes."""
     names = ["uid", "place", "hash", "size"] + ["chunk"] * (bits is not None)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -89,7 +99,7 @@ def _occurrences(divisor: int, long_words: int, most_lines: int, bits=None):
                     if bits is None:
                         held.append((uid, place, key, len(chunk)))
                         size += 100
-                    elif may_hold(bits.value, key):
+                    elif may_hold(bits.value, _spot(uid, place) if by_spot else key):
                         held.append((uid, place, key, len(chunk), chunk))
                         size += 100 + len(chunk)
                     if size > 4_000_000:
@@ -101,6 +111,15 @@ def _occurrences(divisor: int, long_words: int, most_lines: int, bits=None):
     return run
 
 
+def _rows_where(bits, held: bool):
+    """The rows whose uid the filter holds, or those it does not."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold_all(bits.value, batch.column(0).to_numpy()) == held))
+
+    return run
+
+
 def _without(divisor: int, long_words: int, most_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,22 +148,32 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     rows = scratch.write(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*own).alias("row"), text.alias("text")), "lines-rows")
     texts = rows.select("uid", "text")
 
-    found = texts.mapInArrow(_occurrences(*rule), OCCURRENCE)
+    # the first occurrence of every hash that repeats
     ids = rows.select("uid", F.col("row")[id_column].alias("id"))
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "uid", "place")
-    repeated = found.groupBy("hash", "size").agg(F.count("*").alias("n")).where("n > 1").select("hash", "size")
-    repeated = scratch.write(repeated, "lines-repeated")
+    found = texts.mapInArrow(_occurrences(*rule), OCCURRENCE)
+    seen = found.groupBy("hash", "size").agg(F.count("*").alias("n")).where("n > 1").select("hash", "size")
+    repeated = scratch.write(seen, "lines-repeated")
     bits = spark.sparkContext.broadcast(member_bits(repeated, "hash"))
-    held = texts.mapInArrow(_occurrences(*rule, bits), f"{OCCURRENCE}, chunk binary").join(repeated, ["hash", "size"], "left_semi")
-    held = scratch.write(held, "lines-chunks")
-    first = held.select("uid", "place", "hash", "size").join(ids, "uid").groupBy("hash", "size").agg(F.min(order).alias("first"))
-    first = first.select("hash", "size", F.col("first.uid").alias("first_uid"), F.col("first.place").alias("first_place"))
-    model = held.withColumnsRenamed({"uid": "first_uid", "place": "first_place", "chunk": "bytes"}).join(first, ["hash", "size", "first_uid", "first_place"])
-    same = held.join(model, ["hash", "size"]).where("chunk = bytes AND NOT (uid = first_uid AND place = first_place)")
+    again = texts.mapInArrow(_occurrences(*rule, bits), f"{OCCURRENCE}, chunk binary")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "uid", "place")
+    first = again.select("uid", "place", "hash", "size").join(ids.hint("merge"), "uid").groupBy("hash", "size").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    first = first.where("n > 1").select("hash", "size", F.col("first.uid").alias("uid"), F.col("first.place").alias("place"))
+    first = scratch.write(first, "lines-first")
+
+    # its bytes, and the other occurrences beside them
+    spots = spark.sparkContext.broadcast(member_bits(first.select(_spot_column().alias("spot")), "spot"))
+    held = texts.mapInArrow(_occurrences(*rule, spots, by_spot=True), f"{OCCURRENCE}, chunk binary")
+    # merge joins: these tables grow with the input, so the plan is the same at every size
+    model = held.join(first.hint("merge"), ["hash", "size", "uid", "place"]).withColumnsRenamed({"uid": "first_uid", "place": "first_place", "chunk": "bytes"})
+    model = scratch.write(model, "lines-models")
+    same = again.join(model.hint("merge"), ["hash", "size"]).where("chunk = bytes AND NOT (uid = first_uid AND place = first_place)")
     gone = scratch.write(same.groupBy("uid").agg(F.collect_list("place").alias("gone")), "lines-gone")
-    scratch.drop("lines-chunks", "lines-repeated")
+    scratch.drop("lines-first", "lines-repeated", "lines-models")
 
-    marked = rows.join(gone, "uid", "left").select("row", "text", "gone")
+    # only rows that lose something are dealt out to meet what they lose
+    losers = spark.sparkContext.broadcast(member_bits(gone, "uid"))
     layout = T.StructType([rows.schema["row"], *T.StructType().add("text", "string").add("n_removed", "long")])
-    result = marked.mapInArrow(_without(*rule), layout)
+    whole = rows.mapInArrow(_rows_where(losers, False), rows.schema).select("row", F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_removed"))
+    cut = rows.mapInArrow(_rows_where(losers, True), rows.schema).join(gone.hint("merge"), "uid", "left").select("row", "text", "gone")
+    result = whole.unionByName(cut.mapInArrow(_without(*rule), layout))
     return result.select(*[F.col("text").alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns if c != "n_removed"], "n_removed")
