@@ -5,19 +5,23 @@ rare ones by hash, then the frequent ones by frequency. Two sets that are alike
 enough share at least L shingles among the first (size - least overlap + L) of
 each. Every node is indexed with its prefixes for L = 1 to ``longest``; shingles
 that occur in one node's prefixes only are dropped at once. As a probe, a node
-takes the L whose estimated cost is least: the index entries its prefix meets,
+takes the L whose estimated cost is least (nodes that share too few entries with
+any others for a link are taken out before): the index entries its prefix meets,
 plus the candidates among them (at most entries / L) that would need
-verification. A pair that shares L prefix shingles is verified on whole sets.
+verification. A pair that shares L prefix shingles is verified, by bitmaps that
+rule most others out and then on whole sets.
 
 Large groups are not paired out. First each node is verified against two
 leaders of each of its prefix shingles only (the node in which the shingle comes
 first, and one by hash). Links join nodes into components, and the adaptive
 join then pairs nodes of different components only, since a link inside a
-component cannot change it. So the components are those of all links.
+component cannot change it. So the components are those of all links. A pair is
+also dropped when the shingles that either side has before a common one, and no
+node of another component has, leave too few for the least overlap.
 
-Frequent means: counted (within tasks, where at least twice) in at least one in
-``frequent`` of all shingles, so the list that is broadcast has at most
-``frequent`` entries whatever the input. The order affects cost only.
+Frequent are the shingles counted most often (within tasks, where at least
+twice), ``frequent`` of them at most, which bounds the list that is broadcast.
+The order affects cost only.
 
 Shingles and sets are compared by 64-bit hashes of the former. Nodes are told
 apart by 64 bits of a 128-bit hash of the set and its size.
@@ -39,15 +43,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sitelight.llm.common import Scratch
+from sitelight.llm.common import Scratch, may_hold, may_hold_all, member_bits
 from sitelight.llm.components import components
-from sitelight.llm.words import WordHashes, shingle_set, words_of
+from sitelight.llm.words import shingle_sets, slices
 
 #: Shingles that a task counts at a time.
-COUNTED = 4_000_000
-#: Bits of the filter that keeps sets without a candidate out of the shuffle.
-FILTER_BITS = 2**27
+COUNTED = 2_000_000
+#: The prefix (as L) whose shingles name leaders.
+LEADING = 6
+#: Shingles that must name the same leader before a node is verified against it.
+AGREEING = 3
+#: How often nodes without enough shared entries are taken out before pairing.
+PRUNINGS = 2
 
 
 def set_hash(values: np.ndarray) -> int:
@@ -55,14 +64,12 @@ def set_hash(values: np.ndarray) -> int:
 
 
 def rows_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("text"))
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[object, np.ndarray]]:
-    hashes = WordHashes()
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield doc, shingle_set(hashes.of(words_of(text.as_py())), width)
+    for batch in slices(batches, "text"):
+        yield from zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True)
 
 
 def _measure(width: int):
@@ -100,15 +107,9 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def least_overlap_up(n: int, percent: int) -> int:
-    """With any set that is not smaller."""
-    return -(-2 * percent * n // (100 + percent))
-
-
 def _prefixes(width: int, percent: int, longest: int, shared):
-    """Index and probe entries: place of the shingle in its node's order, and
-    the least L at which it belongs to the probe and to the index prefix."""
-    names = ["token", "node", "n", "place", "probe_level", "index_level"]
+    """(token, node, size and place): a node's first shingles in its order."""
+    names = ["token", "node", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = shared.value
@@ -118,12 +119,9 @@ def _prefixes(width: int, percent: int, longest: int, shared):
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             token = np.concatenate([r[0] for r in rows]).view(np.int64)
-            long_, int_ = pa.int64(), pa.int32()
-            rest = [np.concatenate([np.full(len(r[0]), r[k]) for r in rows]) for k in (1, 2)]
-            place = np.concatenate([np.arange(len(r[0])) for r in rows])
-            probe = np.concatenate([np.maximum(1, np.arange(len(r[0])) + 1 - r[3]) for r in rows])
-            index = np.concatenate([np.maximum(1, np.arange(len(r[0])) + 1 - r[4]) for r in rows])
-            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(rest[0], long_), pa.array(rest[1], int_), pa.array(place, int_), pa.array(probe, int_), pa.array(index, int_)], names=names)
+            node = np.concatenate([np.full(len(r[0]), r[1]) for r in rows])
+            sizes = np.concatenate([(r[2] << 32) + np.arange(len(r[0])) for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (token, node, sizes)], names=names)
 
         for doc, values in _sets(batches, width):
             n = len(values)
@@ -141,8 +139,7 @@ def _prefixes(width: int, percent: int, longest: int, shared):
                 order = np.concatenate([values[~hot], values[hot][np.argsort(rank[at[hot]], kind="stable")]])
             else:
                 order = values
-            free, free_up = n - least_overlap(n, percent), n - least_overlap_up(n, percent)
-            out.append((order[: free + longest], node, n, free, free_up))
+            out.append((order[: n - least_overlap(n, percent) + longest], node, n))
             size += len(out[-1][0])
             if size > 200_000:
                 yield batch_of(out)
@@ -153,25 +150,68 @@ def _prefixes(width: int, percent: int, longest: int, shared):
     return run
 
 
-def _candidates_only(width: int, shared):
-    """(node, values) of the nodes that the filter lets through."""
+def _held(column: str, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold_all(shared.value, batch.column(batch.schema.names.index(column)).to_numpy())))
+
+    return run
+
+
+def _levels(entries: DataFrame, percent: int) -> DataFrame:
+    """The least L at which an entry belongs to the probe and to the index prefix."""
+    n, place = F.expr("cast(shiftright(sizes, 32) as int)"), F.expr("cast(sizes & 4294967295L as int)")
+    up, down = F.expr(f"cast((2L * {percent} * n + {99 + percent}) div {100 + percent} as int)"), F.expr(f"cast(({percent}L * n + 99) div 100 as int)")
+    rows = entries.withColumns({"n": n, "place": place}).drop("sizes")
+    level = lambda least: F.greatest(F.lit(1), F.col("place") + 1 - F.col("n") + least)
+    return rows.withColumns({"probe_level": level(down), "index_level": level(up)})
+
+
+def bitmap(values: np.ndarray) -> bytes:
+    """One bit per shingle, in an array of at least twice as many bits."""
+    bits = np.zeros(max(64, 1 << (2 * len(values) - 1).bit_length()), dtype=bool)
+    bits[values % np.uint64(len(bits))] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_link(one: np.ndarray, two: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether two bitmaps differ in no more bits than two linked sets of these
+    sizes could differ in shingles. Each different bit is a different shingle."""
+    if len(one) != len(two):
+        one, two = sorted((one, two), key=len)
+        two = np.bitwise_or.reduce(two.reshape(-1, len(one)), axis=0)
+    least = -(-percent * (n + m) // (100 + percent))
+    return int(np.bitwise_count(one ^ two).sum()) <= n + m - 2 * least
+
+
+def _candidate_sets(width: int, shared):
+    """(node, n, bits, values) of the texts that the filter lets through."""
+    names, kinds = ["node", "n", "bits", "values"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, out, size = shared.value, set(), [], 0
+        out, size = [], 0
         for doc, values in _sets(batches, width):
             node = set_hash(values)
-            at = node % (64 * len(words))
-            if doc is None or node in seen or not (int(words[at >> 6]) >> (at & 63)) & 1:
+            if doc is None or not may_hold(shared.value, node ^ doc):
                 continue
-            seen.add(node)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            out.append((node, values.tobytes()))
+            out.append((node, len(values), bitmap(values), values.tobytes()))
             size += values.nbytes
-            if size > 8_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["node", "values"])
+            if size > 4_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                 out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["node", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
+def _pass_bitmaps(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = ([np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in batch.column(k)] for k in (2, 4))
+            sizes = zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            keep = [may_link(x, y, n, m, percent) for x, y, (n, m) in zip(one, two, sizes, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -189,11 +229,21 @@ def _verified(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
-    one = sets.select(F.col("node").alias("a"), F.col("values").alias("one"))
-    two = sets.select(F.col("node").alias("b"), F.col("values").alias("two"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_verified(percent), "a long, b long")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) that are links: by bitmaps first, then by whole sets."""
+    def beside(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+        return pairs.select("a", "b", *[f"{side}_{c}" for side in ("a", "b") for c in columns])
+
+    likely = beside(pairs.select("a", "b"), sets.select("node", "bits", "n"), ["bits", "n"]).mapInArrow(_pass_bitmaps(percent), "a long, b long")
+    likely = scratch.write(likely.distinct(), f"{name}-likely")
+    nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    bits = sets.sparkSession.sparkContext.broadcast(member_bits(nodes, "node"))
+    needed = sets.select("node", "values").mapInArrow(_held("node", bits), "node long, values binary")
+    found = scratch.write(beside(likely, needed, ["values"]).mapInArrow(_verified(percent), "a long, b long").distinct(), name)
+    scratch.drop(f"{name}-likely")
+    return found
 
 
 def _alike_sizes(n: str, m: str, percent: int) -> Column:
@@ -202,6 +252,7 @@ def _alike_sizes(n: str, m: str, percent: int) -> Column:
 
 def _leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Each node beside the leaders of its prefix shingles."""
+    entries = entries.where(F.col("probe_level") <= LEADING)
     first = F.min(F.struct("place", "n", "node")).alias("first")
     drawn = F.min(F.struct(F.xxhash64("node").alias("draw"), "n", "node")).alias("drawn")
     leaders = entries.groupBy("token").agg(first, drawn)
@@ -209,7 +260,8 @@ def _leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
         F.struct(F.col("first.node").alias("node"), F.col("first.n").alias("n")), F.struct(F.col("drawn.node").alias("node"), F.col("drawn.n").alias("n")),
     )).alias("leader"))
     alike = (F.col("node") != F.col("leader.node")) & _alike_sizes("n", "leader.n", percent)
-    return paired.where(alike).select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
+    pairs = paired.where(alike).select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("times")).where(F.col("times") >= AGREEING)
 
 
 def _adaptive_pairs(entries: DataFrame, percent: int, longest: int, check_cost: float) -> DataFrame:
@@ -219,37 +271,66 @@ def _adaptive_pairs(entries: DataFrame, percent: int, longest: int, check_cost:
         F.min("component").alias("low"), F.max("component").alias("high"),
         *[F.sum((F.col("index_level") <= level).cast("int")).alias(f"list_{level}") for level in levels],
     ).where("low <> high").drop("low", "high")
-    open_ = entries.join(lists, "token")
+    # shingles of a node before this one that no node of another component has in
+    # its prefix: what meets the node here cannot have them either
+    place = F.row_number().over(Window.partitionBy("node").orderBy("place", "token"))
+    open_ = entries.join(lists, "token").withColumn("most", F.col("n") - F.col("place") + place - 1)
     costs = open_.groupBy("node").agg(F.first("n").alias("n"), *[F.sum(F.when(F.col("probe_level") <= level, F.col(f"list_{level}")).otherwise(0)).alias(f"cost_{level}") for level in levels])
     most = F.ceil(F.col("n") * percent / 100)
     options = F.array(*[
         F.when(F.lit(level) <= most, F.struct((F.col(f"cost_{level}") * (1 + check_cost / level)).alias("cost"), F.lit(level).alias("level"))) for level in levels
     ])
     chosen = costs.select("node", F.array_min(F.filter(options, lambda x: x.isNotNull()))["level"].alias("level"))
-    probes = open_.join(chosen, "node").where("probe_level <= level").select("token", F.col("node").alias("s"), F.col("n").alias("s_n"), F.col("component").alias("s_component"), "level")
-    index = open_.where(F.col("index_level") <= longest).select("token", F.col("node").alias("r"), F.col("n").alias("r_n"), F.col("component").alias("r_component"), "index_level")
-    smaller = (F.col("r_n") < F.col("s_n")) | ((F.col("r_n") == F.col("s_n")) & (F.col("r") < F.col("s")))
+    own = ["token", "node", "n", "component", "place", "most"]
+    probes = open_.join(chosen, "node").where("probe_level <= level").select(*[F.col(c).alias(f"s_{c}" if c != "token" else c) for c in own], "level")
+    index = open_.where(F.col("index_level") <= longest).select(*[F.col(c).alias(f"r_{c}" if c != "token" else c) for c in own], "index_level")
+    smaller = (F.col("r_n") < F.col("s_n")) | ((F.col("r_n") == F.col("s_n")) & (F.col("r_node") < F.col("s_node")))
+    can = (100 + percent) * F.least("s_most", "r_most") >= percent * (F.col("s_n") + F.col("r_n"))
     met = probes.join(index, "token").where(
-        (F.col("index_level") <= F.col("level")) & (F.col("s_component") != F.col("r_component")) & smaller & (100 * F.col("r_n") >= percent * F.col("s_n"))
-    )
-    shared = met.groupBy("s", "r").agg(F.count("*").alias("shared"), F.first("level").alias("level")).where("shared >= level")
+        (F.col("index_level") <= F.col("level")) & (F.col("s_component") != F.col("r_component")) & smaller & (100 * F.col("r_n") >= percent * F.col("s_n")) & can
+    ).withColumnsRenamed({"s_node": "s", "r_node": "r"})
+    after = F.least(F.first("s_n") - F.max("s_place"), F.first("r_n") - F.max("r_place")) - 1
+    enough = (100 + percent) * (F.count("*") + after) >= percent * (F.first("s_n") + F.first("r_n"))
+    shared = met.groupBy("s", "r").agg(F.count("*").alias("shared"), F.first("level").alias("level"), enough.alias("enough")).where("enough AND shared >= level")
     return shared.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b"))
 
 
-def _filter_words(nodes: DataFrame) -> np.ndarray:
-    """One bit per node, in an array of bounded size."""
-    n = nodes.count()
-    words = max(1, min(FILTER_BITS, 16 * n) // 64)
-    at = F.pmod(F.col("node"), F.lit(64 * words))
-    rows = nodes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {64 * words}) % 64 as int))")).alias("mask")).toPandas()
-    out = np.zeros(words, dtype=np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
-    return out
+def _several(entries: DataFrame) -> DataFrame:
+    """The shingles that more than one node has."""
+    return entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
+
+
+def _rich(entries: DataFrame, percent: int, longest: int) -> DataFrame:
+    """The nodes that can have a link: with it they would share ``longest``
+    entries, or as many as the least overlap is."""
+    needed = F.least(F.lit(longest), F.ceil(F.shiftright(F.first("sizes"), 32) * percent / 100))
+    return entries.groupBy("node").agg((F.count("*") >= needed).alias("rich")).where("rich").select("node")
+
+
+def _pruned(entries: DataFrame, column: str, keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """Entries with a key among ``keys``, and a few others: pruning only spares work."""
+    keys = scratch.write(keys, f"join-keys-{column}")
+    bits = entries.sparkSession.sparkContext.broadcast(member_bits(keys, column))
+    scratch.drop(f"join-keys-{column}")
+    return entries.mapInArrow(_held(column, bits), "token long, node long, sizes long")
+
+
+def _least_count(counts: DataFrame, most: int) -> int:
+    """The smallest count that at most ``most`` shingles reach."""
+    level = F.floor(4 * F.log2("n")).alias("level")  # so that the histogram is short
+    histogram = counts.groupBy(level).agg(F.count("*").alias("rows"), F.min("n").alias("n")).orderBy(F.desc("level")).collect()
+    least, listed = 2**62, 0
+    for row in histogram:
+        listed += row.rows
+        if listed > most:
+            break
+        least = row.n
+    return least
 
 
 def groups(
-    docs: DataFrame, width: int, percent: int, id_column: str = "doc_id", text_column: str = "text", longest: int = 5,
-    frequent: int = 2**20, check_cost: float = 20.0,
+    docs: DataFrame, width: int, percent: int, id_column: str = "doc_id", text_column: str = "text", longest: int = 16,
+    frequent: int = 2**20, check_cost: float = 1.0,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: two texts link when 100 *
     intersection >= percent * union of their sets of ``width``-word shingles."""
@@ -259,38 +340,43 @@ def groups(
     measured = scratch.write(texts.mapInArrow(_measure(width), "doc_id long, n long, node long, token long"), "join-sizes")
     rows = measured.where("token IS NULL").drop("token")
 
-    # the frequent shingles: at most ``frequent`` of them, by the pigeonhole
-    total = rows.where("doc_id IS NOT NULL").agg(F.sum("n").alias("n")).first().n or 0
-    often = measured.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total / frequent)).toPandas()
+    # the frequent shingles: the most frequent ones, at most ``frequent`` of them
+    counts = measured.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = scratch.write(counts, "join-counts")
+    often = counts.where(F.col("n") >= _least_count(counts, frequent)).toPandas()
+    scratch.drop("join-counts")
     token = often["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     shared = spark.sparkContext.broadcast((token[order], often["n"].to_numpy(np.int64)[order]))
 
     # entries of shingles that more than one node has in its prefixes
-    entries = scratch.write(
-        texts.mapInArrow(_prefixes(width, percent, longest, shared), "token long, node long, n int, place int, probe_level int, index_level int"), "join-entries"
-    )
-    several = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    entries = scratch.write(entries.join(several, "token").distinct(), "join-shared")
+    entries = scratch.write(texts.mapInArrow(_prefixes(width, percent, longest, shared), "token long, node long, sizes long"), "join-entries")
+    kept = _pruned(entries, "token", _several(entries), scratch).repartition("node").dropDuplicates(["token", "node"])
+    entries = scratch.write(kept, "join-shared-0")
     scratch.drop("join-entries")
-
-    # whole sets of the nodes that have a candidate
-    nodes = scratch.write(entries.select("node").distinct(), "join-nodes")
-    words = spark.sparkContext.broadcast(_filter_words(nodes))
-    sets = texts.mapInArrow(_candidates_only(width, words), "node long, values binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    sets = scratch.write(sets, "join-sets")
+    for turn in range(1, PRUNINGS + 1):
+        rich = scratch.write(_pruned(entries, "node", _rich(entries, percent, longest), scratch), "join-rich")
+        kept = _pruned(rich, "token", _several(rich), scratch)
+        entries = scratch.write(kept, f"join-shared-{turn}")
+        scratch.drop(f"join-shared-{turn - 1}", "join-rich")
+    entries = _levels(entries, percent)
+
+    # whole sets of the nodes that may have a candidate, from one text of each
+    least = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    chosen = scratch.write(entries.select("node").distinct().join(least, "node").select(F.expr("node ^ least").alias("key")), "join-chosen")
+    bits = spark.sparkContext.broadcast(member_bits(chosen, "key"))
+    sets = scratch.write(texts.mapInArrow(_candidate_sets(width, bits), "node long, n int, bits binary, values binary"), "join-sets")
 
     # links to leaders, then the links between what these left apart
-    found = scratch.write(verify(_leader_pairs(entries, percent), sets, percent), "join-leaders")
+    found = verify(_leader_pairs(entries, percent), sets, percent, scratch, "join-leaders")
     joined = components(found, scratch, "join-components")
     known = entries.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = scratch.write(known, "join-known")
-    more = scratch.write(verify(_adaptive_pairs(known, percent, longest, check_cost), sets, percent), "join-links")
-    scratch.drop("join-known", "join-sets", "join-nodes", "join-shared")
+    more = verify(_adaptive_pairs(known, percent, longest, check_cost), sets, percent, scratch, "join-links")
+    scratch.drop("join-known", "join-sets", "join-chosen", f"join-shared-{PRUNINGS}")
     linked = scratch.write(components(found.union(more), scratch, "join-all"), "join-linked")
 
     # the smallest id of each component, by node first
-    least = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     least = least.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
