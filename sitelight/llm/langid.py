@@ -9,8 +9,8 @@ batches, all words of one length at a time, each distinct word once.
 Fitting is expectation maximisation: forward and backward sums give the
 expected use of every piece, tasks add up their words, and only the table of
 pieces by languages reaches the driver, whose size the vocabulary bounds.
-Piece probabilities are fitted on at most ``sample`` rows per language, those
-with the smallest hash of id and text; language shares count all rows.
+Piece probabilities are fitted on about ``sample`` rows per language, chosen by
+a hash of id and text; language shares count all rows.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter,
 and whenever nothing was learned; rows without language or text are not learned
@@ -32,7 +32,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from sitelight.llm.common import Scratch
 
@@ -179,8 +178,9 @@ def fit(labelled: DataFrame, path: str, id_column: str = "doc_id", text_column:
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "word", "n"])
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", "text"), "text")
-    chosen = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    # rows with a small hash, so many as give the sample on average; no rows meet for it
+    portion = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, sample / shares[lang])))])
+    chosen = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(2**31)) < portion[F.col("lang")] * 2**31)
     counted = chosen.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
     per_language = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).cast("double") for lang in languages]
     scratch = Scratch(labelled.sparkSession)
