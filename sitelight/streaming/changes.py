@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sitelight.functions.joins import measured
 from sitelight.operators.mutations import apply_mutations
 from sitelight.plans.analyze import refresh
-from sitelight.session import written_once
+from sitelight.session import remove_path, written_once
 from sitelight.sources.tables import integer_safe, read_projects, replace_portfolios
 
 
@@ -22,11 +22,13 @@ def start_changes(
     Only touched portfolios are read and rewritten. A batch first writes its
     outcome beside the checkpoint and then replaces the table with it: a batch
     repeated after a failure finds that outcome and does not apply its changes
-    to a table that already has them.
+    to a table that already has them. Outcomes go when the next batch begins.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # This batch began, so the one before is committed and not repeated.
+        remove_path(spark, f"{checkpoint}/staged/{batch_id - 1}")
         staged = f"{checkpoint}/staged/{batch_id}"
         changes = written_once(batch, f"{staged}/changes")
         named = changes.select("portfolio_id").distinct()

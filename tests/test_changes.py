@@ -119,3 +119,7 @@ def test_streamed_changes_survive_a_repeat(spark, tmp_path):
     shutil.rmtree(progress / "commits")
     assert run() == expected
     assert spark.read.parquet(f"{store}/scores").select("portfolio_id").distinct().count() == 1
+    # The next batch releases what the one before had staged.
+    batch(spark, [(4, "upsert", "q", None, "x002", "again", 2.0)]).coalesce(1).write.mode("append").parquet(str(log))
+    run()
+    assert [folder.name for folder in (progress / "staged").iterdir()] == ["1"]
