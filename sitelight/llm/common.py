@@ -59,15 +59,19 @@ def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def member_bits(keys: DataFrame, column: str, most: int = 2**27) -> np.ndarray:
-    """A filter of bounded size with one bit per 64-bit key: 64 bits a key, up
-    to ``most``. It only spares work; whoever reads through it joins as well."""
-    words = max(1, min(most, 64 * keys.count()) // 64)
+def member_bits(keys: DataFrame, column: str, per_key: int = 16, most: int = 2**27) -> np.ndarray:
+    """A filter of bounded size with one bit per 64-bit key, ``per_key`` bits of
+    room each, up to ``most`` in all. It only spares work; whoever reads through
+    it joins as well."""
+    words = max(1, min(most, per_key * keys.count()) // 64)
     at = F.pmod(F.col(column), F.lit(64 * words))
     bit = F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {64 * words}) % 64 as int))")
-    rows = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("mask")).toPandas()
+    rows = keys.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("mask")).toArrow()
     out = np.zeros(words, dtype=np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    for batch in rows.to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+    del rows
+    pa.default_memory_pool().release_unused()
     return out
 
 

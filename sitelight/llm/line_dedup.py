@@ -153,7 +153,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     found = texts.mapInArrow(_occurrences(*rule), OCCURRENCE)
     seen = found.groupBy("hash", "size").agg(F.count("*").alias("n")).where("n > 1").select("hash", "size")
     repeated = scratch.write(seen, "lines-repeated")
-    bits = spark.sparkContext.broadcast(member_bits(repeated, "hash"))
+    bits = spark.sparkContext.broadcast(member_bits(repeated, "hash", per_key=64))
     again = texts.mapInArrow(_occurrences(*rule, bits), f"{OCCURRENCE}, chunk binary")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "uid", "place")
     first = again.select("uid", "place", "hash", "size").join(ids.hint("merge"), "uid").groupBy("hash", "size").agg(F.min(order).alias("first"), F.count("*").alias("n"))
@@ -161,7 +161,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     first = scratch.write(first, "lines-first")
 
     # its bytes, and the other occurrences beside them
-    spots = spark.sparkContext.broadcast(member_bits(first.select(_spot_column().alias("spot")), "spot"))
+    spots = spark.sparkContext.broadcast(member_bits(first.select(_spot_column().alias("spot")), "spot", per_key=64))
     held = texts.mapInArrow(_occurrences(*rule, spots, by_spot=True), f"{OCCURRENCE}, chunk binary")
     # merge joins: these tables grow with the input, so the plan is the same at every size
     model = held.join(first.hint("merge"), ["hash", "size", "uid", "place"]).withColumnsRenamed({"uid": "first_uid", "place": "first_place", "chunk": "bytes"})
@@ -171,7 +171,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     scratch.drop("lines-first", "lines-repeated", "lines-models")
 
     # only rows that lose something are dealt out to meet what they lose
-    losers = spark.sparkContext.broadcast(member_bits(gone, "uid"))
+    losers = spark.sparkContext.broadcast(member_bits(gone, "uid", per_key=64))
     layout = T.StructType([rows.schema["row"], *T.StructType().add("text", "string").add("n_removed", "long")])
     whole = rows.mapInArrow(_rows_where(losers, False), rows.schema).select("row", F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_removed"))
     cut = rows.mapInArrow(_rows_where(losers, True), rows.schema).join(gone.hint("merge"), "uid", "left").select("row", "text", "gone")

@@ -343,11 +343,12 @@ def groups(
     # the frequent shingles: the most frequent ones, at most ``frequent`` of them
     counts = measured.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
     counts = scratch.write(counts, "join-counts")
-    often = counts.where(F.col("n") >= _least_count(counts, frequent)).toPandas()
+    often = counts.where(F.col("n") >= _least_count(counts, frequent)).select("token", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     scratch.drop("join-counts")
-    token = often["token"].to_numpy(np.int64).view(np.uint64)
+    token = often["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
-    shared = spark.sparkContext.broadcast((token[order], often["n"].to_numpy(np.int64)[order]))
+    shared = spark.sparkContext.broadcast((token[order], often["n"].to_numpy()[order]))
+    del often, token, order
 
     # entries of shingles that more than one node has in its prefixes
     entries = scratch.write(texts.mapInArrow(_prefixes(width, percent, longest, shared), "token long, node long, sizes long"), "join-entries")
