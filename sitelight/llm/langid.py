@@ -40,7 +40,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 32
 #: What a single character outside the vocabulary is worth in every language.
 STRANGE = 1e-7
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -269,8 +269,8 @@ def predicted(model: Model, text: Column, spark) -> Column:
         scorer = Scorer(shared.value)
         for part in parts:
             langs, scores = [], []
-            for at in range(0, len(part), 512):
-                some = scorer([None if x is None else str(x) for x in part.iloc[at : at + 512]])
+            for at in range(0, len(part), 256):
+                some = scorer([None if x is None else str(x) for x in part.iloc[at : at + 256]])
                 langs += some[0]
                 scores += some[1]
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
