@@ -304,7 +304,8 @@ def score(docs: DataFrame, train: DataFrame, text_column: str = "text", frequent
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*own).alias("row"), text)
     numbers = T.StructType().add("n_tokens", "long").add("n_known", "long").add("base", "double").add("score", "double").add("word", "long").add("times", "long")
-    layout = T.StructType([rows.schema["uid"], rows.schema["row"], *numbers])
+    # rows of rare words carry no row of the document's
+    layout = T.StructType([rows.schema["uid"], T.StructField("row", rows.schema["row"].dataType, True), *numbers])
     scored = scratch.write(rows.mapInArrow(_score(shared), layout), "lm-scored")
     rare = scored.where("word IS NOT NULL").select("uid", "word", "times").join(rarer, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.scale))
