@@ -6,8 +6,8 @@ Both pages' lines (texts of blocks) are aligned by their longest common
 subsequence, and the lines a page shares with its nearest are deleted, unless
 its own markup puts them into its article. Since a host may use several
 templates, lines that markup declares to be menus, headers, footers, sidebars,
-notices, adverts, forms or comments are deleted as well, and a page with an
-article keeps lines of the article only.
+notices, adverts, forms or comments are deleted as well. Other lines outside the
+article stay when the alignment does not find them on the nearest page.
 
 A host's order is split over any number of tasks: neighbours across a border
 come from a table of the tasks' first and last pages. Pages are read twice:
@@ -215,8 +215,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = []
             for packed, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines, gone = lines_of(unpack.decompress(packed).decode()), set(gone or ())
-                article = any(inside for _, inside, _ in lines)
-                texts.append("\n\n".join(text for i, (text, inside, declared) in enumerate(lines) if i not in gone and not declared and (inside or not article)))
+                texts.append("\n\n".join(text for i, (text, _, declared) in enumerate(lines) if i not in gone and not declared))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["page", "text"])
 
 

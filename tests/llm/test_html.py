@@ -57,6 +57,11 @@ def test_shared_lines_of_articles_stay(spark):
     assert texts(spark, [(f"http://h/{i}", page.format(i)) for i in range(2)]) == ["same\n\n0", "same\n\n1"]
 
 
+def test_alignment_decides_outside_articles(spark):
+    page = "<div>Menu</div><p>lead {0}</p><article><p>story {0}</p></article><p>more {0}</p><div>Imprint</div><footer>f {0}</footer>"
+    assert texts(spark, [(f"http://h/{i}", page.format(i)) for i in range(3)]) == [f"lead {i}\n\nstory {i}\n\nmore {i}" for i in range(3)]
+
+
 def test_edges(spark):
     pages = [
         ("http://h/1", None), ("http://h/1", ""), (None, "<p>no url</p>"), ("nothing", "plain & simple"), ("http://h/2", "<p>cut <b"), ("http://h/3", "<p>" + "long " * 50000),
