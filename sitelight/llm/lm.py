@@ -3,19 +3,22 @@
 Counts of words and of word pairs are quantised to levels of half powers of
 two, and an n-gram enters the filter once per level up to its own. A lookup
 probes level after level until one is missing; the last one found gives the
-count. The filter goes to every worker.
+count. The filter is split by key hash into slices, as many as the n-grams need;
+each is filled in the task that looks up what the texts ask of it, and is not
+gathered anywhere.
 
 p(w | h) = max(0, c(h w) - D) / c(h) + g(h) * p(w): absolute discounting over
 the unigram p(w) = (c(w) + 1/2) / (N + (V + 1) / 2). The mass g(h) that h's
-known pairs leave is exact for the frequent words, whose counts are broadcast
-beside the filter, and the mean of h's count level for the others.
+known pairs leave is exact for the frequent words, whose counts are broadcast,
+and the mean of h's count level for the others.
 
 Size bounds, whatever the corpus: ``frequent`` words at most in the exact list;
-``entries`` at most in the filter (11.6 bits each, error rate 1/256). The least
-level that is kept is the smallest that fits, from the exact histogram of all
-levels; rarer n-grams are left to the smoothing, which knows how much they
-weigh. Counting itself covers every training row and is never cut. Words are
-compared by 64-bit hashes, words inside pairs by 32 bits.
+about ``entries`` in a slice of the filter (11.6 bits each, error rate 1/256).
+The number of slices follows from the exact histogram of all levels and from the
+texts to be scored, so every n-gram that was counted is held, those that occur
+once too. Texts ask in batches of about 4 MB, one packed row per batch and slice,
+and the answers meet the batch again, so no key is hot. Words are compared by
+64-bit hashes, words inside pairs by 32 bits, n-grams inside a slice by 40.
 
 The exact unigram score is made from the frequent list inside the pass, and
 from a join of the rarer words with all exact counts; a rarer word has few rows
@@ -36,6 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,6 +138,70 @@ def build_filter(ngrams: DataFrame, least: int, entries: int) -> LogFrequencyFil
     return LogFrequencyFilter(blocks, least, words.ravel())
 
 
+def filter_of(keys: np.ndarray, levels: np.ndarray) -> LogFrequencyFilter:
+    """The filter of n-grams that are at hand."""
+    blocks = math.ceil(int(levels.sum()) * BITS_PER_ENTRY / BLOCK_BITS)
+    bits = np.zeros(blocks * BLOCK_BITS, dtype=bool)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        some = keys[levels >= level]
+        bits[(blocks_of(some, blocks) * np.uint64(BLOCK_BITS))[:, None] + places(some, np.full(len(some), level))] = True
+    return LogFrequencyFilter(blocks, 1, np.packbits(bits, bitorder="little").view("<u8"))
+
+
+# --- slices of the filter -----------------------------------------------------------
+def dealt(keys: np.ndarray, slices_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the keys by slice, the slices that occur, where each begins and the end)."""
+    number = ((keys >> np.uint64(40)) * np.uint64(slices_)) >> np.uint64(24)
+    order = np.argsort(number, kind="stable")
+    found, first = np.unique(number[order], return_index=True)
+    return order, found.astype(np.int32), np.append(first, len(keys))
+
+
+def packed(values: np.ndarray, width: int, bounds: np.ndarray) -> pa.Array:
+    """The low bytes of the values, one binary per stretch between bounds."""
+    flat = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return pa.array([flat[width * a : width * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
+
+
+def slice_keys(data: bytes) -> np.ndarray:
+    """Keys inside a slice, from their low five bytes."""
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return mixed(out.view("<u8").ravel())
+
+
+def _dealt_counts(slices_: int):
+    """(slice, keys, levels) packed, of (kind, item, level)."""
+    names = ["slice", "keys", "levels"]
+
+    def packed_rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, levels = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, found, bounds = dealt(keys, slices_)
+        return pa.RecordBatch.from_arrays([pa.array(found), packed(keys[order], 5, bounds), packed(levels[order], 1, bounds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            kind, item = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            held.append((np.where(kind == 1, word_keys(item), pair_keys(item)), batch.column(2).to_numpy()))
+            if sum(len(x[0]) for x in held) > COUNTED:
+                yield packed_rows(held)
+                held.clear()
+        if held:
+            yield packed_rows(held)
+
+    return run
+
+
+def _answered(counts: pa.Table, asked_: pa.Table) -> pa.Table:
+    """(batch, slice, levels) of what batches ask of one slice."""
+    keys = slice_keys(b"".join(counts["keys"].to_pylist()))
+    levels = np.frombuffer(b"".join(counts["levels"].to_pylist()), dtype=np.uint8)
+    filter_ = filter_of(keys, levels.astype(np.int64)) if asked_.num_rows else None
+    found = [filter_.levels(slice_keys(x)).astype(np.uint8).tobytes() for x in asked_["keys"].to_pylist()]
+    return pa.table({"batch": asked_["batch"], "slice": asked_["slice"], "levels": pa.array(found, pa.binary())})
+
+
 # --- counting ------------------------------------------------------------------------
 def sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(words with an end after each text, start of each text)."""
@@ -179,46 +247,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     tokens: int  # N
     distinct: int  # V
-    filter: LogFrequencyFilter
+    filter: LogFrequencyFilter | None  # whole, where it is at hand
     words: np.ndarray  # frequent words: sorted hashes, counts, left mass
     counts: np.ndarray
     left: np.ndarray
     left_by_level: np.ndarray
+    entries: int  # of the whole filter
+    slices: int = 1
 
     @property
     def scale(self) -> float:
         return self.tokens + 0.5 * (self.distinct + 1)
 
 
-def fit(train: DataFrame, scratch: Scratch, text_column: str = "text", frequent: int = 2**19, entries: int = 2**24) -> tuple[Model, DataFrame]:
-    """The model, and the exact counts (word, n) of all words."""
+def measure(train: DataFrame, scratch: Scratch, text_column: str, frequent: int) -> tuple[Model, DataFrame, DataFrame]:
+    """The model without its filter, the exact counts (word, n) of the words that
+    are not listed, and the filter's n-grams (kind, item, level)."""
     texts = train.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     counted = texts.mapInArrow(_count, "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
-    # pairs that occur once are kept while all of them are sure to fit
-    words_only = counted.withColumn("level", level_of("n"))
-    stored = scratch.write(words_only.where((F.col("kind") == 1) | (F.col("n") > 1) | F.lit(entries >= 2 * _tokens(texts))), "lm-counts")
+    stored = scratch.write(counted.withColumn("level", level_of("n")), "lm-counts")
     words, pairs = stored.where("kind = 1"), stored.where("kind = 2")
     shape = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = shape.n or 0, shape.v
 
-    by_level = {(r.kind, r.level): (r.rows, r.least) for r in stored.groupBy("kind", "level").agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect()}
+    by_level = {(r.kind, r.level): r.rows for r in stored.groupBy("kind", "level").agg(F.count("*").alias("rows")).collect()}
     top = max((level for _, level in by_level), default=0)
-    word_rows = {level: by_level.get((1, level), (0, 0))[0] for level in range(1, top + 1)}
+    word_rows = {level: by_level.get((1, level), 0) for level in range(1, top + 1)}
     common, listed = top + 1, 0  # words of this level and above are listed with exact counts
     while common > 1 and listed + word_rows[common - 1] <= frequent:
         common -= 1
         listed += word_rows[common]
 
-    def size_from(least: int) -> int:
-        return sum(rows * (level - least + 1) for (kind, level), (rows, _) in by_level.items() if level >= least and (kind == 2 or level < common))
+    entries = sum(rows * level for (kind, level), rows in by_level.items() if kind == 2 or level < common)
+    held = stored.where((F.col("kind") == 2) | (F.col("level") < common)).select("kind", "item", "level")
 
-    least = next(level for level in range(1, top + 2) if size_from(level) <= entries)
-    held = stored.where((F.col("level") >= least) & ((F.col("kind") == 2) | (F.col("level") < common)))
-    filter_ = build_filter(held.select("kind", "item", "level"), least, size_from(least))
-
-    # the mass that the kept pairs of each word take
+    # the mass that the pairs of each word take
     midpoints = F.array(*[F.lit(float(c)) for c in count_of(np.arange(top + 1))])
-    taken = pairs.where(F.col("level") >= least).groupBy(F.shiftrightunsigned("item", 32).alias("short")).agg(F.sum(midpoints[F.col("level")] - DISCOUNT).alias("taken"))
+    taken = pairs.groupBy(F.shiftrightunsigned("item", 32).alias("short")).agg(F.sum(midpoints[F.col("level")] - DISCOUNT).alias("taken"))
     heads = words.select(F.col("item").alias("word"), "n", "level", F.expr("item & 4294967295L").alias("short")).join(taken, "short", "left")
     heads = scratch.write(heads.withColumn("taken", F.least(F.coalesce("taken", F.lit(0.0)), F.col("n") - DISCOUNT)), "lm-heads")
     list_ = heads.where(F.col("level") >= common).select("word", "n", (1 - F.col("taken") / F.col("n")).alias("left")).toPandas()
@@ -228,9 +293,17 @@ def fit(train: DataFrame, scratch: Scratch, text_column: str = "text", frequent:
         left_by_level[row.level] = row.left
     hashes = list_["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    model = Model(tokens, distinct, filter_, hashes[order], list_["n"].to_numpy(np.int64)[order], list_["left"].to_numpy(float)[order], left_by_level)
+    model = Model(tokens, distinct, None, hashes[order], list_["n"].to_numpy(np.int64)[order], list_["left"].to_numpy(float)[order], left_by_level, entries)
+    return model, heads.where(F.col("level") < common).select("word", "n"), held
+
+
+def fit(train: DataFrame, scratch: Scratch, text_column: str = "text", frequent: int = 2**19) -> tuple[Model, DataFrame]:
+    """The model with its filter in one piece, where that fits into memory, and
+    the exact counts (word, n) of the words that are not listed."""
+    model, rarer, ngrams = measure(train, scratch, text_column, frequent)
+    model.filter = build_filter(ngrams, 1, model.entries)
     scratch.drop("lm-counts")
-    return model, heads.where(F.col("level") < common).select("word", "n")
+    return model, rarer
 
 
 def _tokens(texts: DataFrame) -> int:
@@ -239,74 +312,122 @@ def _tokens(texts: DataFrame) -> int:
 
 
 # --- scoring ----------------------------------------------------------------------------
-def looked_up(model: Model, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(listed, count, left mass) of words: exact for the listed, else from the filter."""
-    if len(model.words):
-        at = np.minimum(np.searchsorted(model.words, words), len(model.words) - 1)
-        listed = model.words[at] == words
-        count, left = np.where(listed, model.counts[at], 0).astype(float), np.where(listed, model.left[at], 1.0)
-    else:
-        listed, count, left = np.zeros(len(words), bool), np.zeros(len(words)), np.ones(len(words))
-    levels = model.filter.levels(word_keys(words[~listed]))
-    count[~listed] = count_of(levels)
-    left[~listed] = np.where(levels > 0, model.left_by_level[np.minimum(levels, len(model.left_by_level) - 1)], 1.0)
-    return listed, count, left
-
-
-def log_probabilities(model: Model, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: model's log10 probability, whether its word is listed, its looked-up count."""
+@dataclass
+class Asked:
+    """What a batch of texts asks of the model."""
+
+    distinct: np.ndarray  # words, and the end
+    own: np.ndarray  # number of each token among them, and of the token before it
+    before: np.ndarray
+    pairs: np.ndarray
+    pair: np.ndarray  # number of each token's pair
+    listed: np.ndarray  # of the distinct words, and their places in the list
+    at: np.ndarray
+
+    @property
+    def keys(self) -> np.ndarray:
+        return np.concatenate([word_keys(self.distinct[~self.listed]), pair_keys(self.pairs)])
+
+
+def asked(model: Model, words: np.ndarray, starts: np.ndarray) -> Asked:
     distinct, back = np.unique(np.append(words, END), return_inverse=True)
-    listed, count, left = looked_up(model, distinct)
     before = np.empty(len(words), dtype=np.int64)
     before[1:] = back[: len(words) - 1]
     before[starts] = back[-1]
-    own = back[: len(words)]
-    pairs, pair_back = np.unique(pairs_of(words, distinct[before]), return_inverse=True)
-    pair_count = count_of(model.filter.levels(pair_keys(pairs)))[pair_back]
-    known = count[before]
+    pairs, pair = np.unique(pairs_of(words, distinct[before]), return_inverse=True)
+    at = np.minimum(np.searchsorted(model.words, distinct), max(len(model.words) - 1, 0))
+    listed = model.words[at] == distinct if len(model.words) else np.zeros(len(distinct), bool)
+    return Asked(distinct, back[: len(words)], before, pairs, pair, listed, at)
+
+
+def log_probabilities(model: Model, words: np.ndarray, starts: np.ndarray, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per token: model's log10 probability, whether its word is listed, its
+    looked-up count. ``levels`` are those of the keys that the texts ask for."""
+    ask = asked(model, words, starts)
+    levels = model.filter.levels(ask.keys) if levels is None else levels
+    word_levels, pair_levels = np.split(levels.astype(np.int64), [int((~ask.listed).sum())])
+    count, left = np.zeros(len(ask.distinct)), np.ones(len(ask.distinct))
+    count[ask.listed], left[ask.listed] = model.counts[ask.at[ask.listed]], model.left[ask.at[ask.listed]]
+    count[~ask.listed] = count_of(word_levels)
+    left[~ask.listed] = np.where(word_levels > 0, model.left_by_level[np.minimum(word_levels, len(model.left_by_level) - 1)], 1.0)
+    pair_count, known = count_of(pair_levels)[ask.pair], count[ask.before]
     direct = np.where((pair_count > 0) & (known > 0), np.maximum(0, np.minimum(pair_count, known) - DISCOUNT) / np.maximum(known, 1), 0)
-    base = (count[own] + 0.5) / model.scale
-    return np.log10(np.minimum(1, direct + left[before] * base)), listed[own], count[own]
+    base = (count[ask.own] + 0.5) / model.scale
+    return np.log10(np.minimum(1, direct + left[ask.before] * base)), ask.listed[ask.own], count[ask.own]
 
 
-def _score(shared):
-    names = ["uid", "row", "n_tokens", "n_known", "base", "score", "word", "times"]
+def _asked(shared):
+    """The texts in numbered batches, and per batch and slice the keys it asks for."""
+    names = ["batch", "uid", "row", "text", "slice", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, batch_id = shared.value, TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             words, starts = sequences(batch.column(2))
-            sizes = np.diff(np.append(starts, len(words)))
-            logs, listed, count = log_probabilities(model, words, starts)
-            base = np.where(listed, np.log10((count + 0.5) / model.scale), 0)
-            sums = [np.add.reduceat(x, starts) for x in (listed.astype(np.int64), base, logs)]
-            none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), *map(pa.array, sums), none, none], names=names)
-            row = np.repeat(np.arange(len(sizes)), sizes)[~listed]
-            order = np.lexsort((words[~listed], row))
-            row, rare = row[order], words[~listed][order]
-            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (rare[1:] != rare[:-1])]) if len(row) else np.zeros(0, np.int64)
-            times = np.diff(np.r_[new, len(row)])
-            n, f = pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), pa.nulls(len(new), batch.column(1).type), n, n, f, f, pa.array(rare[new].view(np.int64)), pa.array(times.astype(np.int64))], names=names)
+            keys = asked(model, words, starts).keys
+            order, found, bounds = dealt(keys, model.slices)
+            n, m = batch.num_rows, len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch_id)), *batch.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            none = [pa.nulls(m, column.type) for column in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, batch_id)), *none, pa.array(found), packed(keys[order], 5, bounds)], names=names)
+            batch_id += 1
 
     return run
 
 
-def score(docs: DataFrame, train: DataFrame, text_column: str = "text", frequent: int = 2**19, entries: int = 2**24) -> DataFrame:
+def _score(shared):
+    names = ["uid", "row", "n_tokens", "n_known", "base", "score", "word", "times"]
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        model = shared.value
+        rows, answers = rows.sort_by("uid").combine_chunks(), answers.sort_by("slice")
+        uid, own, text = (rows[c].combine_chunks() for c in ("uid", "row", "text"))
+        words, starts = sequences(text)
+        sizes = np.diff(np.append(starts, len(words)))
+        order, _, _ = dealt(asked(model, words, starts).keys, model.slices)
+        levels = np.empty(len(order), dtype=np.uint8)
+        levels[order] = np.frombuffer(b"".join(answers["levels"].to_pylist()), dtype=np.uint8)
+        logs, listed, count = log_probabilities(model, words, starts, levels)
+        base = np.where(listed, np.log10((count + 0.5) / model.scale), 0)
+        sums = [np.add.reduceat(x, starts) for x in (listed.astype(np.int64), base, logs)]
+        none = pa.nulls(len(sizes), pa.int64())
+        whole = pa.table([uid, own, pa.array(sizes), *map(pa.array, sums), none, none], names=names)
+        row = np.repeat(np.arange(len(sizes)), sizes)[~listed]
+        order = np.lexsort((words[~listed], row))
+        row, rare = row[order], words[~listed][order]
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (rare[1:] != rare[:-1])]) if len(row) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[new, len(row)])
+        n, f = pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.float64())
+        rest = pa.table([uid.take(pa.array(row[new])), pa.nulls(len(new), own.type), n, n, f, f, pa.array(rare[new].view(np.int64)), pa.array(times.astype(np.int64))], names=names)
+        return pa.concat_tables([whole, rest])
+
+    return run
+
+
+def score(docs: DataFrame, train: DataFrame, text_column: str = "text", frequent: int = 2**19, entries: int = 2**20) -> DataFrame:
     """``docs`` without their text, with n_tokens, n_known, train_tokens,
-    base_score and score."""
+    base_score and score. A slice of the filter has about ``entries``."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    model, rarer = fit(train, scratch, text_column, frequent, entries)
-    shared = spark.sparkContext.broadcast(model)
+    model, rarer, ngrams = measure(train, scratch, text_column, frequent)
     own = [c for c in docs.columns if c not in (text_column, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*own).alias("row"), text)
+    model.slices = max(1, math.ceil(model.entries / entries), math.ceil(_tokens(rows) / (4 * entries)))
+    shared = spark.sparkContext.broadcast(model)
+    kinds = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
+    layout = T.StructType([T.StructField("batch", T.LongType()), *kinds, T.StructField("slice", T.IntegerType()), T.StructField("keys", T.BinaryType())])
+    asking = scratch.write(rows.mapInArrow(_asked(shared), layout), "lm-asked")
+    probes = asking.where("slice IS NOT NULL").select("slice", "batch", "keys")
+    dealt_ = ngrams.mapInArrow(_dealt_counts(model.slices), "slice int, keys binary, levels binary")
+    answers = scratch.write(dealt_.groupBy("slice").cogroup(probes.groupBy("slice")).applyInArrow(_answered, "batch long, slice int, levels binary"), "lm-answers")
+    scratch.drop("lm-counts")
+    batches = asking.where("slice IS NULL").select("batch", "uid", "row", "text")
     numbers = T.StructType().add("n_tokens", "long").add("n_known", "long").add("base", "double").add("score", "double").add("word", "long").add("times", "long")
     # rows of rare words carry no row of the document's
-    layout = T.StructType([rows.schema["uid"], T.StructField("row", rows.schema["row"].dataType, True), *numbers])
-    scored = scratch.write(rows.mapInArrow(_score(shared), layout), "lm-scored")
+    layout = T.StructType([kinds["uid"], kinds["row"], *numbers])
+    scored = scratch.write(batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(shared), layout), "lm-scored")
+    scratch.drop("lm-asked", "lm-answers")
     rare = scored.where("word IS NOT NULL").select("uid", "word", "times").join(rarer, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.scale))
     rest = rare.groupBy("uid").agg(F.sum(F.col("times") * log).alias("rest"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"))

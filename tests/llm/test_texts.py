@@ -252,6 +252,15 @@ def test_probabilities_of_a_context_add_up(spark):
     assert 0.9 < (10 ** logs[1::2]).sum() < 1.15
 
 
+def test_slices_hold_every_ngram(spark):
+    """Many small slices give the scores of one filter, in which pairs seen once are held."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(40)]
+    docs = frame(spark, rows)
+    one, many = (lm.score(docs, docs, frequent=0, entries=n).orderBy("doc_id").toPandas() for n in (2**24, 500))
+    assert np.allclose(one.score, many.score, rtol=0.01)
+    assert (many.score > 0.6 * many.base_score).all()  # a quarter of every word's mass is on the pair that was seen
+
+
 def test_untrained(spark):
     empty = frame(spark, [])
     assert lm.score(empty, empty).count() == 0
