@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from sitelight.llm.common import Scratch
 
 
+#: A rate this close to a whole number is one.
+NUMERIC = 1e-6
 #: Standard errors that a telling bucket's share differs from the mean share by, at least.
 CLEAR = 6.0
 
@@ -212,7 +214,8 @@ def fit_rates(
 
 def copies(rate: Column, chance: Column, sure: float = 0.1) -> Column:
     """Whole copies whose mean is the rate; a part within ``sure`` of a whole
-    number is rounded, so that documents wanted in full are not lost by chance."""
+    number is rounded. Mixing rounds numeric noise only, so that its copies meet
+    the targets that its rates meet."""
     part = rate - F.floor(rate)
     extra = F.when(part >= 1 - sure, 1).when(part <= sure, 0).when(chance < part, 1).otherwise(0)
     return (F.floor(rate) + extra).cast("int")
@@ -230,4 +233,4 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_column
         rated = once(scored, "rate", _moved(F.lit(1.0), report["path"]))
     else:
         rated, report = fit_rates(scored.drop(text_column), model.domains, weights, scratch, total_tokens)
-    return rated.withColumn("copies", copies(F.col("rate"), draw(id_column, "tokens", "rate"))), model.domains, report
+    return rated.withColumn("copies", copies(F.col("rate"), draw(id_column, "tokens", "rate"), NUMERIC)), model.domains, report

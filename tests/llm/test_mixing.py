@@ -40,6 +40,18 @@ def test_copies_have_the_rate_as_their_mean(spark):
     assert abs(means[0.5] - 0.5) < 0.05 and abs(means[2.3] - 2.3) < 0.05
 
 
+def test_copies_meet_the_targets(spark):
+    """A domain that holds over ten times its target is thinned out, not dropped."""
+    rows = [(i, "alpha beta gamma " * 5 if i % 5 < 3 else "delta epsilon zeta " * 5) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 5 < 3, "a").otherwise("b").alias("domain"))
+    rated, domains, report = mixing.mix(docs, labels, {"a": 0.94, "b": 0.06})
+    sums = rated.agg(*[F.sum(F.col("copies") * F.col("tokens") * F.col("posterior")[i]).alias(d) for i, d in enumerate(domains)]).first()
+    low = rated.where("rate < 0.1").count()
+    assert report["converged"] and low > 2000
+    assert all(abs(sums[d] / report["targets"][d] - 1) < 0.2 for d in domains)
+
+
 def test_classifier_on_held_out_labels(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = queries.domains(spark, SF).where("domain IS NOT NULL")
