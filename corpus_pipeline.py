@@ -32,15 +32,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the
-    document with the smallest id stays, and once if its row is repeated."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the row
+    with the smallest id stays, and of several such rows the longest text. Rows
+    are told apart by a key of their own, so texts with clashing ids are judged
+    one by one; rows with a null id stay."""
     scratch = Scratch(spark)
-    found = scratch.write(ngram_join.groups(docs, width=5, percent=80), "pipeline-groups")
-    others = found.where("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    kept = docs.join(others, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    row = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    keyed = scratch.write(docs.select(row.alias("__row"), F.struct(*docs.columns).alias("doc")), "pipeline-rows")
+    texts = keyed.select("__row", F.col("doc.text").alias("text"))
+    found = scratch.write(ngram_join.groups(texts, width=5, percent=80, id_column="__row"), "pipeline-groups")
+    found = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+    # texts without words are near copies of nothing but of their own repeated rows
+    group = F.when(F.col("n_shingles") > 0, F.struct(F.col("component_id"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("id"), F.lit(None).cast("string").alias("text")))
+    group = group.otherwise(F.struct(F.lit(None).cast("long").alias("component_id"), F.col("doc.doc_id").alias("id"), F.col("doc.text").alias("text")))
+    order = F.struct(F.col("doc.doc_id"), -F.length(F.coalesce("doc.text", F.lit(""))), F.xxhash64("doc.text"), F.col("__row").alias("row"))
+    chosen = keyed.join(found, "__row").groupBy(group.alias("group")).agg(F.min(order)["row"].alias("__row"))
+    kept = keyed.join(chosen, "__row", "left_semi").unionByName(keyed.where("__row IS NULL"))
+    return kept.select("doc.*").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,16 @@ def test_stages(spark, tmp_path):
     assert fill.where("n <> end OR n > 2048").isEmpty()
 
 
+def test_texts_with_clashing_ids_are_judged_one_by_one(spark):
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (4, text("e")), (4, text("e")), (4, text("e", 41)), (5, "!"), (None, text("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = corpus_pipeline.keep_one_of_each_group(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (4, text("e", 41)), (5, "!"), (None, text("a"))]
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted((str(d), t) for d, t in want)
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
