@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelight.llm import ann, html, langid, line_dedup, lm, mixing, ngram_join, packing, tokens, topk, urlfilter
+from sitelight.llm import ann, bag_search, centroids, html, langid, line_dedup, lm, mixing, ngram_join, packing, token_counts, tokens, topk, urlfilter
 from sitelight.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,22 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
 
 
+CENTROIDS, ROUNDS, CLUSTER_SEED, DIMENSIONS = 8, 10, 3, 64
+
+
+def op11_laesa_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _, _ = centroids.cluster(table(spark, sf_dir, "embeddings"), k=CENTROIDS, rounds=ROUNDS, seed=CLUSTER_SEED, dim=DIMENSIONS, scale=1024)
+    return found
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.model_path(), limit=4096)
+
+
+def op13_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -97,9 +113,49 @@ def queries() -> dict[str, Query]:
         "op8_soft_mixing": op8_soft_mixing,
         "op9_url_filter": op9_url_filter,
         "op10_exact_top_k": op10_exact_top_k,
+        "op11_laesa_clusters": op11_laesa_clusters,
+        "op12_token_counts": op12_token_counts,
+        "op13_bag_search": op13_bag_search,
     }
 
 
+def _cluster_sql() -> str:
+    """Plain Lloyd rounds, one after the other."""
+    distance = "CAST(list_sum(list_transform(range(1, len(v.vector) + 1), lambda i: (v.vector[i] - c.vector[i]) * (v.vector[i] - c.vector[i]))) AS BIGINT)"
+    steps = []
+    for i in range(ROUNDS + 1):
+        steps.append(f"""
+        a{i} AS MATERIALIZED (
+            SELECT v.n, min({{'distance': {distance}, 'cluster': c.cluster}}) AS nearest FROM v, c{i} c GROUP BY v.n
+        )""")
+        if i < ROUNDS:
+            steps.append(f"""
+        c{i + 1} AS MATERIALIZED (
+            SELECT c.cluster, coalesce(new.vector, c.vector) AS vector
+            FROM c{i} c LEFT JOIN (
+                SELECT cluster, list((total - ((total % n) + n) % n) // n ORDER BY i) AS vector
+                FROM (SELECT nearest.cluster AS cluster, i, CAST(sum(v.vector[i]) AS BIGINT) AS total, count(*) AS n
+                      FROM a{i} JOIN v USING (n), range(1, {DIMENSIONS} + 1) t(i) GROUP BY ALL)
+                GROUP BY cluster
+            ) new USING (cluster)
+        )""")
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+            FROM embeddings
+            WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT CAST(row_number() OVER (ORDER BY sha256('{CLUSTER_SEED}:' || vec_id) NULLS LAST, vector) - 1 AS INTEGER) AS cluster, vector
+            FROM v QUALIFY cluster < {CENTROIDS}
+        ), {",".join(steps)}
+        SELECT vec_id, nearest.cluster AS cluster, nearest.distance AS distance,
+               CAST(sum(nearest.distance) OVER (PARTITION BY nearest.cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(nearest.distance) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c.vector, ',')) AS centroid_sha256
+        FROM a{ROUNDS} JOIN v USING (n) JOIN c{ROUNDS} c ON c.cluster = nearest.cluster
+    """
+
+
 SQL = {
     "op9_url_filter": """
         WITH rules(rule_host, rule_path, rule_verdict) AS (
@@ -132,6 +188,38 @@ SQL = {
         FROM scored
         QUALIFY rank <= 10
     """,
+    "op11_laesa_clusters": _cluster_sql(),
+    "op13_bag_search": r"""
+        WITH d AS MATERIALIZED (
+            SELECT * FROM (
+                SELECT row_number() OVER () AS uid, doc_id,
+                       regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms
+                FROM documents WHERE text IS NOT NULL
+            ) WHERE len(terms) > 0
+        ), corpus AS (
+            SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d
+        ), length_of AS (
+            SELECT uid, doc_id, 100 - 25 + (25 * len(terms) * n_docs) // n_terms AS m FROM d, corpus
+        ), tf AS MATERIALIZED (
+            SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest(terms) AS term FROM d) GROUP BY ALL
+        ), weight AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), corpus
+        ), asked AS (
+            SELECT n, item_id, term, count(*) AS times FROM (
+                SELECT row_number() OVER () AS n, item_id,
+                       unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+                FROM benchmark WHERE text IS NOT NULL
+            ) GROUP BY ALL
+        ), scored AS (
+            SELECT n, item_id, uid, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+            FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN length_of USING (uid)
+            GROUP BY n, item_id, uid, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scored WHERE score > 0
+        QUALIFY rank <= 20
+    """,
 }
 
 
