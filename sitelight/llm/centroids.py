@@ -40,6 +40,8 @@ from sitelight.llm.topk import usable
 #: Rows among which the far pivots are chosen.
 PIVOT_ROWS = 1024
 LONG_MAX = 2**63 - 1
+#: A task's sum of distances stops here: far beyond a long, within a decimal.
+ENOUGH = 10**30
 #: Below this reach, squares of differences add up exactly in longs.
 REACH = 2**26
 #: Relative room for rounding in bounds; whole-number distances are exact.
@@ -150,6 +152,7 @@ def _sums(centroids: np.ndarray, pivots: np.ndarray):
                 total[c, :dim] += wide[mine].sum(axis=0).astype(object)
                 total[c, dim] += int((distance if reach else distance.astype(object))[mine].sum())
             total[0, dim + 1] += measured
+        total[:, dim] = np.minimum(total[:, dim], ENOUGH)
         places = np.r_[np.arange(dim), -1, -2]
         rows = [pa.array(np.repeat(np.arange(k), dim + 2), pa.int32()), pa.array(np.tile(places, k), pa.int32())]
         rows.append(pa.array([Decimal(int(v)) for v in total.ravel()], pa.decimal128(38, 0)))

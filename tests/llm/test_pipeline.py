@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from sitelight.llm import langid, line_dedup, ngram_join
 
 SF = "/root/testdata/sf0.001"
-OPERATORS = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+OPERATORS = list(range(1, 14))
 
 
 def test_every_operator_is_registered():
@@ -18,7 +18,7 @@ def test_every_operator_is_registered():
     assert "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["op9_url_filter", "op10_exact_top_k"])
+@pytest.mark.parametrize("name", ["op9_url_filter", "op10_exact_top_k", "op11_laesa_clusters", "op13_bag_search"])
 def test_query_equals_sql(spark, name):
     verdict, _, fine = compare.compare(spark, compare.connect(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert fine, verdict
