@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelight import schema as S
 from sitelight.functions.text import chunk_words
-from sitelight.operators import clustering, models, mutations, retrieval, screening
+from sitelight.operators import clustering, models, mutations, retrieval, retrieval_index, screening
 from sitelight.operators.segments import feature_medians
 from sitelight.plans import analyze
 from sitelight.plans.common import joined, rounded
@@ -171,25 +171,41 @@ def r3_encode(spark, sf):
     return vectors.select("document_id", "chunk_index", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"))
 
 
+def _vector_search(spark, sf):
+    chunks = marts.vector_chunks(spark, sf)
+    return retrieval_index.Search(marts.vector_questions(spark, sf), retrieval_index.build_index(chunks), chunks)
+
+
 def _matches(spark, sf):
-    return retrieval.top_matches(marts.vector_questions(spark, sf), marts.vector_chunks(spark, sf))
+    return _vector_search(spark, sf).matches
 
 
 def r4_top_matches(spark, sf):
     return rounded(_matches(spark, sf))
 
 
-def r4_text_search(spark, sf):
-    """Benchmark passages asked of every document chunk, one portfolio."""
+def _text_search(spark, sf):
     everything = marts.text_documents(spark, sf).withColumn("portfolio_id", F.lit("all"))
     chunks = retrieval.encode(retrieval.chunk_table(everything), "chunk_text").withColumn(
         "chunk_id", F.concat_ws("-", "document_id", "chunk_index")
     )
+    chunks = materialize(chunks.select("chunk_id", "portfolio_id", "embedding"), "encoded-chunks")
     questions = retrieval.encode(
         marts.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.lit("all").alias("portfolio_id"), "text"),
         "text",
     )
-    return rounded(retrieval.top_matches(questions, chunks, top_k=5, threshold=0.3), 4)
+    return retrieval_index.Search(questions, retrieval_index.build_index(chunks), chunks, top_k=5, threshold=0.3)
+
+
+def r4_text_search(spark, sf):
+    """Benchmark passages asked of every document chunk, one portfolio."""
+    return rounded(_text_search(spark, sf).matches, 4)
+
+
+def r4_search_report(spark, sf):
+    """How much of the two indexes their searches opened."""
+    vectors = _vector_search(spark, sf).report().withColumn("portfolio_id", F.col("portfolio_id").cast("string"))
+    return rounded(vectors.unionByName(_text_search(spark, sf).report()))
 
 
 def r5_reindex(spark, sf):
@@ -417,7 +433,7 @@ def queries():
             n7_caveats, n8_screening, n9_similar_details,
             m1_training_status, m2_label, m3_encoded, m3_feature_names, m7_model_runs, m8_importance_share,
             m9_leakage_gap, m10_trainable,
-            r1_chunk_text, r2_chunk_table, r3_encode, r4_top_matches, r4_text_search, r5_reindex,
+            r1_chunk_text, r2_chunk_table, r3_encode, r4_top_matches, r4_text_search, r4_search_report, r5_reindex,
             r6_checked_questions, r6_rejected_questions, r7_source_rows, r8_context_text, r9_confidence,
             r10_citations, r11_status, r12_index_ready, r13_index_project_files,
             s1_project_files, s2_stored_projects, s3_replace_portfolios, s4_document_status, s4_document_files,

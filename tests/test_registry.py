@@ -10,7 +10,7 @@ from sitelight.plans import catalog
 SF = "/root/testdata/sf0.001"
 WITHOUT_SQL = {
     "g4_cluster_ids", "m4_naive_model", "m5_pre_construction_model", "m7_model_runs", "m8_importance_share",
-    "m9_leakage_gap", "r3_encode", "r4_text_search", "r13_index_project_files",
+    "m9_leakage_gap", "r3_encode", "r4_text_search", "r4_search_report", "r13_index_project_files",
 }
 
 
