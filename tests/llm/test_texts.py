@@ -93,44 +93,126 @@ def test_nothing_learned(spark):
 
 
 # --- lines -------------------------------------------------------------------------
-def without_repeats(rows, divisor=3, long_words=50, most=256):
-    seen, out = set(), {}
-    for k, (doc, text) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
-        if text is None:
-            out[k] = (None, 0)
+def shared_runs(rows):
+    """By a plain loop over all earlier texts, in order of id and row: of each row
+    the longest run from every visible line on that an earlier text or an earlier
+    place of the same one holds, and that an earlier text holds. Whole repeats are
+    told apart."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    seen, places, out = set(), {}, {}
+    for k in order:
+        text = rows[k][1]
+        if not (text or "").strip():
             continue
-        lines, kept = text.encode().split(b"\n"), []
-        for a, b in line_dedup.chunks_of(lines, divisor, long_words, most):
-            chunk = line_dedup._eligible(lines, a, b, long_words)
-            if chunk is None or chunk not in seen:
-                kept += lines[a:b]
-            seen.add(chunk)
-        out[k] = (b"\n".join(kept).decode(), len(lines) - len(kept))
-    return [out[k] for k in range(len(rows))]
+        lines = text.split("\n")
+        longest, elsewhere = [0] * len(lines), [0] * len(lines)
+        for i, line in enumerate(lines):
+            for other, at in places.get(line, []) if line.strip() else []:
+                n = 0
+                while i + n < len(lines) and at + n < len(other) and lines[i + n] == other[at + n]:
+                    n += 1
+                longest[i] = max(longest[i], n)
+                if other is not lines:
+                    elsewhere[i] = max(elsewhere[i], n)
+            places.setdefault(line, []).append((lines, i))
+        out[k] = (lines, longest, elsewhere, text in seen)
+        seen.add(text)
+    return out
+
+
+def check_lines(rows, kept):
+    """(lines of repeated multi-line runs of 50 words or more, those of them that
+    were removed). ``kept`` holds the text and the removed lines of every row."""
+    wanted = removed = 0
+    left = {line for text, _ in kept for line in (text or "").split("\n")}
+    for k, (lines, longest, elsewhere, repeat) in shared_runs(rows).items():
+        text, n = kept[k]
+        if repeat:
+            assert (text, n) == ("", len(lines)), rows[k]
+            continue
+        rest, gone, at = text.split("\n") if n < len(lines) else [], [], 0
+        assert n == len(lines) - len(rest)
+        for i, line in enumerate(lines):  # which lines are gone; of equal neighbours any may be meant
+            if at < len(rest) and line == rest[at]:
+                at += 1
+            else:
+                gone.append(i)
+        assert at == len(rest)
+        assert all(lines[i] in left or not lines[i].strip() for i in gone), rows[k][0]
+        may = set()
+        for i, m in enumerate(longest):
+            run = [j for j in range(i, i + m) if lines[j].strip()]
+            if len(run) > 1 or (run and len(lines[i].split()) >= 50):
+                may.update(range(i, i + m))
+        assert all(lines[i] in {lines[j] for j in may} or not lines[i].strip() for i in gone), rows[k][0]
+        i = 0
+        while i < len(lines):
+            m = elsewhere[i]
+            if sum(bool(line.strip()) for line in lines[i : i + m]) > 1 and sum(len(line.split()) for line in lines[i : i + m]) >= 50:
+                wanted += m
+                removed += sum(j in gone for j in range(i, i + m))
+                i += m
+            else:
+                i += 1
+    return wanted, removed
 
 
 def test_lines_against_brute_force(spark):
     draw = random.Random(8)
-    block = "\n".join(f"shared line {i}" for i in range(12))
+    block = "\n".join(f"shared line {i} of the block" for i in range(12))
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(i, "\n".join(f"own {i} {j}" for j in range(draw.randint(0, 9))) + "\n" + block + f"\ntail {i}") for i in range(30)]
     rows += [(40 + i, f"before {i}\n{passage}\nafter {i}") for i in range(5)] + [(50, None), (51, ""), (52, "\n\n\n"), (53, "\n\n\n"), (54, rows[0][1]), (0, rows[0][1]), (None, rows[1][1])]
-    got = line_dedup.dedup(frame(spark, rows).withColumn("n_removed", F.lit("old")).coalesce(1)).collect()
-    want = without_repeats(rows)
-    assert sorted((str(r.doc_id), str(r.text), r.n_removed) for r in got) == sorted((str(d), str(t), n) for (d, _), (t, n) in zip(rows, want, strict=True))
-    assert sum(passage in (r.text or "") for r in got) == 1 and all(r.node == "n" for r in got)
-    assert sum(r.n_removed for r in got) > 150
+    rows += [(60, "x"), (61, "x"), (62, "a b\nc d\na b\nc d\na b\nc d"), (63, "same\n" * 1000), (64, "y\nx\nz")]
+    layout = "doc_id long, text string, node string"
+    numbered = spark.createDataFrame([(d, t, str(k)) for k, (d, t) in enumerate(rows)], layout).withColumn("n_removed", F.lit("old")).coalesce(1)
+    got = {int(r.node): (r.text, r.n_removed) for r in line_dedup.dedup(numbered).collect()}
+    assert len(got) == len(rows) and got[35] == (None, 0) and got[36] == ("", 0) and got[37] == got[38] == ("\n\n\n", 0)
+    wanted, removed = check_lines(rows, [got[k] for k in range(len(rows))])
+    assert wanted == removed == 29 * 12 and got[rows.index((61, "x"))] == ("", 1) and got[rows.index((64, "y\nx\nz"))] == ("y\nx\nz", 0)
+    assert sum(passage in (t or "") for t, _ in got.values()) == 1
+
+
+def test_repeated_passages_are_found_in_given_documents(spark):
+    """Passages of two to six lines and 50 words or more, put into texts at random places."""
+    draw = random.Random(21)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    vocabulary = [f"word{i}" for i in range(500)]
+    passages = []
+    for i in range(60):
+        n = 2 + i % 5
+        passages.append("\n".join(" ".join(draw.choice(vocabulary) for _ in range(60 // n + draw.randint(0, 9))) for _ in range(n)))
+    rows = []
+    for doc, text in docs:
+        lines = (text or "").split("\n")
+        if text and draw.random() < 0.5:
+            lines.insert(draw.randint(0, len(lines)), draw.choice(passages))
+        rows.append((doc, None if text is None else "\n".join(lines)))
+    rows += rows[:20]
+    numbered = spark.createDataFrame([(d, t, str(k)) for k, (d, t) in enumerate(rows)], "doc_id long, text string, node string").coalesce(1)
+    got = {int(r.node): (r.text, r.n_removed) for r in line_dedup.dedup(numbered).collect()}
+    wanted, removed = check_lines(rows, [got[k] for k in range(len(rows))])
+    assert wanted > 800 and removed >= 0.95 * wanted
 
 
 def test_chunks_resist_shifts():
     lines = [f"line {i}".encode() for i in range(200)]
-    whole = line_dedup.chunks_of(lines, 3, 50, 256)
-    moved = line_dedup.chunks_of([b"new", *lines[:100], b"inserted", *lines[100:]], 3, 50, 256)
-    texts = {b"\n".join(lines[a:b]) for a, b in whole}
-    changed = [b"new", *lines[:100], b"inserted", *lines[100:]]
-    assert len(texts - {b"\n".join(changed[a:b]) for a, b in moved}) <= 4
-    assert all(b - a >= 2 for a, b in whole[:-1])
-    assert line_dedup.chunks_of([b"same"] * 1000, 3, 50, 256)[0] in [(0, 2), (0, 256)]
+    changed = [b"new", *lines[:100], b"", b"inserted", *lines[100:]]
+    texts = {b"\n".join(lines[a:b]) for a, b in line_dedup.chunks_of(lines, 2)}
+    moved = {b"\n".join(changed[a:b]) for a, b in line_dedup.chunks_of(changed, 2)}
+    assert len(texts - moved) <= 8 and len(texts) > 100
+    # two shared lines hold a chunk, whatever stands around them
+    for i in range(0, 198, 2):
+        around = [[f"a{i}".encode(), *lines[i : i + 2], f"b{i}".encode()], [f"c{i}".encode(), *lines[i : i + 2], f"d{i}".encode()]]
+        one, other = ({b"\n".join(t[a:b]) for a, b in line_dedup.chunks_of(t, 2) if a >= 1 and b <= 3} for t in around)
+        assert one & other
+    assert line_dedup.chunks_of([b"", b" "], 1) == [] and line_dedup.chunks_of([b"", b"one line"], 2) == [(1, 2)]
+
+
+def test_matches_are_extended_while_digests_agree():
+    text, first = [b"p", b"q", b"r", b"s"], [b"o", b"q", b"r", b"s", b"t"]
+    assert line_dedup.extended(text, 2, 3, line_dedup.digests(first[:2]), line_dedup.digests(first[3:])) == (1, 4)
+    assert line_dedup.extended(text, 2, 3, b"", b"") == (2, 3)
 
 
 def test_no_lines(spark):
