@@ -2,15 +2,28 @@
 
 Similarity is the cosine between (log value, subcontractors, one-hot type,
 one-hot region) vectors. With one-hot categories the cosine has a closed form
-in four scalars, so no vectors are built. A portfolio may hold a large share
-of all rows, so bids are never paired with whole portfolios: the history is
-summarised into blocks, each block's best and worst possible distance to a bid
-is known exactly, and only blocks that can still hold one of the k nearest are
-opened. The result is the exact k nearest.
+in four scalars, so no vectors are built. In a cell (portfolio, type, region,
+subcontractors) only the log value varies, and the cosine rises to one peak and
+falls after it: what is near a bid lies in one interval of values around it.
+
+The history is sorted by cell and value once, over range partitions, and every
+row gets its place in that order. A bid first looks at the 2k rows around its
+peak in its best cell, which shows how far it has to look at most; then, in
+every cell that begins within that reach, the ends of the interval are solved
+for, their places are found by a merge with the sorted rows, and the rows
+between them are fetched by place. A bid meets cells, never blocks of rows or
+portfolios; the rows it fetches are those within its reach. The result is the
+exact k nearest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,12 +40,8 @@ DEFAULT_K = 5
 TIE_DIGITS = 12
 OUTCOME_RANGES = ["delay_days", "cost_overrun_pct", "safety_incidents"]
 CELL = ["portfolio_id", "type_key", "region_key", "subs"]
-BLOCK = [*CELL, "bin"]
-# Blocks of a cell hold about equally many rows: twice the largest k, or more
-# where a cell would be cut into more than this many blocks.
-MAX_BLOCKS_PER_CELL = 256
-# Resolution of the value grid the blocks are assembled from.
-GRID = 4096
+# Room for rounding in distances and in solved values.
+SLACK = 1e-9
 
 
 def encode_history(
@@ -94,49 +103,89 @@ def distance(log_value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.lit(1.0) - cosine))
 
 
-def block_bounds(pairs: DataFrame) -> DataFrame:
-    """Smallest and largest distance a row of the block can have.
-
-    Within a block only the log value varies, and the cosine rises up to one
-    peak and falls after it: the nearest point is the peak moved into the
-    block's range, the farthest is one of the two ends.
-    """
-    fixed = F.col("bid_subs") * F.col("subs") + F.col("shared")
-    peak = F.when(fixed > 0, F.col("bid_log_value") * (F.col("subs") * F.col("subs") + 2) / fixed).otherwise(F.col("high"))
-    nearest = F.greatest(F.col("low"), F.least(F.col("high"), peak))
-    return pairs.withColumns(
+def cell_bounds(pairs: DataFrame) -> DataFrame:
+    """``nearest_value``: where in the cell's range a bid is nearest; the smallest
+    and largest distance a row of the cell can have; ``flat``: all rows of the
+    cell are equally far."""
+    peak = F.when(F.col("fixed") > 0, F.col("bid_log_value") * (F.col("subs") * F.col("subs") + 2) / F.col("fixed")).otherwise(F.col("high"))
+    return pairs.withColumn("fixed", F.col("bid_subs") * F.col("subs") + F.col("shared")).withColumn(
+        "nearest_value", F.greatest(F.col("low"), F.least(F.col("high"), peak))
+    ).withColumns(
         {
-            "best": distance(nearest) - 1e-9,
-            "worst": F.greatest(distance(F.col("low")), distance(F.col("high"))) + 1e-9,
+            "best": distance(F.col("nearest_value")) - SLACK,
+            "worst": F.greatest(distance(F.col("low")), distance(F.col("high"))) + SLACK,
+            "flat": (F.col("bid_log_value") == 0) & (F.col("fixed") == 0),
         }
     )
 
 
-def blocked(encoded: DataFrame, k_max: int) -> DataFrame:
-    """History rows with their block.
+def interval(reach: Column) -> tuple[Column, Column]:
+    """Log values between which a cell's rows can lie within ``reach`` of the bid.
+
+    With m = subs^2 + 2 and t = (1 - reach) |bid|, a row is within reach where
+    (b^2 - t^2) x^2 + 2 b f x + f^2 - t^2 m is not negative, for the value b and
+    the fixed part f of the product. Where that cannot be told (negative parts,
+    reach beyond a right angle) the whole cell is taken."""
+    b, f = F.col("bid_log_value"), F.col("fixed")
+    t = (F.lit(1.0) - reach - SLACK) * F.col("bid_norm")
+    first, mixed, last = b * b - t * t, b * f, f * f - t * t * (F.col("subs") * F.col("subs") + 2)
+    q = -(mixed + F.sqrt(F.greatest(F.lit(0.0), mixed * mixed - first * last)))
+    known = (t > 0) & (f >= 0)
+    low = F.when(known & (q < 0), F.greatest(F.lit(0.0), last / q)).otherwise(F.lit(0.0))
+    high = F.when(known & (first < -1e-12 * (b * b + t * t)), q / first).otherwise(F.lit(float("inf")))
+    near = F.col("nearest_value")
+    return F.least(low, near) - SLACK, F.greatest(high, near) + SLACK
+
 
-    A cell's value range is laid out as a grid, and consecutive grid steps are
-    joined until a block has its rows: this needs only counts per grid step.
-    Identical points are equally far from every bid, so only the first
+def distinct_points(encoded: DataFrame, k_max: int) -> DataFrame:
+    """Identical points are equally far from every bid, so only the first
     ``k_max`` of each in input order can ever be chosen; the others leave, each
-    task dropping its own before the shuffle.
-    """
-    ranges = measured(
-        encoded.groupBy(*CELL).agg(F.min("log_value").alias("_low"), F.max("log_value").alias("_high"))
-    )
-    share = (F.col("log_value") - F.col("_low")) / (F.col("_high") - F.col("_low"))
-    step = F.when(F.col("_high") > F.col("_low"), F.floor(share * (GRID - 1)).cast("int")).otherwise(F.lit(0))
-    placed = encoded.join(ranges, CELL).withColumn("_step", step).drop("_low", "_high")
-    in_cell = W.partitionBy(*CELL)
-    before = F.sum("_n").over(in_cell.orderBy("_step").rowsBetween(W.unboundedPreceding, -1))
-    target = F.greatest(F.lit(2.0 * k_max), F.sum("_n").over(in_cell) / MAX_BLOCKS_PER_CELL)
-    layout = measured(
-        placed.groupBy(*CELL, "_step").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*CELL, "_step", F.floor(F.coalesce(before, F.lit(0)) / target).cast("int").alias("bin"))
-    )
-    rows = placed.join(layout, [*CELL, "_step"]).drop("_step")
-    same = W.partitionBy(*BLOCK, "log_value").orderBy("ord")
-    return rows.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k_max).drop("_copy")
+    task dropping its own before the shuffle."""
+    same = W.partitionBy(*CELL, "log_value").orderBy("ord")
+    return encoded.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k_max).drop("_copy")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``place``, their number in the order of cell and value. They
+    are sorted in range partitions, and only the partitions' sizes meet."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*CELL, "log_value", "ord"]
+    in_order = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialize(in_order, "sorted-history").withColumn("_task", F.shiftright("_id", 33))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = measured(placed.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")).select("_task", before.alias("_start")))
+    return placed.join(starts, "_task").withColumn("place", F.col("_start") + F.col("_id") - F.shiftleft("_task", 33)).drop("_task", "_start", "_id")
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows and probes: each probe with the place of the last row before
+    it in this task (null if none), and the task's last place without a probe."""
+    task, seen = TaskContext.get().partitionId(), -1
+    names = ["probe", "place", "task"]
+    for batch in batches:
+        place, probe = batch.column("place"), batch.column("probe")
+        values = pc.fill_null(place, -1).to_numpy()
+        last = np.maximum.accumulate(np.r_[seen, values])
+        seen = last[-1]
+        asks = np.flatnonzero(probe.is_valid().to_numpy(zero_copy_only=False))
+        before = last[asks]
+        yield pa.RecordBatch.from_arrays([probe.take(pa.array(asks)), pa.array(before, mask=before < 0), pa.array(np.full(len(asks), task), pa.int32())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([None if seen < 0 else int(seen)], pa.int64()), pa.array([task], pa.int32())], names=names)
+
+
+def places_of(rows: DataFrame, probes: DataFrame) -> DataFrame:
+    """(probe, at): of each probe (``probe`` number, cell, log value) the place of
+    the first row that does not come before it. Rows and probes are sorted
+    together in range partitions and met in one pass; a probe before all rows of
+    its task takes over from the tasks before."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nobody = F.lit(None).cast("long")
+    both = rows.select(*CELL, "log_value", "place", nobody.alias("probe")).unionByName(probes.select(*CELL, "log_value", nobody.alias("place"), "probe"))
+    order = [*CELL, "log_value"]
+    in_order = both.repartitionByRange(tasks, *order).sortWithinPartitions(*order, F.col("place").asc_nulls_first())
+    met = materialize(in_order.select("place", "probe").mapInArrow(_merge, "probe long, place long, task int"), "probed-places")
+    ends = met.where("probe is null").select("task", F.max("place").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    return met.where("probe is not null").join(measured(ends), "task").select("probe", (F.coalesce("place", "_before", F.lit(-1)) + 1).alias("at"))
 
 
 def _requested(bids: DataFrame, k: int) -> Column:
@@ -171,30 +220,59 @@ def nearest(bids: DataFrame, history: DataFrame, k: int = DEFAULT_K, order_by: s
     tasks = int(bids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = measured(encode_bids(bids, medians, categories, k).repartition(tasks, "bid_id"))
     k_max = asked.agg(F.coalesce(F.max("k"), F.lit(k)).alias("k")).first().k
-    rows = materialize(blocked(encoded, k_max), "blocked-history")
-    blocks = measured(
-        rows.groupBy(*BLOCK).agg(
-            F.min("log_value").alias("low"), F.max("log_value").alias("high"), F.count(F.lit(1)).alias("n")
+    rows = numbered(distinct_points(encoded, k_max))
+    cells = measured(
+        rows.groupBy(*CELL).agg(
+            F.min("log_value").alias("low"), F.max("log_value").alias("high"), F.count(F.lit(1)).alias("n"),
+            F.min("place").alias("first"), F.max("place").alias("last"),
         )
     )
-
     proper = asked.where("bid_norm >= 1e-12")
-    # How far a bid has to look at most: a block with at least k rows guarantees
-    # k rows within its worst distance.
-    reach = (
-        block_bounds(proper.join(blocks, "portfolio_id").withColumn("shared", matches()))
-        .groupBy("bid_id")
-        .agg(F.coalesce(F.min(F.when(F.col("n") >= F.col("k"), F.col("worst"))), F.max("worst")).alias("reach"))
+    bounded = cell_bounds(proper.join(cells, "portfolio_id").withColumn("shared", matches()))
+
+    # How far a bid has to look at most: the k-th distance around its peak in the
+    # best cell that has k rows; without such a cell, as far as there are rows.
+    favourite = F.struct(*CELL, "nearest_value", "first", "last", "shared")
+    start = materialize(
+        bounded.groupBy("bid_id").agg(
+            F.min_by(F.when(F.col("n") >= F.col("k"), favourite), F.when(F.col("n") >= F.col("k"), F.col("best"))).alias("at"),
+            F.max("worst").alias("far"),
+        ).withColumn("probe", F.monotonically_increasing_id()),
+        "first-looks",
     )
-    # The blocks that begin within that reach.
-    opened = (
-        block_bounds(
-            proper.join(reach, "bid_id").join(blocks, "portfolio_id").withColumn("shared", matches())
+    looks = start.where("at is not null").select("probe", "bid_id", "at.*")
+    around = (
+        looks.join(places_of(rows, looks.withColumnRenamed("nearest_value", "log_value")), "probe")
+        .join(proper.select("bid_id", "k", "bid_log_value", "bid_subs", "bid_norm"), "bid_id")
+        .select(
+            "bid_id", "k", "bid_log_value", "bid_subs", "bid_norm", "shared",
+            F.explode(F.sequence(F.greatest(F.col("first"), F.col("at") - F.col("k")), F.least(F.col("last"), F.col("at") + F.col("k") - 1))).alias("place"),
         )
-        .where("best <= reach")
-        .drop("low", "high", "n", "best", "worst")
+        .join(rows.select("place", "log_value", "subs"), "place")
     )
-    candidates = opened.join(rows, BLOCK).withColumn("distance", distance(F.col("log_value")))
+    seen = around.groupBy("bid_id").agg(F.sort_array(F.collect_list(distance(F.col("log_value")))).alias("_far"), F.first("k").alias("k"))
+    seen = seen.select("bid_id", F.element_at("_far", F.col("k")).alias("seen"))
+    reach = measured(start.select("bid_id", "far").join(seen, "bid_id", "left").select("bid_id", F.least(F.coalesce("seen", "far") + SLACK, F.col("far")).alias("reach")))
+
+    # The rows within that reach, in the cells that begin within it.
+    low, high = interval(F.col("reach"))
+    opened = bounded.join(reach, "bid_id").where("best <= reach").withColumns({"_low": low, "_high": high})
+    opened = opened.withColumn("probe", F.monotonically_increasing_id() * 2)
+    bid = ["bid_id", "portfolio_id", "k", "bid_log_value", "bid_subs", "bid_norm", "shared", "reach"]
+    opened = materialize(opened.select("probe", *bid, *CELL[1:], "flat", "_low", "_high", "first", "last"), "opened-cells")
+    ends = F.explode(F.array(F.struct(F.col("probe"), F.col("_low").alias("log_value")), F.struct((F.col("probe") + 1).alias("probe"), F.col("_high").alias("log_value"))))
+    probes = opened.where("not flat").select(*CELL, ends.alias("end")).select(*CELL, "end.*")
+    found = places_of(rows, probes).select("at", (F.col("probe") - F.col("probe") % 2).alias("probe")).groupBy("probe")
+    found = found.agg(F.min("at").alias("_from"), F.max("at").alias("_to"))
+    between = F.sequence(F.greatest("first", "_from"), F.least(F.col("last"), F.col("_to") - 1))
+    some = opened.join(found, "probe").where("greatest(first, _from) <= least(last, _to - 1)")
+    near = some.select(*bid, F.explode(between).alias("place")).join(rows.drop("portfolio_id"), "place")
+    # in a flat cell the input order decides
+    head = W.partitionBy(*CELL).orderBy("ord")
+    heads = rows.withColumn("_head", F.row_number().over(head)).where(F.col("_head") <= k_max).drop("_head")
+    level = opened.where("flat").select(*bid, *CELL[1:]).join(heads, CELL)
+    columns = [*bid, "project_id", "ord", "log_value", "subs", *OUTCOME_RANGES, "payment_disputes"]
+    candidates = near.select(*columns).unionByName(level.select(*columns)).withColumn("distance", distance(F.col("log_value")))
 
     # A bid without any direction has no nearest row: it takes the first k.
     head = W.partitionBy("portfolio_id").orderBy("ord")

@@ -72,13 +72,33 @@ def test_equals_brute_force(spark, seed):
         assert [p for _, p in sorted(got.get(bid[0], []))] == brute_force(bid, [dict(r) for r in rows]), bid
 
 
-def test_only_near_blocks_are_opened(spark):
-    """With larger portfolios most blocks stay closed."""
-    rows = project_frame(spark, random_history(6000, 3))
-    encoded = screening.encode_history(rows)
-    blocks = screening.blocked(encoded, 5).groupBy(*screening.BLOCK).count()
-    largest = blocks.agg({"count": "max"}).first()[0]
-    assert blocks.count() > 80 and largest < 200
+def test_places_follow_cell_and_value(spark):
+    encoded = screening.encode_history(project_frame(spark, random_history(3000, 3)))
+    kept = screening.distinct_points(encoded, 5)
+    rows = screening.numbered(kept)
+    found = [(r.portfolio_id, r.type_key, r.region_key, r.subs, r.log_value, r.ord) for r in rows.orderBy("place").collect()]
+    assert found == sorted(found) and sorted(r.place for r in rows.select("place").collect()) == list(range(len(found)))
+    assert kept.groupBy(*screening.CELL, "log_value").count().where("count > 5").isEmpty()
+    keys = [f[:5] for f in found]
+    probes = [(i, *found[i * 7 % len(found)][:4], found[i * 7 % len(found)][4] + d) for i in range(300) for d in [(0.0, 1e-6, -1e-6, -1e3, 1e3)[i % 5]]]
+    asked = spark.createDataFrame(probes, "probe long, portfolio_id string, type_key string, region_key string, subs double, log_value double")
+    got = {r.probe: r["at"] for r in screening.places_of(rows, asked).collect()}
+    assert got == {p[0]: sum(key < p[1:] for key in keys) for p in probes}
+
+
+def test_interval_holds_all_rows_within_reach(spark):
+    random = np.random.default_rng(4)
+    data = [(float(random.choice([0, random.lognormal(2.5, 0.5)])), float(random.integers(0, 4)), float(random.integers(0, 3)), float(random.integers(0, 4)),
+             float(np.sqrt(random.uniform(0, 2))), float(random.choice([random.uniform(0, 1.2), 10.0 ** -random.uniform(3, 12)]))) for _ in range(4000)]
+    pairs = spark.createDataFrame([(b, bs, shared, subs, float(np.sqrt(b * b + bs * bs + 2)), reach, float(low * 10), float(low * 10 + 5)) for b, bs, shared, subs, low, reach in data],
+                                  "bid_log_value double, bid_subs double, shared double, subs double, bid_norm double, reach double, low double, high double")
+    low, high = screening.interval(screening.F.col("reach"))
+    steps = screening.F.expr("explode(transform(sequence(0, 40), i -> low + i * (high - low) / 40))")
+    rows = screening.cell_bounds(pairs).withColumns({"from": low, "to": high}).withColumn("x", steps)
+    missed = rows.withColumn("distance", screening.distance(screening.F.col("x"))).where("distance <= reach and not (x >= from and x <= to)")
+    assert missed.isEmpty()
+    wide = rows.withColumn("distance", screening.distance(screening.F.col("x"))).where("distance > reach + 1e-5 and x >= from and x <= to and fixed >= 0 and best <= reach and reach < 0.99 and not flat")
+    assert wide.count() < 0.02 * rows.count()
 
 
 def test_demo_cohort(spark, demo):
