@@ -72,8 +72,11 @@ def apply_mutations(projects: DataFrame, mutations: DataFrame, portfolios: DataF
     with_id = rows.where("project_id is not null").join(
         known.join(ids, "_id", "left_semi"), F.col("project_id") == F.col("_id"), "left"
     )
+    # of several rows that bear an external id, the one with the smallest id changes
+    one = known.join(names, ["_portfolio", "_external"], "left_semi").groupBy("_portfolio", "_external")
+    one = one.agg(F.min(F.struct("_id", "_source")).alias("_one")).select("_portfolio", F.col("_one._id").alias("_id"), "_external", F.col("_one._source").alias("_source"))
     without_id = rows.where("project_id is null").join(
-        known.join(names, ["_portfolio", "_external"], "left_semi"),
+        one,
         (F.col("portfolio_id") == F.col("_portfolio")) & (F.col("project_id_external") == F.col("_external")),
         "left",
     )

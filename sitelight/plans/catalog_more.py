@@ -13,6 +13,7 @@ from sitelight.plans import analyze
 from sitelight.plans.common import joined, rounded
 from sitelight.session import materialize, scratch_table
 from sitelight.sources import document_files, marts, project_files, tables
+from sitelight.sources.store import Store
 from sitelight.streaming import changes, intake
 
 
@@ -134,6 +135,21 @@ def m7_model_runs(spark, sf):
     return rounded(runs.select("portfolio_id", "model_type", "accuracy", joined("features_used"), "n_training_samples"))
 
 
+def m7_stored_runs(spark, sf):
+    """Runs as the store holds them after Machinery lost its finished projects and
+    all were trained again, and how many versions it took."""
+    store, projects = scratch_table(spark, "trained"), _table_before(spark, sf)
+    analyze.store_projects(projects, store)
+    everyone = projects.select("portfolio_id").distinct()
+    analyze.train(spark, store, everyone)
+    changed = everyone.where("portfolio_id = 'MACHINERY'")
+    analyze.store_projects(projects.where("portfolio_id = 'MACHINERY' and final_status <> 'Completed'"), store, changed)
+    analyze.train(spark, store, changed)
+    kept = Store(spark, store)
+    runs = models.latest_runs(kept.read("model_runs")).withColumn("versions", F.lit(len(kept.versions())))
+    return runs.select("portfolio_id", "model_type", "n_training_samples", "n_completed", "versions")
+
+
 def m8_importance_share(spark, sf):
     return rounded(models.importance_share(_runs(spark, sf)))
 
@@ -321,6 +337,23 @@ def s3_replace_portfolios(spark, sf):
     return spark.read.parquet(path).select("portfolio_id", "project_id", "final_status")
 
 
+def s3_versioned_store(spark, sf):
+    """Machinery keeps its finished projects and Building becomes empty, in all
+    tables at once: projects per portfolio in the version before and after, and
+    scores and places of ids after."""
+    store, everything = scratch_table(spark, "versions"), _table_before(spark, sf)
+    analyze.store_projects(everything, store, derive=True)
+    kept = Store(spark, store)
+    before = kept.versions()[-1]
+    touched = everything.where("portfolio_id in ('BUILDING', 'MACHINERY')").select("portfolio_id").distinct()
+    analyze.store_projects(everything.where("portfolio_id = 'MACHINERY' and final_status = 'Completed'"), store, touched, derive=True)
+    count = lambda name, version=None: kept.read(name, version=version).groupBy("portfolio_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+    found = count("projects", before).withColumnRenamed("n_projects", "n_before")
+    for name in ("projects", "scores", "places"):
+        found = found.join(count(name), "portfolio_id", "left").fillna(0, [f"n_{name}"])
+    return found
+
+
 def s4_document_status(spark, sf):
     return retrieval.document_status(marts.documents(spark, sf)).select(
         "document_id", "filename", "embedding_status", "chunk_count"
@@ -392,13 +425,11 @@ def u3_refresh(spark, sf):
     """Store, change, refresh the touched portfolios, read the scores."""
     store = scratch_table(spark, "store")
     before = _table_before(spark, sf)
-    analyze.store_projects(before, store)
-    analyze.refresh(spark, store, before.select("portfolio_id").distinct())
+    analyze.store_projects(before, store, derive=True)
     applied = mutations.apply_mutations(before, marts.mutations(spark, sf))
     touched = materialize(applied.touched, "touched")
-    analyze.store_projects(applied.projects.join(touched, "portfolio_id", "left_semi"), store, touched)
-    analyze.refresh(spark, store, touched)
-    scores = spark.read.parquet(f"{store}/scores")
+    analyze.store_projects(applied.projects.join(touched, "portfolio_id", "left_semi"), store, touched, derive=True)
+    scores = Store(spark, store).read("scores")
     return scores.select("portfolio_id", "project_id", "score", "breakdown.top_driver")
 
 
@@ -421,7 +452,7 @@ def u6_stream_changes(spark, sf):
     schema = marts.table(spark, sf, "events").schema
     log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     changes.start_changes(marts.mutations(spark, sf, log), store, f"{store}/progress").awaitTermination()
-    return _changed_columns(tables.read_projects(spark, f"{store}/projects"))
+    return _changed_columns(analyze.stored_projects(spark, store))
 
 
 def queries():
@@ -431,12 +462,12 @@ def queries():
             g4_cluster_ids,
             n1_encode_history, n2_encode_bids, n3_distance, n4_nearest, n4_rejected_bids, n5_outcome_ranges, n6_dispute_rate,
             n7_caveats, n8_screening, n9_similar_details,
-            m1_training_status, m2_label, m3_encoded, m3_feature_names, m7_model_runs, m8_importance_share,
+            m1_training_status, m2_label, m3_encoded, m3_feature_names, m7_model_runs, m7_stored_runs, m8_importance_share,
             m9_leakage_gap, m10_trainable,
             r1_chunk_text, r2_chunk_table, r3_encode, r4_top_matches, r4_text_search, r4_search_report, r5_reindex,
             r6_checked_questions, r6_rejected_questions, r7_source_rows, r8_context_text, r9_confidence,
             r10_citations, r11_status, r12_index_ready, r13_index_project_files,
-            s1_project_files, s2_stored_projects, s3_replace_portfolios, s4_document_status, s4_document_files,
+            s1_project_files, s2_stored_projects, s3_replace_portfolios, s3_versioned_store, s4_document_status, s4_document_files,
             s5_document_intake, s6_integer_safe,
             u1_upsert, u1_rejected, u2_delete, u3_refresh, u4_analyze, u5_cascade, u6_stream_changes,
         ]

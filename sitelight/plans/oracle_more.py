@@ -170,6 +170,12 @@ def statements() -> dict[str, str]:
           || string_agg(name, ',' ORDER BY block, name) AS features_used
         FROM (SELECT DISTINCT portfolio_id, 0 AS block, 'project_type_' || project_type AS name FROM usable WHERE bid_ok AND late_ok
           UNION SELECT DISTINCT portfolio_id, 1, 'region_' || region FROM usable WHERE bid_ok AND late_ok) GROUP BY portfolio_id""", "usable")
+    out["m7_stored_runs"] = sql("""
+        SELECT portfolio_id, model_type, CASE model_type WHEN 'naive' THEN n_naive ELSE n_honest END AS n_training_samples, n_completed, CAST(4 AS INTEGER) AS versions
+        FROM (SELECT p.portfolio_id, count(u.project_id) AS n_completed, count(*) FILTER (WHERE bid_ok AND late_ok) AS n_naive, count(*) FILTER (WHERE bid_ok) AS n_honest
+              FROM proj p LEFT JOIN usable u USING (project_id) WHERE p.portfolio_id <> 'MACHINERY' GROUP BY p.portfolio_id),
+             (VALUES ('naive'), ('pre_construction')) kinds(model_type)
+        WHERE n_completed >= 5 AND CASE model_type WHEN 'naive' THEN n_naive ELSE n_honest END >= 5""", "usable")
     out["m10_trainable"] = sql("""
         SELECT portfolio_id, n AS n_completed, n >= 5 AS trainable FROM (
           SELECT portfolio_id, count(*) FILTER (WHERE final_status = 'Completed') AS n FROM proj GROUP BY portfolio_id)""", "proj")
@@ -222,6 +228,11 @@ def statements() -> dict[str, str]:
     out["s3_replace_portfolios"] = sql("""
         SELECT portfolio_id, project_id, final_status FROM proj
         WHERE portfolio_id NOT IN ('BUILDING', 'MACHINERY') OR (portfolio_id = 'MACHINERY' AND final_status = 'Completed')""", "proj")
+    out["s3_versioned_store"] = sql("""
+        SELECT portfolio_id, n_before, n AS n_projects, n AS n_scores, n AS n_places FROM (
+          SELECT portfolio_id, count(*) AS n_before, CASE portfolio_id WHEN 'BUILDING' THEN 0
+            WHEN 'MACHINERY' THEN count(*) FILTER (WHERE final_status = 'Completed') ELSE count(*) END AS n
+          FROM proj GROUP BY portfolio_id)""", "proj")
     out["s4_document_status"] = sql("SELECT document_id, filename, embedding_status, chunk_count FROM status", "status")
     out["s4_document_files"] = sql(f"""
         SELECT doc_id AS document_id, CASE WHEN regexp_replace(text, '{SPACES}', '', 'g') = '' THEN 'failed:empty_text'

@@ -2,57 +2,71 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sitelight.functions.joins import measured
 from sitelight.operators.mutations import apply_mutations
-from sitelight.plans.analyze import refresh
-from sitelight.session import remove_path, written_once
-from sitelight.sources.tables import integer_safe, read_projects, replace_portfolios
+from sitelight.plans.analyze import derived, project_changes, stored_projects
+from sitelight.session import materialize, remove_path, written_once
+from sitelight.sources.store import Store, bucket_of, slot_of
+from sitelight.sources.tables import integer_safe
+
+
+def addressed_units(store: Store, changes: DataFrame) -> DataFrame:
+    """(portfolio_id, bucket) of every row that the changes may touch: by external
+    id where they say, by id where the store's id table says. Only the slots of
+    the ids are read."""
+    named = changes.where("project_id_external is not null").select("portfolio_id", bucket_of("project_id_external").alias("bucket"))
+    ids = changes.where("project_id is not null").select("project_id").distinct()
+    places = store.read("places", ids.select(slot_of("project_id").alias("slot")))
+    if places is None:
+        return named.distinct()
+    found = places.join(ids, "project_id", "left_semi").select("portfolio_id", F.col("home").alias("bucket"))
+    return named.unionByName(found).distinct()
 
 
 def start_changes(
     mutations: DataFrame, store: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
-    """Apply a stream of mutations to ``store/projects`` and keep the derived
-    tables of the touched portfolios current.
+    """Apply a stream of mutations to the store and keep the derived tables of the
+    touched portfolios current.
 
-    Only touched portfolios are read and rewritten. A batch first writes its
-    outcome beside the checkpoint and then replaces the table with it: a batch
-    repeated after a failure finds that outcome and does not apply its changes
-    to a table that already has them. Outcomes go when the next batch begins.
+    A batch reads the units it addresses, and replaces those of touched
+    portfolios, the places of moved ids, the derived tables and its rejections in
+    one version of the store. A batch repeated after a failure either finds its
+    version committed and does nothing, or finds the store as it was before.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, target = batch.sparkSession, Store(batch.sparkSession, store)
         # This batch began, so the one before is committed and not repeated.
         remove_path(spark, f"{checkpoint}/staged/{batch_id - 1}")
         staged = f"{checkpoint}/staged/{batch_id}"
+        token = written_once(spark.createDataFrame([(uuid.uuid4().hex,)], "token string"), f"{staged}/token").first().token
+        if target.committed(token):
+            return
         changes = written_once(batch, f"{staged}/changes")
-        named = changes.select("portfolio_id").distinct()
-        # Rows addressed by id may lie in another portfolio; they are only
-        # needed to reject the change.
-        addressed = changes.where("project_id is not null").select("project_id").distinct()
-        stored = read_projects(spark, f"{store}/projects")
-        home = stored.join(named, "portfolio_id", "left_semi")
-        places = stored.select("portfolio_id", "project_id").join(addressed, "project_id", "left_semi")
-        places = measured(places.join(named, "portfolio_id", "left_anti").distinct())
-        foreign = stored.join(places, ["portfolio_id", "project_id"], "left_semi")
-        applied = apply_mutations(home.unionByName(foreign), changes)
-        touched = written_once(applied.touched, f"{staged}/touched")
-        rejected = written_once(applied.rejected, f"{staged}/rejected")
-        merged = written_once(
-            integer_safe(applied.projects.join(touched, "portfolio_id", "left_semi")), f"{staged}/merged"
-        )
-        replace_portfolios(merged, f"{store}/projects", touched)
-        (
-            rejected.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store}/rejected")
-        )
-        refresh(spark, store, touched)
-        places.unpersist()
+        units = measured(addressed_units(target, changes))
+        applied = apply_mutations(stored_projects(spark, store, units), changes)
+        touched = materialize(applied.touched, "touched")
+        replaced = measured(units.join(touched, "portfolio_id", "left_semi"))
+        merged = materialize(integer_safe(applied.projects.join(touched, "portfolio_id", "left_semi")), "merged")
+        # what the derived tables of touched portfolios are computed from
+        stored = target.read("projects", touched)
+        projects = merged if stored is None else merged.unionByName(stored.join(replaced, ["portfolio_id", "bucket"], "left_anti").select(*merged.columns))
+        number = F.lit(batch_id).cast("int")
+        rejected = applied.rejected.withColumn("slot", number)
+        target.commit(token, {
+            **project_changes(target, merged, replaced),
+            **derived(materialize(projects, "touched-projects"), touched),
+            "rejected": (rejected, spark.range(1).select(number.alias("slot"))),
+        })
+        units.unpersist()
+        replaced.unpersist()
 
     writer = mutations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

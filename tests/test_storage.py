@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sitelight.operators.dashboard import natural_key
 from sitelight.plans import analyze
 from sitelight.sources import marts, tables
+from sitelight.sources.store import Store
 
 IDS = ["007", "7", "1e3", "2024-01-01", "north"]
 
@@ -20,18 +21,20 @@ def stored(spark, tmp_path):
 
 def test_ids_survive_write_read_and_refresh(spark, tmp_path):
     store, touched = stored(spark, tmp_path)
-    assert sorted({r.portfolio_id for r in tables.read_projects(spark, f"{store}/projects").collect()}) == sorted(IDS)
-    assert tables.read_projects(spark, f"{store}/projects", ["007"]).count() == 6
+    assert sorted({r.portfolio_id for r in analyze.stored_projects(spark, store).collect()}) == sorted(IDS)
+    assert analyze.stored_projects(spark, store, touched.where("portfolio_id = '007'")).count() == 6
     analyze.refresh(spark, store, touched)
     for name in ("scores", "segments"):
-        read = spark.read.schema("portfolio_id string, project_id string, cluster_id int").parquet(f"{store}/{name}")
+        read = Store(spark, store).read(name)
         assert {(r.portfolio_id, r.n) for r in read.groupBy("portfolio_id").agg(F.count("*").alias("n")).collect()} == {(p, 6) for p in IDS}
-    assert spark.read.parquet(f"{store}/segments").where("cluster_id IS NULL").isEmpty()
+    assert Store(spark, store).read("segments").where("cluster_id IS NULL").isEmpty()
 
 
 def test_replacing_drops_only_what_became_empty(spark, tmp_path):
     store, touched = stored(spark, tmp_path)
-    path = f"{store}/projects"
+    path = f"{store}/plain"
+    tables.replace_portfolios(tables.integer_safe(analyze.stored_projects(spark, store)), path, touched)
+    assert tables.read_projects(spark, path, ["007"]).count() == 6
     rows = tables.integer_safe(tables.read_projects(spark, path).where("portfolio_id = '7'")).withColumn("delay_days", F.lit(1.0))
     tables.replace_portfolios(spark.createDataFrame(rows.collect(), rows.schema), path, touched.where("portfolio_id IN ('7', '007', 'absent')"))
     left = {r.portfolio_id: r.d for r in tables.read_projects(spark, path).groupBy("portfolio_id").agg(F.avg("delay_days").alias("d")).collect()}
