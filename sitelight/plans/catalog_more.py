@@ -22,6 +22,15 @@ def g4_cluster_ids(spark, sf):
     return clustering.assign_clusters(marts.projects(spark, sf))
 
 
+def g4_cluster_checks(spark, sf):
+    """Clusters per portfolio, whether they settled, and rows that are clearly
+    nearer to another cluster's mean."""
+    projects = marts.projects(spark, sf)
+    clusters, report = clustering.fit_clusters(projects)
+    found = clustering.misplaced(projects, materialize(clusters, "clusters"))
+    return found.join(report.select("portfolio_id", "converged"), "portfolio_id", "left")
+
+
 # --- screening ------------------------------------------------------------------------
 def n1_encode_history(spark, sf):
     encoded = screening.encode_history(marts.projects(spark, sf))
@@ -459,7 +468,7 @@ def queries():
     out = {
         f.__name__: f
         for f in [
-            g4_cluster_ids,
+            g4_cluster_ids, g4_cluster_checks,
             n1_encode_history, n2_encode_bids, n3_distance, n4_nearest, n4_rejected_bids, n5_outcome_ranges, n6_dispute_rate,
             n7_caveats, n8_screening, n9_similar_details,
             m1_training_status, m2_label, m3_encoded, m3_feature_names, m7_model_runs, m7_stored_runs, m8_importance_share,

