@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelight.functions.joins import released
 from sitelight.operators import clustering, models, risk, rules, segments
 from sitelight.session import materialize
 from sitelight.sources.store import Store, bucket_of, slot_of
@@ -70,7 +71,8 @@ def refresh(spark: SparkSession, store: str, touched: DataFrame) -> None:
     """Recompute and replace the derived tables of the touched portfolios, the
     clusters included, in one version."""
     touched = touched.select("portfolio_id").distinct()
-    Store(spark, store).commit(uuid.uuid4().hex, derived(stored_projects(spark, store, touched), touched))
+    with released():
+        Store(spark, store).commit(uuid.uuid4().hex, derived(stored_projects(spark, store, touched), touched))
 
 
 def store_projects(projects: DataFrame, store: str, touched: DataFrame | None = None, derive: bool = False) -> None:
@@ -79,15 +81,17 @@ def store_projects(projects: DataFrame, store: str, touched: DataFrame | None =
     rows = materialize(integer_safe(conform(projects)), "projects")
     touched = (rows if touched is None else touched).select("portfolio_id").distinct()
     target = Store(rows.sparkSession, store)
-    changes = project_changes(target, rows, touched)
-    if derive:
-        changes |= derived(rows.join(touched, "portfolio_id", "left_semi"), touched)
-    target.commit(uuid.uuid4().hex, changes)
+    with released():
+        changes = project_changes(target, rows, touched)
+        if derive:
+            changes |= derived(rows.join(touched, "portfolio_id", "left_semi"), touched)
+        target.commit(uuid.uuid4().hex, changes)
 
 
 def train(spark: SparkSession, store: str, touched: DataFrame, created_at=None) -> None:
     """Fit both models on the stored projects of some portfolios and replace their
     runs; a portfolio that can no longer be trained keeps none."""
     touched = touched.select("portfolio_id").distinct()
-    runs = models.model_runs(stored_projects(spark, store, touched), created_at)
-    Store(spark, store).commit(uuid.uuid4().hex, {"model_runs": (runs, touched)})
+    with released():
+        runs = models.model_runs(stored_projects(spark, store, touched), created_at)
+        Store(spark, store).commit(uuid.uuid4().hex, {"model_runs": (runs, touched)})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sitelight.functions.joins import measured
+from sitelight.functions.joins import measured, released
 from sitelight.operators.mutations import apply_mutations
 from sitelight.plans.analyze import derived, project_changes, stored_projects
 from sitelight.session import materialize, remove_path, written_once
@@ -42,6 +42,10 @@ def start_changes(
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
+        with released():
+            apply(batch, batch_id)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
         spark, target = batch.sparkSession, Store(batch.sparkSession, store)
         # This batch began, so the one before is committed and not repeated.
         remove_path(spark, f"{checkpoint}/staged/{batch_id - 1}")
@@ -65,8 +69,6 @@ def start_changes(
             **derived(materialize(projects, "touched-projects"), touched),
             "rejected": (rejected, spark.range(1).select(number.alias("slot"))),
         })
-        units.unpersist()
-        replaced.unpersist()
 
     writer = mutations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from sitelight.functions.joins import released
 from sitelight.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +29,12 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 25 and {r.position for r in rows} == {1, 2, 3, 4, 5}
+
+
+@pytest.mark.parametrize("name", ["c12_clean", "k9_scores", "n8_screening", "r4_top_matches", "u3_refresh"])
+def test_queries_leave_no_cached_tables(spark, name):
+    kept = lambda: {int(k) for k in spark.sparkContext._jsc.getPersistentRDDs().keySet()}
+    before = kept()
+    with released():
+        assert entry.queries()[name](spark, SF).count() > 0
+    assert kept() <= before
