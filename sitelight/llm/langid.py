@@ -27,13 +27,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelight.llm.common import Scratch
+from sitelight.llm.words import slices
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -41,6 +41,8 @@ LONGEST = 32
 #: What a single character outside the vocabulary is worth in every language.
 STRANGE = 1e-7
 REMEMBERED = 200_000
+#: Words that are scored, and words of texts that are split, at a time.
+WORDS_AT_ONCE, BYTES_AT_ONCE = 20_000, 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,10 +130,11 @@ def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
 
 def log_words(vocabulary: Vocabulary, table: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word in each language."""
-    out = np.zeros((len(words), table.shape[1]))
+    out = np.zeros((len(words), table.shape[1]), dtype=np.float32)
     for n, at in by_length(words):
-        group = [words[i] for i in at]
-        out[at] = np.log(forward(table, spans(vocabulary, group, n), n, len(group))[n + 1])
+        for some in np.array_split(at, -(-len(at) * (n + 1) // WORDS_AT_ONCE)):
+            group = [words[i] for i in some]
+            out[some] = np.log(forward(table, spans(vocabulary, group, n), n, len(group))[n + 1])
     return out
 
 
@@ -171,7 +174,7 @@ def fit(labelled: DataFrame, path: str, id_column: str = "doc_id", text_column:
         return Model([], share, pieces, table)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen.update((lang, w) for w in words_of(text))
@@ -234,26 +237,30 @@ class Scorer:
         self.table = _ordered(self.vocabulary, model.pieces, model.table)
         self.prior = np.log(model.shares)
         self.number: dict[str, int] = {}
-        self.logs = np.zeros((0, len(model.languages)))
+        self.logs = np.zeros((REMEMBERED, len(model.languages)), dtype=np.float32)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.model.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         words = [[] if t is None else words_of(t) for t in texts]
-        if len(self.number) > REMEMBERED:
+        needed = set().union(*words)
+        missing = sorted(needed.difference(self.number))
+        if len(self.number) + len(missing) > REMEMBERED:
             self.number.clear()
-            self.logs = self.logs[:0]
-        missing = sorted(set().union(*words).difference(self.number))
+            missing = sorted(needed)
+        if len(missing) > len(self.logs):
+            self.logs = np.zeros((len(missing), self.logs.shape[1]), dtype=np.float32)
         if missing:
-            self.number.update(zip(missing, range(len(self.number), len(self.number) + len(missing)), strict=True))
-            self.logs = np.concatenate([self.logs, log_words(self.vocabulary, self.table, missing)])
+            known = len(self.number)
+            self.logs[known : known + len(missing)] = log_words(self.vocabulary, self.table, missing)
+            self.number.update(zip(missing, range(known, known + len(missing)), strict=True))
         langs, scores = [], []
         for text, row in zip(texts, words, strict=True):
             if not has_letter(text, row):
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            total = self.prior + self.logs[[self.number[w] for w in row]].sum(axis=0)
+            total = self.prior + self.logs[[self.number[w] for w in row]].sum(axis=0, dtype=np.float64)
             best = int(total.argmax())
             langs.append(self.model.languages[best])
             scores.append(float(1 / np.exp(total - total[best]).sum()))
@@ -264,16 +271,18 @@ def predicted(model: Model, text: Column, spark) -> Column:
     """Struct column (lang_pred, score)."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for part in parts:
             langs, scores = [], []
-            for at in range(0, len(part), 256):
-                some = scorer([None if x is None else str(x) for x in part.iloc[at : at + 256]])
-                langs += some[0]
-                scores += some[1]
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            for some in slices([pa.record_batch([part], names=["text"])], "text", BYTES_AT_ONCE):
+                found = scorer(some.column(0).to_pylist())
+                langs += found[0]
+                scores += found[1]
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+        del scorer
+        pa.default_memory_pool().release_unused()
 
     return score(text)
 

@@ -6,7 +6,7 @@ distinct word of a slice is hashed once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +20,13 @@ TOGETHER = 4_000_000
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The rows in slices of about TOGETHER bytes of text, never split texts."""
+def slices(batches: Iterable[pa.RecordBatch], column: str, together: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``together`` bytes of text, never split texts."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0).to_numpy().astype(np.int64)
-        part = (np.cumsum(size) - size) // TOGETHER
+        part = (np.cumsum(size) - size) // together
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for at, end in zip(first, np.r_[first[1:], len(part)], strict=True):
             yield batch.slice(at, end - at)
