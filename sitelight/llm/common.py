@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,16 +26,31 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on this session's rows travel to Python workers in batches of at
+    most ``rows``. A batch is held several times at once (as it is built, sent and
+    received, in each task), and Spark's 10,000 rows are a lot of whole texts. A
+    smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """Intermediate tables in the shared folder, deleted as soon as no later
     step reads them."""
 
+    #: Lists that note the paths of all tables written meanwhile.
+    noted: list[list[str]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_table(self.spark, name)
+        for paths in self.noted:
+            paths.append(path)
         df.write.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
@@ -42,6 +60,42 @@ class Scratch:
             drop_path(self.spark, self.paths.pop(name))
 
 
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """The paths of scratch tables written inside are added to the list."""
+    Scratch.noted.append(paths)
+    try:
+        yield
+    finally:
+        Scratch.noted.remove(paths)
+
+
+def reads(df: DataFrame) -> set[str] | None:
+    """The folders that a table's plan scans; None if it reads anything else."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            found |= {roots.apply(j).toString() for j in range(roots.size())}
+        elif kind not in ("LocalRelation", "OneRowRelation", "Range"):
+            return None
+    return found
+
+
+def drop_unread(df: DataFrame, paths: list[str]) -> None:
+    """Delete the scratch tables that ``df`` does not read, and forget them."""
+    scanned = reads(df)
+    if scanned is None:
+        return
+    named = [path.rsplit("/", 1)[-1] for path in paths]  # names are unique
+    for path, name in zip(list(paths), named, strict=True):
+        if not any(name in folder.split("/") for folder in scanned):
+            drop_path(df.sparkSession, path)
+            paths.remove(path)
+
+
 def fold_of(id_column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % parts

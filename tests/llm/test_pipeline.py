@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sitelight.llm import langid, line_dedup, ngram_join
+from sitelight.llm import common, langid, line_dedup, ngram_join
 
 SF = "/root/testdata/sf0.001"
 OPERATORS = list(range(1, 14))
@@ -79,3 +79,20 @@ def test_language_stage_rejects_what_no_language_explains(spark):
     scored = langid.identify(docs, model)
     rejected = scored.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < corpus_pipeline.SURE)).count()
     assert corpus_pipeline.identify_languages(spark, docs, SF).count() == docs.count() - rejected
+
+
+def test_tables_that_a_result_reads_are_kept(spark, tmp_path):
+    scratch, paths = common.Scratch(spark), []
+    with common.noting(paths):
+        a = scratch.write(spark.range(5), "kept-a")
+        b = scratch.write(spark.range(7), "kept-b")
+    scratch.write(spark.range(3), "unnoted")
+    assert len(paths) == 2
+    common.drop_unread(a.join(spark.range(3), "id"), paths)
+    assert len(paths) == 1 and a.count() == 5
+    with pytest.raises(Exception, match="(?i)not.*exist|PATH_NOT_FOUND|FileNotFound"):
+        spark.read.parquet(b.inputFiles()[0]).count()
+    common.drop_unread(spark.createDataFrame(a.rdd), paths)  # who knows what that reads
+    assert len(paths) == 1 and a.count() == 5
+    common.drop_unread(spark.read.parquet(f"{SF}/documents.parquet"), paths)
+    assert paths == []
