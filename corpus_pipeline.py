@@ -6,24 +6,50 @@ the last, which returns the pieces packed into sequences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelight.llm import langid, line_dedup, mixing, ngram_join, packing, tokens
-from sitelight.llm.common import Scratch, table
+from sitelight.llm.common import Scratch, drop_unread, noting, small_batches, table
 from sitelight.llm.queries import MIXTURE, SEQUENCE_LENGTH, domains
 
+#: Scratch tables that stages have left, since their results read them.
+LEFT: list[str] = []
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(work: Stage) -> Stage:
+    """What earlier stages left goes when a stage begins, as their results have
+    been written by then; but for tables that ``docs`` reads itself."""
+
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_unread(docs, LEFT)
+        with noting(LEFT):
+            return work(spark, docs, sf_dir)
+
+    return run
+
+
 #: A text stays if its best language has at least this posterior.
 SURE = 0.5
 
 
+@stage
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or without a language that is likelier than all others, go."""
+    """Texts without a letter, or without a language that is likelier than all others, go.
+    Whole texts travel to Python workers from here on, in small batches."""
+    small_batches(spark)
     model = langid.fit(docs, langid.vocabulary_path())
     scored = langid.identify(docs, model)
     return scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(docs.columns)
 
 
+@stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated line chunks; those that lose every visible
     character go, since all they had is kept elsewhere."""
@@ -31,6 +57,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return result.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the row
     with the smallest id stays, and of several such rows the longest text. Rows
@@ -51,12 +78,14 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.select("doc.*").select(docs.columns)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its rate says."""
     rated, _, _ = mixing.mix(docs, domains(spark, sf_dir), MIXTURE, keep_text=True)
     return rated.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their place in sequences of at most SEQUENCE_LENGTH tokens."""
     cut = tokens.pieces(docs, tokens.tokenizer_path(), SEQUENCE_LENGTH)
@@ -79,8 +108,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, work) in enumerate(STAGES):
+        docs = work(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.write(docs, f"stage-{i}")
+        if 0 < i < len(STAGES) - 1:  # the stage before last has been read
+            scratch.drop(f"stage-{i - 1}")
     return docs
