@@ -7,8 +7,9 @@ each query and tile, and the short lists are merged as a tree, ``fan`` shards
 at a time. Nothing but query blocks is repeated per shard.
 
 Defined results: rows with a null id, a null vector or null or non-finite
-components take no part; rows that repeat an id count once, with the smallest
-of their vectors; only vectors of equal length are compared; a component
+components take no part; rows that repeat an id are candidates and queries of
+their own, and a query leaves out one row of its id and vector only, its own;
+only vectors of equal length are compared; a component
 outside the range of a long becomes its nearest end, and so does a score; no
 rows or no queries give an empty result. Other columns are ignored.
 """
@@ -28,10 +29,10 @@ from pyspark.sql.window import Window
 from sitelight.llm.common import Scratch, list_values, record
 
 TOP = T.StructType([
-    T.StructField("query_id", T.LongType()), T.StructField("shard", T.IntegerType()),
+    T.StructField("query", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("shard", T.IntegerType()),
     T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType()),
 ])
-ARROW_TOP = pa.schema([("query_id", pa.int64()), ("shard", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
+ARROW_TOP = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("shard", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
@@ -47,15 +48,14 @@ def quantized(vectors: DataFrame, id_column: str, vector_column: str, scale: int
         vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"))
         .where(F.col("vec_id").isNotNull() & usable("vector"))
         .select("vec_id", F.transform("vector", lambda x: F.floor(F.lit(float(scale)) * x)).alias("vector"))
-        .groupBy("vec_id").agg(F.min("vector").alias("vector"))
     )
 
 
-def blocks_of(vectors: DataFrame, n: int, key: str, ids: str, flat: str) -> DataFrame:
-    rows = vectors.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(key), "vec_id", "vector")
+def blocks_of(vectors: DataFrame, n: int, key: str, ids: str, flat: str, *more: str, by: tuple[str, ...] = ("vec_id",)) -> DataFrame:
+    rows = vectors.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64(*by), F.lit(n)).cast("int").alias(key), "vec_id", "vector", *more)
     return (
-        rows.groupBy("dim", key).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("rows"))
-        .select("dim", key, F.col("rows.vec_id").alias(ids), F.flatten("rows.vector").alias(flat))
+        rows.groupBy("dim", key).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector", *more))).alias("rows"))
+        .select("dim", key, F.col("rows.vec_id").alias(ids), F.flatten("rows.vector").alias(flat), *[F.col(f"rows.{c}").alias(c) for c in more])
     )
 
 
@@ -81,6 +81,10 @@ def _select(k: int):
                 x = columns["flat"][i].values.to_numpy().reshape(len(cid), dim)
                 scores = _scores(q, x)
                 own = qid[:, None] == cid[None, :]
+                for a in np.flatnonzero(own.any(axis=1)):
+                    at = np.flatnonzero(own[a])
+                    own[a] = False
+                    own[a, at[(x[at] == q[a]).all(axis=1)][:1]] = True
                 # ids ascend within a shard, so a stable order by score breaks ties by id
                 kept = min(k + 1, len(cid))
                 edge = ~np.partition(~scores, kept - 1, axis=1)[:, kept - 1]  # ~ turns the order of all longs
@@ -92,7 +96,7 @@ def _select(k: int):
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 row, col = row[place < k], col[place < k]
                 if len(row):
-                    yield record(ARROW_TOP, query_id=qid[row], shard=np.full(len(row), shard, np.int32), vec_id=cid[col], score=scores[row, col])
+                    yield record(ARROW_TOP, query=columns["query"][i].values.to_numpy()[row], query_id=qid[row], shard=np.full(len(row), shard, np.int32), vec_id=cid[col], score=scores[row, col])
 
     return tiles
 
@@ -104,12 +108,12 @@ def best(lists: DataFrame, k: int, *keys: str, score: str = "score") -> DataFram
     return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def merged(lists: DataFrame, k: int, shards: int, fan: int) -> DataFrame:
+def merged(lists: DataFrame, k: int, shards: int, fan: int, query: str = "query_id") -> DataFrame:
     """Merge the per-shard lists of each query, ``fan`` lists at a time."""
     while shards > fan:
-        lists = best(lists.withColumn("shard", F.expr(f"shard div {fan}").cast("int")), k, "query_id", "shard").drop("rank")
+        lists = best(lists.withColumn("shard", F.expr(f"shard div {fan}").cast("int")), k, query, "shard").drop("rank")
         shards = math.ceil(shards / fan)
-    return best(lists, k, "query_id")
+    return best(lists, k, query)
 
 
 def met(blocks: DataFrame, shards: DataFrame, n_shards: int) -> DataFrame:
@@ -123,14 +127,17 @@ def exact_top_k(
     shard_rows: int = 1024, query_rows: int = 256, fan: int = 8,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k candidates with the highest
-    whole-number inner product, the query's own id left out."""
+    whole-number inner product, the query's own row left out."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    candidates = scratch.write(quantized(vectors, id_column, vector_column, scale), "topk-vectors")
-    asked = quantized(queries, id_column, vector_column, scale)
+    # of rows that are alike in all, k and the query's own are all that can be needed
+    alike = Window.partitionBy("vec_id", "vector").orderBy("vec_id")
+    candidates = quantized(vectors, id_column, vector_column, scale).withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= k + 1)
+    candidates = scratch.write(candidates.drop("copy"), "topk-vectors")
+    asked = scratch.write(quantized(queries, id_column, vector_column, scale).withColumn("query", F.monotonically_increasing_id()), "topk-queries")
     n_shards = max(1, math.ceil(candidates.count() / shard_rows))
     n_blocks = max(1, math.ceil(asked.count() / query_rows))
-    shards = blocks_of(candidates, n_shards, "shard", "ids", "flat")
-    blocks = blocks_of(asked, n_blocks, "block", "query_ids", "query_flat")
+    shards = blocks_of(candidates, n_shards, "shard", "ids", "flat", by=("vec_id", "vector"))
+    blocks = blocks_of(asked, n_blocks, "block", "query_ids", "query_flat", "query", by=("query",))
     lists = met(blocks, shards, n_shards).mapInArrow(_select(k), TOP)
-    return merged(lists, k, n_shards, fan).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return merged(lists, k, n_shards, fan, "query").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -22,15 +22,16 @@ AWKWARD = [
 
 
 def brute(vectors, asked, k, scale):
-    known = {}
+    """Of every row whose id is asked for: all other rows, by score and id."""
+    rows = []
     for i, v in vectors:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            whole = [max(-(2**63), min(2**63 - 1, math.floor(float(np.float32(x)) * scale))) for x in v]
-            known[i] = min(known.get(i, whole), whole)
+            rows.append((i, [max(-(2**63), min(2**63 - 1, math.floor(float(np.float32(x)) * scale))) for x in v]))
     out = []
-    for q in asked:
-        scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(known[q], v, strict=True)))), i) for i, v in known.items() if i != q and len(v) == len(known[q])]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
+    for at, (q, own) in enumerate(rows):
+        if q in asked:
+            scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(own, v, strict=True)))), i) for n, (i, v) in enumerate(rows) if n != at and len(v) == len(own)]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
     return out
 
 
@@ -39,6 +40,13 @@ def test_exact_on_awkward_vectors(spark):
     assert sorted(map(tuple, got)) == sorted(brute(AWKWARD, [1, 2, 7, 8, 9, 10, 11, 12, 13], 3, 1024))
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(7, [1.0, 0.0])] * 40 + [(7, [0.0, 1.0]), (8, [1.0, 1.0]), (8, [1.0, 1.0]), (9, [2.0, -1.0]), (9, [1.0])]
+    for k in (1, 3, 60):
+        got = topk.exact_top_k(frame(spark, rows), frame(spark, rows), k, 4, shard_rows=4, query_rows=8, fan=2).collect()
+        assert sorted(map(tuple, got)) == sorted(brute(rows, {7, 8, 9}, k, 4))
+
+
 def test_exact_with_ties_and_many_tiles(spark):
     draw = np.random.default_rng(1)
     rows = [(i, [float(x) for x in draw.integers(-2, 3, 4)]) for i in range(150)]
