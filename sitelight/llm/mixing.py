@@ -118,7 +118,7 @@ def fit_classifier(
     if not domains:
         return Classifier([], [], [])
     share = F.create_map(*[x for d in domains for x in (F.lit(d), F.lit(min(1.0, sample / counts[d])))])
-    chosen = scratch.write(labels.where(draw("id") < share[F.col("domain")]).coalesce(1), "mix-sample")
+    chosen = scratch.write(labels.where(draw("id") < share[F.col("domain")]).repartition(1), "mix-sample")  # the sample is bounded
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(chosen, "id")
     seen = texts.select("domain", F.array_distinct(F.transform(tokens(F.col("text")), lambda t: bucket(t, buckets))).alias("buckets"))
     seen = scratch.write(seen, "mix-buckets")

@@ -62,9 +62,9 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated, names, _ = mixing.mix(table(spark, sf_dir, "documents"), domains(spark, sf_dir), MIXTURE)
+    rated, names, report = mixing.mix(table(spark, sf_dir, "documents"), domains(spark, sf_dir), MIXTURE)
     shares = [F.get("posterior", F.lit(i)).alias(f"p_{name}") for i, name in enumerate(names)]
-    return rated.select("doc_id", "tokens", *shares, "rate", "copies")
+    return rated.select("doc_id", "tokens", *shares, "rate", "copies", F.lit(report["converged"]).alias("converged"))
 
 
 #: Host, path, verdict.
@@ -174,16 +174,16 @@ SQL = {
     """,
     "op10_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
+            SELECT q.n, q.vec_id AS query_id, c.vec_id,
                    CAST(list_inner_product(CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.n <> q.n AND len(c.vector) = len(q.vector)
         )
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
                vec_id, score
         FROM scored
         QUALIFY rank <= 10
