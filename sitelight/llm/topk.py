@@ -139,5 +139,6 @@ def exact_top_k(
     n_blocks = max(1, math.ceil(asked.count() / query_rows))
     shards = blocks_of(candidates, n_shards, "shard", "ids", "flat", by=("vec_id", "vector"))
     blocks = blocks_of(asked, n_blocks, "block", "query_ids", "query_flat", "query", by=("query",))
-    lists = met(blocks, shards, n_shards).mapInArrow(_select(k), TOP)
+    # merged, not broadcast: a block is repeated for every shard, which no estimate knows
+    lists = met(blocks.hint("merge"), shards, n_shards).mapInArrow(_select(k), TOP)
     return merged(lists, k, n_shards, fan, "query").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
