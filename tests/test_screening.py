@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import project_frame
 
@@ -112,3 +113,38 @@ def test_small_cohort_caveat(spark):
     row = screening.screen(bids, history).first()
     assert row.caveats == ["n<5 cohort (n=3) — treat ranges as directional, not predictive."]
     assert row.outcomes.any_dispute.n == 2 and row.outcomes.any_dispute.rate == 0.5
+
+
+def test_runs_and_pieces_of_the_directory_give_the_same_rows(spark, monkeypatch):
+    """Cells cut into runs, a directory in several pieces, bids in several groups."""
+    for name, rows in (("RUN_BLOCKS", 3), ("PIECE_BLOCKS", 16), ("BID_ROWS", 20)):
+        monkeypatch.setattr(screening, name, rows)
+    test_equals_brute_force(spark, 2)
+
+
+def test_bisection_opens_what_trying_every_block_opens():
+    random = np.random.default_rng(4)
+    edges = np.sort(random.uniform(10, 19, 200)).reshape(100, 2)
+    blocks = [{"portfolio_id": "p", "type_key": t, "region_key": "R0", "subs": s, "bin": i, "run": 0, "low": low, "high": high, "n": int(random.integers(1, 9))}
+              for t in ("T0", "T1") for s in (0.0, 3.0, 9.0) for i, (low, high) in enumerate(edges)]
+    bids = []
+    for i in range(50):
+        value, subs = float(random.uniform(0, 20)), float(random.integers(0, 12))
+        bids.append({"bid_id": i, "portfolio_id": "p", "k": int(random.integers(1, 21)), "bid_log_value": value, "bid_subs": subs,
+                     "bid_norm": float(np.sqrt(value**2 + subs**2 + 2)), "bid_type": random.choice(["T0", "T1", "none"]), "bid_region": "R0"})
+    kind = pa.struct([("bid_id", pa.int64()), ("k", pa.int32()), ("bid_log_value", pa.float64()), ("bid_subs", pa.float64()),
+                      ("bid_norm", pa.float64()), ("bid_type", pa.string()), ("bid_region", pa.string())])
+    meeting = screening._Meeting(pa.array([{f.name: b[f.name] for f in kind} for b in bids], kind), pa.array(blocks))
+    reach = meeting.reach()
+    opened = set(zip(*(part.tolist() for part in meeting.opened(reach)[:2]), strict=True))
+    for i, bid in enumerate(bids):
+        sure, best = [], []
+        for block in blocks:
+            fixed = bid["bid_subs"] * block["subs"] + float(bid["bid_type"] == block["type_key"]) + 1.0
+            at = lambda x: max(0.0, min(2.0, 1 - (bid["bid_log_value"] * x + fixed) / (bid["bid_norm"] * np.sqrt(x * x + block["subs"] ** 2 + 2))))  # noqa: B023, E731
+            peak = bid["bid_log_value"] * (block["subs"] ** 2 + 2) / fixed
+            best.append(at(max(block["low"], min(block["high"], peak))) - screening.SLACK)
+            sure += [max(at(block["low"]), at(block["high"])) + screening.SLACK] * block["n"]
+        assert sorted(sure)[bid["k"] - 1] <= reach[i] + 1e-12 < np.inf
+        assert {b for r, b in opened if r == i} == {j for j, d in enumerate(best) if d <= reach[i]}
+    assert len(opened) < 0.2 * len(bids) * len(blocks)
