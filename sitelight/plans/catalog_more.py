@@ -380,8 +380,7 @@ def s4_document_files(spark, sf):
 
 
 def s5_document_intake(spark, sf):
-    schema = marts.table(spark, sf, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf).select(
+    stream = marts.table_stream(spark, sf, "documents").select(
         F.col("doc_id").alias("document_id"), F.col("lang").alias("portfolio_id"),
         F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), "text",
     )
@@ -458,8 +457,7 @@ def u5_cascade(spark, sf):
 def u6_stream_changes(spark, sf):
     store = scratch_table(spark, "changing")
     analyze.store_projects(_table_before(spark, sf), store)
-    schema = marts.table(spark, sf, "events").schema
-    log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    log = marts.table_stream(spark, sf, "events")
     changes.start_changes(marts.mutations(spark, sf, log), store, f"{store}/progress").awaitTermination()
     return _changed_columns(analyze.stored_projects(spark, store))
 

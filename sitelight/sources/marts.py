@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of its files, be it one file or a folder of them.
+
+    A file stream takes a plain path for a folder; as a pattern the path may name either."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
+
+
 def external_id(key: Column) -> Column:
     """At least nine digits; longer keys stay whole, so that no two are alike."""
     text = key.cast("string")

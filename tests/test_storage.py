@@ -1,10 +1,12 @@
 """Portfolio ids are text, whatever they look like; refreshes keep every derived column."""
 
+import pyarrow as pa
 from conftest import project_frame
 from pyspark.sql import functions as F
 
 from sitelight.operators.dashboard import natural_key
-from sitelight.plans import analyze
+from sitelight.plans import analyze, catalog_more
+from sitelight.session import wide_rows
 from sitelight.sources import marts, tables
 from sitelight.sources.store import Store
 
@@ -50,3 +52,27 @@ def test_long_numbers_sort_by_value(spark):
 def test_long_keys_stay_apart(spark):
     keys = spark.createDataFrame([(1,), (1234567890123,), (1234567890124,)], "k long").select(marts.external_id(F.col("k")).alias("id"))
     assert [r.id for r in keys.collect()] == ["PRJ000000001", "PRJ1234567890123", "PRJ1234567890124"]
+
+
+def test_a_table_streams_as_one_file_and_as_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "en", "word " * 30) for i in range(40)], "doc_id long, lang string, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    (tmp_path / "file").mkdir()
+    rows.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    next((tmp_path / "parts").glob("part-*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    for kind in ("folder", "file"):
+        found = catalog_more.s5_document_intake(spark, str(tmp_path / kind))
+        assert sorted(r.document_id for r in found.collect()) == list(range(40))
+
+
+def test_wide_rows_travel_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    with wide_rows(spark, 8):
+        got = [r.n for r in spark.range(100, numPartitions=1).mapInArrow(sizes, "n long").collect()]
+    assert max(got) == 8 and sum(got) == 100 and spark.conf.get(name) == before
