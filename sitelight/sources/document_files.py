@@ -9,10 +9,16 @@ from sitelight.sources.project_files import PORTFOLIO_IN_PATH
 
 
 def read_document_files(
-    spark: SparkSession, path: str | list[str], portfolio_pattern: str = PORTFOLIO_IN_PATH
+    spark: SparkSession, path: str | list[str], portfolio_pattern: str = PORTFOLIO_IN_PATH, below: str | None = None
 ) -> DataFrame:
-    """document_id, portfolio_id, filename, text, uploaded_at; one row per file."""
-    return from_binary(spark.read.format("binaryFile").load(path), portfolio_pattern)
+    """document_id, portfolio_id, filename, text, uploaded_at; one row per file.
+    With ``below``, every file under the path whose name fits that pattern: many
+    folders are then listed by tasks, where a pattern for folders in the path
+    itself is followed by the driver alone."""
+    reader = spark.read.format("binaryFile")
+    if below is not None:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", below)
+    return from_binary(reader.load(path), portfolio_pattern)
 
 
 def from_binary(files: DataFrame, portfolio_pattern: str = PORTFOLIO_IN_PATH) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitelight.operators.dashboard import natural_key
 from sitelight.plans import analyze, catalog_more
 from sitelight.session import wide_rows
-from sitelight.sources import marts, tables
+from sitelight.sources import document_files, marts, tables
 from sitelight.sources.store import Store
 
 IDS = ["007", "7", "1e3", "2024-01-01", "north"]
@@ -76,3 +76,11 @@ def test_wide_rows_travel_in_small_batches(spark):
     with wide_rows(spark, 8):
         got = [r.n for r in spark.range(100, numPartitions=1).mapInArrow(sizes, "n long").collect()]
     assert max(got) == 8 and sum(got) == 100 and spark.conf.get(name) == before
+
+
+def test_files_in_many_folders_are_read_from_their_root(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(None, "no id")], "doc_id long, text string")
+    rows.repartition(4, "doc_id").write.partitionBy("doc_id").text(str(tmp_path / "all"))
+    (tmp_path / "all" / "doc_id=1" / "other.csv").write_text("not asked for")
+    found = document_files.read_document_files(spark, str(tmp_path / "all"), r"doc_id=(\d+)/", below="*.txt")
+    assert sorted((r.portfolio_id, r.text) for r in found.collect()) == sorted([(str(i), f"text {i}\n") for i in range(40)] + [("", "no id\n")])
