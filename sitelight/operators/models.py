@@ -295,6 +295,10 @@ def fit(projects: DataFrame, model_type: str) -> DataFrame:
 
 def model_runs(projects: DataFrame, created_at: Column | None = None) -> DataFrame:
     """Both models of every trainable portfolio, ready to replace its runs."""
+    columns = {c for features in FEATURES.values() for c in features}
+    columns |= {"portfolio_id", "project_id", "final_status", "payment_disputes", *CATEGORIES}
+    # each model reads the projects twice: they are written once, as narrow as both allow
+    projects = materialize(projects.select(*sorted(columns)), "model-source")
     both = fit(projects, NAIVE).unionByName(fit(projects, PRE_CONSTRUCTION))
     return both.where("status <> 'insufficient'").withColumn(
         "created_at", F.current_timestamp() if created_at is None else created_at
