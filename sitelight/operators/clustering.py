@@ -24,6 +24,8 @@ from sitelight.functions.joins import measured
 from sitelight.operators.segments import cluster_features
 from sitelight.session import materialize
 
+# What clusters are made of.
+SOURCE = ["portfolio_id", "project_id", "contract_value_usd", "subcontractor_count", "project_type", "region"]
 MIN_ROWS = 4
 # Squared movement, relative to the mean variance of the numbers, below which a
 # centroid counts as settled.
@@ -68,8 +70,9 @@ def fit_clusters(projects: DataFrame, k: int = 3, restarts: int = 10, max_rounds
 def misplaced(projects: DataFrame, clusters: DataFrame, margin: float = 0.01) -> DataFrame:
     """portfolio_id, rows, clusters, and how many rows are nearer to another
     cluster's mean than to their own by more than ``margin`` of the distance."""
-    rows = cluster_features(projects).select("portfolio_id", "project_id", "log_value", "subs", "type_key", "region_key")
-    rows = rows.join(clusters, ["portfolio_id", "project_id"])
+    rows, _ = feature_rows(projects)
+    # sizes, shares and distances each read the rows
+    rows = materialize(rows.join(clusters, ["portfolio_id", "project_id"]), "clustered-rows")
     keys = ["portfolio_id", "cluster_id"]
     size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("log_value").alias("value"), F.avg("subs").alias("count"))
     means = size
@@ -94,10 +97,7 @@ def misplaced(projects: DataFrame, clusters: DataFrame, margin: float = 0.01) ->
 
 def feature_rows(projects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Feature columns written once, and size and spread per portfolio."""
-    source = materialize(
-        projects.select("portfolio_id", "project_id", "contract_value_usd", "subcontractor_count", "project_type", "region"),
-        "cluster-source",
-    )
+    source = materialize(projects.select(*SOURCE), "cluster-source")
     rows = materialize(
         cluster_features(source).select(
             "portfolio_id", "project_id", "log_value", "subs", "type_key", "region_key"
