@@ -93,8 +93,11 @@ def _fillable(column: str):
 
 def impute_medians(typed: DataFrame, medians: DataFrame | None = None) -> DataFrame:
     """Fill gaps from the portfolio's finished work. Outcome counts are only
-    filled on finished rows: running work has not earned a count yet."""
-    medians = completed_medians(typed) if medians is None else medians
+    filled on finished rows: running work has not earned a count yet. Without
+    medians the rows are written out first, since the medians read them twice."""
+    if medians is None:
+        typed = materialize(typed, "typed-projects")
+        medians = completed_medians(typed)
     values = medians.select(
         "portfolio_id", *[F.col(c)[0].alias(f"_median_{c}") for c in S.NUMERIC_COLUMNS]
     )
@@ -112,7 +115,9 @@ def impute_medians(typed: DataFrame, medians: DataFrame | None = None) -> DataFr
 def imputation_report(typed: DataFrame, medians: DataFrame | None = None) -> DataFrame:
     """Per portfolio and column: number of filled gaps and the value used;
     columns without a fill are not listed."""
-    medians = completed_medians(typed) if medians is None else medians
+    if medians is None:
+        typed = materialize(typed.select("portfolio_id", "final_status", *S.NUMERIC_COLUMNS), "typed-projects")
+        medians = completed_medians(typed)
     gaps = typed.groupBy("portfolio_id").agg(
         *[F.count_if(_fillable(c)).alias(f"_gaps_{c}") for c in S.NUMERIC_COLUMNS]
     )

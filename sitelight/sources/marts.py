@@ -32,9 +32,14 @@ def external_id(key: Column) -> Column:
 
 
 def measured_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projects before imputation: orders without line items have null measures."""
+    """Projects before imputation: orders without line items have null measures.
+
+    The lines of an order meet once: suppliers are told apart, lines summed and
+    orders joined where one shuffle by order has put them."""
     lines = (
         table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+        .repartition("l_orderkey")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(
             F.max("l_shipdate").alias("last_ship"),
