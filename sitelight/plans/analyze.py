@@ -23,7 +23,8 @@ class Analysis(NamedTuple):
 
 def analyze(projects: DataFrame, clusters: DataFrame | None = None) -> Analysis:
     """Segments, scores and rules of every portfolio in ``projects``. Clusters
-    are computed unless given."""
+    are computed unless given. Every table reads the projects, some twice, so a
+    plan that is costly to run is best written out before."""
     clusters = clustering.assign_clusters(projects) if clusters is None else clusters
     return Analysis(segments.segments(projects, clusters), risk.scores(projects), rules.rules(projects))
 

@@ -446,7 +446,7 @@ def u3_refresh(spark, sf):
 
 
 def u4_analyze(spark, sf):
-    projects = marts.projects(spark, sf)
+    projects = materialize(marts.projects(spark, sf), "projects")
     empty = marts.table(spark, sf, "nation").select(F.col("n_name").alias("portfolio_id"))
     portfolios = projects.select("portfolio_id").distinct().unionByName(empty)
     return analyze.analysis_counts(analyze.analyze(projects), portfolios)
