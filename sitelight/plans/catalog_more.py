@@ -436,7 +436,7 @@ def u2_delete(spark, sf):
 def u3_refresh(spark, sf):
     """Store, change, refresh the touched portfolios, read the scores."""
     store = scratch_table(spark, "store")
-    before = _table_before(spark, sf)
+    before = materialize(_table_before(spark, sf), "before")
     analyze.store_projects(before, store, derive=True)
     applied = mutations.apply_mutations(before, marts.mutations(spark, sf))
     touched = materialize(applied.touched, "touched")
