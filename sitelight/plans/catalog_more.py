@@ -350,7 +350,7 @@ def s3_versioned_store(spark, sf):
     """Machinery keeps its finished projects and Building becomes empty, in all
     tables at once: projects per portfolio in the version before and after, and
     scores and places of ids after."""
-    store, everything = scratch_table(spark, "versions"), _table_before(spark, sf)
+    store, everything = scratch_table(spark, "versions"), materialize(_table_before(spark, sf), "everything")
     analyze.store_projects(everything, store, derive=True)
     kept = Store(spark, store)
     before = kept.versions()[-1]
