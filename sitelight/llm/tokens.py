@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,12 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
 
-    def _encode(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self.known]
-        for word, code in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(code.ids, dtype="<u4").tobytes()
+    def _encode(self, words: list[str]) -> None:
+        codes = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        size = [len(code) for code in codes]
+        flat = np.fromiter(chain.from_iterable(code.ids for code in codes), dtype="<u4", count=sum(size)).tobytes()
+        ends = [4 * end for end in accumulate(size)]
+        self.known.update(zip(words, map(flat.__getitem__, map(slice, [0, *ends], ends))))
 
     def codes(self, words: list[str]) -> list[bytes]:
         known = self.known
@@ -51,22 +54,31 @@ class WordIds:
             known.clear()
             known[""] = b""
         out = list(map(known.get, words))
-        split = {}
+        split, wanted = [], {}
         for i, code in enumerate(out):
             if code is None:
-                body = words[i].rstrip(TAIL)
-                plain = body.isalpha() and "\u03a3" not in body and "\u0130" not in body
-                split[i] = (body.lower(), words[i][len(body) :]) if plain else (words[i], "")
-        self._encode({part for pair in split.values() for part in pair if part})
-        for i, (body, tail) in split.items():
-            out[i] = known[words[i]] = known[body] + known[tail] if tail else known[body]
+                word = words[i]
+                body, tail = word.rstrip(TAIL), ""
+                if body.isalpha() and "\u03a3" not in body and "\u0130" not in body:
+                    tail, body = word[len(body) :], body.lower()
+                else:
+                    body = word
+                split.append((i, word, body, tail))
+                if body not in known:
+                    wanted[body] = None
+                if tail not in known:
+                    wanted[tail] = None
+        if wanted:
+            self._encode(list(wanted))
+        for i, word, body, tail in split:
+            out[i] = known[word] = known[body] + known[tail]
         return out
 
     def encode(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end``; offsets per text)."""
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         number, offsets, distinct = told_apart(parts)
-        words = distinct.to_pylist()
+        words = distinct.to_numpy(zero_copy_only=False).tolist()
         codes = [*self.codes(words), end]
         number = np.insert(number, offsets[1:], len(words))
         size = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4

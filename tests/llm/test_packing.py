@@ -87,3 +87,18 @@ def test_edges(spark):
     for bad in (None, 0, 11):
         with pytest.raises(Exception, match="length outside"):
             packing.pack(spark.createDataFrame([(1, bad)], "id long, length int"), 10).collect()
+
+
+def test_known_words_do_not_ask_the_tokenizer():
+    """Parts of words are encoded together, each once, and remembered words not at all."""
+    ids, calls = tokens.WordIds(tokens.tokenizer_path()), []
+
+    class Asked:
+        def encode_batch_fast(self, texts, inner=ids.tokenizer, **options):
+            calls.append(sorted(texts))
+            return inner.encode_batch_fast(texts, **options)
+
+    ids.tokenizer = Asked()
+    first = ids.codes(["Cat,", "cat", "CAT!", "...", ""])
+    assert ids.codes(["Cat,", "cat", "CAT!", "...", ""]) == first
+    assert calls == [["!", ",", "...", "cat"]]
