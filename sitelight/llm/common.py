@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelight.session import scratch_table
+from sitelight.session import scratch_table, shuffles_dropped
 
 #: The characters that separate words: space and U+0009 to U+000D.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -47,11 +47,12 @@ class Scratch:
         self.spark = spark
         self.paths: dict[str, str] = {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = scratch_table(self.spark, name)
         for paths in self.noted:
             paths.append(path)
-        df.write.parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.options(**options).parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -417,11 +417,14 @@ def score(docs: DataFrame, train: DataFrame, text_column: str = "text", frequent
     shared = spark.sparkContext.broadcast(model)
     kinds = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
     layout = T.StructType([T.StructField("batch", T.LongType()), *kinds, T.StructField("slice", T.IntegerType()), T.StructField("keys", T.BinaryType())])
-    asking = scratch.write(rows.mapInArrow(_asked(shared), layout), "lm-asked")
+    # what lies on disk at once: the counts go before texts and keys are written,
+    # and whole texts, which compress well, are kept small
+    dealt_ = scratch.write(ngrams.mapInArrow(_dealt_counts(model.slices), "slice int, keys binary, levels binary"), "lm-dealt")
+    scratch.drop("lm-counts")
+    asking = scratch.write(rows.mapInArrow(_asked(shared), layout), "lm-asked", compression="zstd")
     probes = asking.where("slice IS NOT NULL").select("slice", "batch", "keys")
-    dealt_ = ngrams.mapInArrow(_dealt_counts(model.slices), "slice int, keys binary, levels binary")
     answers = scratch.write(dealt_.groupBy("slice").cogroup(probes.groupBy("slice")).applyInArrow(_answered, "batch long, slice int, levels binary"), "lm-answers")
-    scratch.drop("lm-counts")
+    scratch.drop("lm-dealt")
     batches = asking.where("slice IS NULL").select("batch", "uid", "row", "text")
     numbers = T.StructType().add("n_tokens", "long").add("n_known", "long").add("base", "double").add("score", "double").add("word", "long").add("times", "long")
     # rows of rare words carry no row of the document's

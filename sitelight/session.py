@@ -87,6 +87,20 @@ def wide_rows(spark: SparkSession, rows: int = 8) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside go when it ends, not when the
+    driver happens to collect what refers to them: for tables that are written, of
+    which no later step needs more than the result."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later passes scan
     only the columns they need, and nothing is recomputed after a loss."""

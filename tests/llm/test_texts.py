@@ -349,3 +349,17 @@ def test_untrained(spark):
     got = lm.score(frame(spark, [(1, "a b"), (2, None)]), empty).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0), (1, 0, 0)]
     assert all(abs(r.score - r.base_score) < 1e-9 for r in got)
+
+
+def test_counts_go_before_texts_are_written(spark, monkeypatch):
+    """What the model was counted from does not lie on disk beside texts and their keys."""
+    beside, write = {}, Scratch.write
+
+    def noted(self, df, name, **options):
+        beside[name] = set(self.paths)
+        return write(self, df, name, **options)
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    docs = frame(spark, [(1, "a b"), (2, "b c a")])
+    assert lm.score(docs, docs).count() == 2
+    assert "lm-counts" not in beside["lm-asked"] and "lm-dealt" not in beside["lm-scored"]
