@@ -35,6 +35,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,11 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 PROBES, BLOCK_BITS, BITS_PER_ENTRY = 8, 2**16, 8 / math.log(2)
 DISCOUNT = 0.75
 COUNTED = 2_000_000
+# N-grams and questions meet in so many parts, one after the other: what they
+# shuffle is most of what lies on disk then.
+ANSWER_PARTS = 2
+# Keys that are looked up together.
+LOOKED_UP = 2**18
 WORD_SALT, PAIR_SALT = np.uint64(0x51ED270B35AE4F8D), np.uint64(0xA24BAED4963EE407)
 
 
@@ -80,11 +86,17 @@ def blocks_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
 
 
+def probes(keys: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bit position inside the key's block, and the step to the next one.
+    A block has 2^16 bits, so that both are taken modulo its size by their type."""
+    h = mixed(keys * ODD[0] + level.astype(np.uint64) * ODD[1])
+    return h.astype(np.uint16), (h >> np.uint64(32)).astype(np.uint16) | np.uint16(1)
+
+
 def places(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Bit positions inside the key's block, one row per key."""
-    h = mixed(keys * ODD[0] + level.astype(np.uint64) * ODD[1])
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return ((h & np.uint64(0xFFFFFFFF))[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) % np.uint64(BLOCK_BITS)
+    first, step = probes(keys, level)
+    return first[:, None] + np.arange(PROBES, dtype=np.uint16) * step[:, None]
 
 
 @dataclass
@@ -94,9 +106,19 @@ class LogFrequencyFilter:
     words: np.ndarray  # blocks x words of 64 bits, flat
 
     def holds(self, keys: np.ndarray, level: int) -> np.ndarray:
-        at = places(keys, np.full(len(keys), level))
-        word = (blocks_of(keys, self.blocks) * np.uint64(BLOCK_BITS // 64))[:, None] + (at >> np.uint64(6))
-        return ((self.words[word] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+        """A key leaves at its first bit that is not set: half of those not held do at once."""
+        at, step = probes(keys, np.full(len(keys), level))
+        octets = self.words.view(np.uint8)
+        block = blocks_of(keys, self.blocks).astype(np.int64) * (BLOCK_BITS // 8)
+        alive = np.arange(len(keys))
+        for _ in range(PROBES):
+            there = (octets[block + (at >> np.uint16(3))] >> (at & np.uint16(7)).astype(np.uint8)) & np.uint8(1) > 0
+            if not there.all():
+                alive, at, step, block = alive[there], at[there], step[there], block[there]
+            at = at + step
+        out = np.zeros(len(keys), dtype=bool)
+        out[alive] = True
+        return out
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Quantised level of each n-gram, 0 for those not held."""
@@ -144,7 +166,11 @@ def filter_of(keys: np.ndarray, levels: np.ndarray) -> LogFrequencyFilter:
     bits = np.zeros(blocks * BLOCK_BITS, dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         some = keys[levels >= level]
-        bits[(blocks_of(some, blocks) * np.uint64(BLOCK_BITS))[:, None] + places(some, np.full(len(some), level))] = True
+        block = blocks_of(some, blocks).astype(np.int64) * BLOCK_BITS
+        at, step = probes(some, np.full(len(some), level))
+        for _ in range(PROBES):
+            bits[block + at] = True
+            at = at + step
     return LogFrequencyFilter(blocks, 1, np.packbits(bits, bitorder="little").view("<u8"))
 
 
@@ -152,6 +178,8 @@ def filter_of(keys: np.ndarray, levels: np.ndarray) -> LogFrequencyFilter:
 def dealt(keys: np.ndarray, slices_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order of the keys by slice, the slices that occur, where each begins and the end)."""
     number = ((keys >> np.uint64(40)) * np.uint64(slices_)) >> np.uint64(24)
+    if slices_ <= 2**16:  # short numbers are sorted by their digits
+        number = number.astype(np.uint16)
     order = np.argsort(number, kind="stable")
     found, first = np.unique(number[order], return_index=True)
     return order, found.astype(np.int32), np.append(first, len(keys))
@@ -198,7 +226,13 @@ def _answered(counts: pa.Table, asked_: pa.Table) -> pa.Table:
     keys = slice_keys(b"".join(counts["keys"].to_pylist()))
     levels = np.frombuffer(b"".join(counts["levels"].to_pylist()), dtype=np.uint8)
     filter_ = filter_of(keys, levels.astype(np.int64)) if asked_.num_rows else None
-    found = [filter_.levels(slice_keys(x)).astype(np.uint8).tobytes() for x in asked_["keys"].to_pylist()]
+    questions, found = asked_["keys"].to_pylist(), []
+    # a batch asks few keys of a slice: many batches are looked up at a time
+    ends = np.cumsum([len(x) // 5 for x in questions])
+    for part in np.split(np.arange(len(questions)), np.flatnonzero(np.diff(ends // LOOKED_UP)) + 1):
+        together = filter_.levels(slice_keys(b"".join(questions[i] for i in part))).astype(np.uint8).tobytes() if len(part) else b""
+        begin = ends[part[0]] - len(questions[part[0]]) // 5 if len(part) else 0
+        found += [together[ends[i] - len(questions[i]) // 5 - begin : ends[i] - begin] for i in part]
     return pa.table({"batch": asked_["batch"], "slice": asked_["slice"], "levels": pa.array(found, pa.binary())})
 
 
@@ -340,10 +374,11 @@ def asked(model: Model, words: np.ndarray, starts: np.ndarray) -> Asked:
     return Asked(distinct, back[: len(words)], before, pairs, pair, listed, at)
 
 
-def log_probabilities(model: Model, words: np.ndarray, starts: np.ndarray, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def log_probabilities(model: Model, words: np.ndarray, starts: np.ndarray, levels: np.ndarray | None = None, ask: Asked | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: model's log10 probability, whether its word is listed, its
-    looked-up count. ``levels`` are those of the keys that the texts ask for."""
-    ask = asked(model, words, starts)
+    looked-up count. ``levels`` are those of the keys that the texts ask for,
+    ``ask`` what they ask, where it is known already."""
+    ask = asked(model, words, starts) if ask is None else ask
     levels = model.filter.levels(ask.keys) if levels is None else levels
     word_levels, pair_levels = np.split(levels.astype(np.int64), [int((~ask.listed).sum())])
     count, left = np.zeros(len(ask.distinct)), np.ones(len(ask.distinct))
@@ -384,10 +419,11 @@ def _score(shared):
         uid, own, text = (rows[c].combine_chunks() for c in ("uid", "row", "text"))
         words, starts = sequences(text)
         sizes = np.diff(np.append(starts, len(words)))
-        order, _, _ = dealt(asked(model, words, starts).keys, model.slices)
+        ask = asked(model, words, starts)
+        order, _, _ = dealt(ask.keys, model.slices)
         levels = np.empty(len(order), dtype=np.uint8)
         levels[order] = np.frombuffer(b"".join(answers["levels"].to_pylist()), dtype=np.uint8)
-        logs, listed, count = log_probabilities(model, words, starts, levels)
+        logs, listed, count = log_probabilities(model, words, starts, levels, ask)
         base = np.where(listed, np.log10((count + 0.5) / model.scale), 0)
         sums = [np.add.reduceat(x, starts) for x in (listed.astype(np.int64), base, logs)]
         none = pa.nulls(len(sizes), pa.int64())
@@ -422,15 +458,20 @@ def score(docs: DataFrame, train: DataFrame, text_column: str = "text", frequent
     dealt_ = scratch.write(ngrams.mapInArrow(_dealt_counts(model.slices), "slice int, keys binary, levels binary"), "lm-dealt")
     scratch.drop("lm-counts")
     asking = scratch.write(rows.mapInArrow(_asked(shared), layout), "lm-asked", compression="zstd")
-    probes = asking.where("slice IS NOT NULL").select("slice", "batch", "keys")
-    answers = scratch.write(dealt_.groupBy("slice").cogroup(probes.groupBy("slice")).applyInArrow(_answered, "batch long, slice int, levels binary"), "lm-answers")
+    keys = asking.where("slice IS NOT NULL").select("slice", "batch", "keys")
+    answered = []
+    for part in range(min(ANSWER_PARTS, model.slices)):
+        own_part = F.col("slice") % ANSWER_PARTS == part
+        met = dealt_.where(own_part).groupBy("slice").cogroup(keys.where(own_part).groupBy("slice"))
+        answered.append(scratch.write(met.applyInArrow(_answered, "batch long, slice int, levels binary"), f"lm-answers-{part}"))
+    answers = reduce(DataFrame.unionByName, answered)
     scratch.drop("lm-dealt")
     batches = asking.where("slice IS NULL").select("batch", "uid", "row", "text")
     numbers = T.StructType().add("n_tokens", "long").add("n_known", "long").add("base", "double").add("score", "double").add("word", "long").add("times", "long")
     # rows of rare words carry no row of the document's
     layout = T.StructType([kinds["uid"], kinds["row"], *numbers])
     scored = scratch.write(batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(shared), layout), "lm-scored")
-    scratch.drop("lm-asked", "lm-answers")
+    scratch.drop("lm-asked", *[f"lm-answers-{part}" for part in range(len(answered))])
     rare = scored.where("word IS NOT NULL").select("uid", "word", "times").join(rarer, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.scale))
     rest = rare.groupBy("uid").agg(F.sum(F.col("times") * log).alias("rest"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"))

@@ -43,7 +43,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, offsets per text). Words are the runs outside space
     and U+0009 to U+000D, with A-Z lower-cased."""
     number, offsets, distinct = told_apart(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
-    names = distinct.cast(pa.binary()).to_pylist()
+    names = distinct.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), dtype=np.uint64, count=len(names))
     there = np.fromiter(map(bool, names), dtype=bool, count=len(names))
     if there.all():

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelight.llm import langid, line_dedup, lm, ngram_join, words
-from sitelight.llm.common import Scratch
+from sitelight.llm.common import Scratch, noting
 
 LAYOUT = "doc_id long, text string, lang string, score string, n long, node string, uid int"
 ODD = ["", " \t\r\n\x0b\x0c ", "One", "two words here", "a\x1cb c\x85d", "É È É", "x " * 4000, "\x00 \x00", "..."]
@@ -363,3 +363,30 @@ def test_counts_go_before_texts_are_written(spark, monkeypatch):
     docs = frame(spark, [(1, "a b"), (2, "b c a")])
     assert lm.score(docs, docs).count() == 2
     assert "lm-counts" not in beside["lm-asked"] and "lm-dealt" not in beside["lm-scored"]
+
+
+def test_answers_are_made_in_parts(spark):
+    """What n-grams and questions shuffle lies on disk for one part at a time."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(40))) for i in range(40)]
+    paths = []
+    with noting(paths):
+        scored = lm.score(frame(spark, rows), frame(spark, rows[:30]), frequent=0, entries=300)
+    assert sum("lm-answers" in path for path in paths) == 2
+    assert scored.where("score < 0").count() == 40
+
+
+def test_keys_of_many_batches_are_looked_up_together(monkeypatch):
+    calls = []
+    plain = lm.LogFrequencyFilter.levels
+    monkeypatch.setattr(lm.LogFrequencyFilter, "levels", lambda self, keys: calls.append(len(keys)) or plain(self, keys))
+    low = [np.random.default_rng(i).integers(0, 2**40, 5 + i).astype(np.uint64) for i in range(30)]
+    packs = [lm.packed(x, 5, np.array([0, len(x)]))[0].as_py() for x in low]
+    counts = pa.table({"keys": packs[:10], "levels": [bytes([1 + i] * len(x)) for i, x in enumerate(low[:10])]})
+    asked = pa.table({"batch": list(range(30)), "slice": pa.array([0] * 30, pa.int32()), "keys": packs})
+    got = lm._answered(counts, asked)["levels"].to_pylist()
+    assert len(calls) == 1
+    assert [len(x) for x in got] == [len(x) for x in low]
+    assert all(min(x) >= 1 + i for i, x in enumerate(got[:10]))
+    monkeypatch.setattr(lm, "LOOKED_UP", 20)
+    assert lm._answered(counts, asked)["levels"].to_pylist() == got
+    assert lm._answered(counts, asked.slice(0, 0)).num_rows == 0
