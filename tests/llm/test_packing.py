@@ -35,6 +35,17 @@ def test_ids_are_the_tokenizers():
     assert encoded(ODD) == direct(ODD)
 
 
+def test_words_met_once_are_not_all_remembered(monkeypatch):
+    """Of words that come once only some stay, and those that come again do."""
+    monkeypatch.setattr(tokens, "MET", 500, raising=False)
+    words = tokens.WordIds(tokens.tokenizer_path())
+    for i in range(20):
+        words.codes(["again", *(f"once{i}x{j}" for j in range(300))])
+    assert "again" in words.known
+    assert len(vars(words)["known"]) + len(vars(words).get("met", ())) < 3000
+    assert words.codes(["again", "once3x7"]) == tokens.WordIds(tokens.tokenizer_path()).codes(["again", "once3x7"])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=30), min_size=1, max_size=5))
 def test_ids_of_any_text(texts):
