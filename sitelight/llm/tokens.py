@@ -22,12 +22,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Words whose ids a worker remembers because they came again, and words that it
-#: has met once, before it starts afresh with either. Most words of a corpus come
-#: once: remembered alike, they fill the memory of a worker.
-REMEMBERED, MET = 2**17, 2**17
-#: Words that are encoded, and bytes of text that are cut, at a time.
-TOGETHER, TEXT_BYTES = 2**11, 1_000_000
+#: Distinct words whose ids a worker remembers before it starts afresh.
+REMEMBERED = 2**19
+#: Words that are encoded at a time: what the tokenizer returns is far larger than the ids.
+TOGETHER = 2**12
 #: Marks at a word's end that the tokenizer splits off; they are no letters, digits or spaces.
 TAIL = ".,;:!?%#$&*|"
 
@@ -44,7 +42,6 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.met: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> None:
         for at in range(0, len(words), TOGETHER):
@@ -53,38 +50,32 @@ class WordIds:
             size = [len(code) for code in codes]
             flat = np.fromiter(chain.from_iterable(code.ids for code in codes), dtype="<u4", count=sum(size)).tobytes()
             ends = [4 * end for end in accumulate(size)]
-            self.met.update(zip(some, map(flat.__getitem__, map(slice, [0, *ends], ends))))
+            self.known.update(zip(some, map(flat.__getitem__, map(slice, [0, *ends], ends))))
 
     def codes(self, words: list[str]) -> list[bytes]:
-        known, met = self.known, self.met
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
             known[""] = b""
-        if len(met) > MET:
-            met.clear()
         out = list(map(known.get, words))
         split, wanted = [], {}
         for i, code in enumerate(out):
             if code is None:
                 word = words[i]
-                if word in met:
-                    out[i] = known[word] = met[word]
-                    continue
                 body, tail = word.rstrip(TAIL), ""
                 if body.isalpha() and "\u03a3" not in body and "\u0130" not in body:
                     tail, body = word[len(body) :], body.lower()
                 else:
                     body = word
                 split.append((i, word, body, tail))
-                if body not in known and body not in met:
+                if body not in known:
                     wanted[body] = None
-                if tail not in known and tail not in met:
+                if tail not in known:
                     wanted[tail] = None
         if wanted:
             self._encode(list(wanted))
         for i, word, body, tail in split:
-            code = known[body] if body in known else met[body]
-            out[i] = met[word] = code + (known[tail] if tail in known else met[tail]) if tail else code
+            out[i] = known[word] = known[body] + known[tail]
         return out
 
     def encode(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +110,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_column
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", TEXT_BYTES):
+        for batch in slices(batches, "text"):
             ids, offsets = remembering(path).encode(batch.column(1), end)
             count = -(-np.diff(offsets) // capacity)
             row = np.repeat(np.arange(len(count)), count)

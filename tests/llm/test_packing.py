@@ -35,15 +35,22 @@ def test_ids_are_the_tokenizers():
     assert encoded(ODD) == direct(ODD)
 
 
-def test_words_met_once_are_not_all_remembered(monkeypatch):
-    """Of words that come once only some stay, and those that come again do."""
-    monkeypatch.setattr(tokens, "MET", 500, raising=False)
-    words = tokens.WordIds(tokens.tokenizer_path())
-    for i in range(20):
-        words.codes(["again", *(f"once{i}x{j}" for j in range(300))])
-    assert "again" in words.known
-    assert len(vars(words)["known"]) + len(vars(words).get("met", ())) < 3000
-    assert words.codes(["again", "once3x7"]) == tokens.WordIds(tokens.tokenizer_path()).codes(["again", "once3x7"])
+def test_many_words_are_encoded_in_parts():
+    """What the tokenizer returns for a word is far larger than its ids."""
+    words, sizes = tokens.WordIds(tokens.tokenizer_path()), []
+    plain = words.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, some, **options):
+            sizes.append(len(some))
+            return plain.encode_batch_fast(some, **options)
+
+    words.tokenizer = Counting()
+    texts = [f"word{i}x" for i in range(10_000)]
+    codes = words.codes(texts)
+    assert max(sizes) <= 4096 and sum(sizes) == 10_000
+    some = [0, 4095, 4096, 9999]
+    assert [np.frombuffer(codes[i], "<u4").tolist() + [0] for i in some] == direct([texts[i] for i in some])
 
 
 @settings(max_examples=60, deadline=None)
