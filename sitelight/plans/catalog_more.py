@@ -372,15 +372,13 @@ def s4_document_status(spark, sf):
 def s4_document_files(spark, sf):
     """Every document written to a file of its own and read back."""
     path = scratch_table(spark, "document-files")
-    # a file takes its time whatever its size, so the number of writers does not
-    # follow the bytes of the table, and each puts its own files in place
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = marts.table(spark, sf, "documents").select("text", "doc_id").repartition(tasks, "doc_id")
-    texts.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("doc_id").text(path)
-    found = document_files.read_document_files(spark, path, r"doc_id=(\d+)/", below="*.txt")
-    return retrieval.document_status(found).select(
+    document_files.write_text_files(marts.table(spark, sf, "documents").select("text", "doc_id"), path, "doc_id")
+    found = document_files.read_document_files(spark, path, r"doc_id=(\d+)[./]", below="*.txt")
+    status = retrieval.document_status(found).select(
         F.col("portfolio_id").cast("long").alias("document_id"), "embedding_status", "chunk_count"
     )
+    with document_files.small_files(spark):
+        return materialize(status, "document-status")
 
 
 def s5_document_intake(spark, sf):

@@ -84,3 +84,25 @@ def test_files_in_many_folders_are_read_from_their_root(spark, tmp_path):
     (tmp_path / "all" / "doc_id=1" / "other.csv").write_text("not asked for")
     found = document_files.read_document_files(spark, str(tmp_path / "all"), r"doc_id=(\d+)/", below="*.txt")
     assert sorted((r.portfolio_id, r.text) for r in found.collect()) == sorted([(str(i), f"text {i}\n") for i in range(40)] + [("", "no id\n")])
+
+
+def test_texts_are_written_to_files_without_a_process_each(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}\nsecond line") for i in range(60)] + [(7, "again"), (None, "no id"), (61, None), (62, "")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    lines = {str(i): [f"text {i}\nsecond line\n"] for i in range(60)} | {"": ["no id\n"], "61": ["\n"], "62": ["\n"]}
+    lines["7"].append("again\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    for place in ("tasks", "spark"):
+        if place == "spark":
+            monkeypatch.setattr(document_files, "local_folder", lambda *_: None)
+        path = f"file://{tmp_path}/{place}"
+        document_files.write_text_files(texts, path, "doc_id")
+        # Hadoop's local writer makes a checksum file, and starts a process for the permissions of either
+        assert place == "spark" or not list((tmp_path / place).rglob(".*"))
+        found = document_files.read_document_files(spark, path, r"doc_id=(\d+)[./]", below="*.txt")
+        with document_files.small_files(spark):
+            assert found.select("*").rdd.getNumPartitions() <= 8  # one for each file before
+        got = {r.portfolio_id: r.text for r in found.collect()}
+        assert len(got) == found.count() == len(lines)
+        assert all(got[k] in ("".join(v), "".join(v[::-1])) for k, v in lines.items())
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
