@@ -78,6 +78,14 @@ def test_wide_rows_travel_in_small_batches(spark):
     assert max(got) == 8 and sum(got) == 100 and spark.conf.get(name) == before
 
 
+def test_wide_rows_are_read_a_few_at_a_time(spark):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    with wide_rows(spark, 8):
+        assert int(spark.conf.get(name)) <= 64
+    assert spark.conf.get(name) == before
+
+
 def test_files_in_many_folders_are_read_from_their_root(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(None, "no id")], "doc_id long, text string")
     rows.repartition(4, "doc_id").write.partitionBy("doc_id").text(str(tmp_path / "all"))
