@@ -35,6 +35,9 @@ DEFAULT_K = 5
 # the input order decides between them.
 TIE_DIGITS = 12
 OUTCOME_RANGES = ["delay_days", "cost_overrun_pct", "safety_incidents"]
+# What screening reads of a project.
+SOURCE = ["portfolio_id", "project_id", "project_type", "region", "contract_value_usd", "subcontractor_count",
+          "payment_disputes", *OUTCOME_RANGES]
 CELL = ["portfolio_id", "type_key", "region_key", "subs"]
 BLOCK = [*CELL, "bin"]
 # Steps of the value grid the blocks are assembled from: one for so many rows of
@@ -170,7 +173,10 @@ class _Meeting:
 
     def _enough(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         far, n = (np.stack(p, axis=1) for p in zip(*parts, strict=True))
-        order = far.argsort(axis=1)
+        # a block has a row at least, so the nearest k blocks are enough
+        most = min(far.shape[1], int(self.k.max(initial=1)))
+        order = np.argpartition(far, most - 1, axis=1)[:, :most]
+        order = np.take_along_axis(order, np.take_along_axis(far, order, axis=1).argsort(axis=1), axis=1)
         held = np.take_along_axis(n, order, axis=1).cumsum(axis=1) >= self.k[:, None]
         first = np.take_along_axis(order, held.argmax(axis=1)[:, None], axis=1)
         return np.where(held.any(axis=1), np.take_along_axis(far, first, axis=1)[:, 0], np.inf)
@@ -294,15 +300,16 @@ def accepted_bids(bids: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     return bids.where(_requested(bids, k).between(S.MIN_K, S.MAX_K))
 
 
-def nearest(bids: DataFrame, history: DataFrame, k: int = DEFAULT_K, order_by: str = "project_id") -> DataFrame:
+def nearest(
+    bids: DataFrame, history: DataFrame, k: int = DEFAULT_K, order_by: str = "project_id", written: bool = False
+) -> DataFrame:
     """The k nearest history rows of every accepted bid: bid_id, k, position,
     project_id, distance and the row's outcomes. Fewer than k rows give all of
-    them."""
+    them. A history that is ``written`` is read where it is."""
     bids = accepted_bids(bids, k)
     # Only the columns that matter, written once: everything below reads these.
-    columns = {"portfolio_id", "project_id", order_by, "project_type", "region", "contract_value_usd",
-               "subcontractor_count", "payment_disputes", *OUTCOME_RANGES}
-    history = materialize(history.select(*sorted(columns)), "history")
+    history = history.select(*sorted({order_by, *SOURCE}))
+    history = history if written else materialize(history, "history")
     medians = measured(feature_medians(history))
     encoded = encode_history(history, order_by, medians)
     categories = measured(encoded.select("portfolio_id", "type_key", "region_key").distinct())
@@ -418,8 +425,9 @@ def screen(
 
 
 def similar_details(cohort: DataFrame, projects: DataFrame) -> DataFrame:
-    """Name and outcomes of each similar project, in rank order per bid."""
+    """Name and outcomes of each similar project, in rank order per bid. A cohort
+    has up to k rows a bid and is no summary, so it is not kept: it is computed once,
+    on its way to the projects it names."""
     names = projects.select("portfolio_id", "project_id", "project_id_external", "project_name")
-    return measured(cohort.select(
-        "bid_id", "portfolio_id", "position", "project_id", "delay_days", "cost_overrun_pct"
-    )).join(names, ["portfolio_id", "project_id"])
+    found = cohort.select("bid_id", "portfolio_id", "position", "project_id", "delay_days", "cost_overrun_pct")
+    return found.join(names, ["portfolio_id", "project_id"])

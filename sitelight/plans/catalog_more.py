@@ -99,7 +99,10 @@ def n8_screening(spark, sf):
 
 
 def n9_similar_details(spark, sf):
-    details = screening.similar_details(_cohort(spark, sf), marts.projects(spark, sf))
+    projects = materialize(
+        marts.projects(spark, sf).select(*screening.SOURCE, "project_id_external", "project_name"), "projects"
+    )
+    details = screening.similar_details(screening.nearest(marts.bids(spark, sf), projects, written=True), projects)
     return details.select("bid_id", "position", "project_id", "project_id_external", "project_name", "delay_days", "cost_overrun_pct")
 
 

@@ -6,6 +6,7 @@ from conftest import project_frame
 from pyspark.sql import functions as F
 
 from sitelight.operators import cleaning, clustering, models
+from sitelight.plans import catalog_more
 from sitelight.sources import marts
 
 
@@ -54,6 +55,20 @@ def test_model_runs(counted):
     assert seen.value == 24
 
 
+def test_similar_details(counted, monkeypatch):
+    frame, seen = counted
+    bids = frame.sparkSession.createDataFrame(
+        [(1, "p", "Commercial", "Northeast", 3e6, 2, 4), (2, "empty", None, None, 1e6, 1, 1)],
+        "bid_id long, portfolio_id string, project_type string, region string, contract_value_usd double, subcontractor_count int, k int",
+    )
+    monkeypatch.setattr(marts, "projects", lambda *_: frame)
+    monkeypatch.setattr(marts, "bids", lambda *_: bids)
+    details = catalog_more.n9_similar_details(frame.sparkSession, "")
+    found = sorted((r.position, r.project_id, r.project_id_external, r.project_name) for r in details.collect())
+    assert [f[0] for f in found] == [1, 2, 3, 4] and all((f[2], f[3]) == (f"x{f[1][2:]}", f"n{int(f[1][2:])}") for f in found)
+    assert seen.value == 24  # 48 before
+
+
 def test_lines_shuffle_once(spark, tmp_path):
     tables = {
         "lineitem": "select 1L l_orderkey, 2L l_partkey, 3L l_suppkey, 1 l_linenumber, 4D l_quantity, 5D l_extendedprice, 0.06D l_discount, 0D l_tax, 'R' l_returnflag, 'O' l_linestatus, timestamp'1996-01-02' l_shipdate",
